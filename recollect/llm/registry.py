@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import decontaminate, embedding_dedup, language_id, licenses, mixing, preferences, simhash, token_counts, toxicity, url_filter
+from recollect.llm import decontaminate, embedding_dedup, language_id, licenses, mixing, preferences, simhash, sql, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
