@@ -13,8 +13,9 @@ from recollect.llm.common import SPACE, Forest, components, lower_ascii, read, s
 
 #: Shingles whose bits are summed at once, and node pairs that are expanded at once.
 CHUNK_SHINGLES, CHUNK_PAIRS = 1 << 16, 1 << 18
-#: Fingerprints of a block; a task joins two blocks.
-BLOCK = 1 << 14
+#: Fingerprints of a block; a task joins two blocks. Levels of the trie that are walked as a
+#: join at least: a fingerprint then meets 1 + 4 + 6 cells, whatever the input's size.
+BLOCK, LEVELS = 1 << 17, 4
 #: Pairs of nodes with at most this many pairs of leaves below are compared leaf by leaf.
 LEAVES = 16
 
@@ -123,8 +124,8 @@ def near_fingerprint_links(distinct: DataFrame, budget: int = 2, block: int = BL
     for each of its fingerprints, so a large group never becomes all its pairs.
     """
     total = distinct.count()
-    depth = min(16, max(0, math.ceil(math.log2(max(total, 1) / block))))
-    cell = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("bigint")
+    depth = min(16, max(LEVELS, math.ceil(math.log2(max(total, 1) / block))))
+    cell = F.shiftrightunsigned("fp", 64 - depth)
     celled = distinct.select("fp", cell.alias("cell"))
     blocks = celled.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
