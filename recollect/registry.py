@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recollect import oracle as o
+from recollect.functions import parsing, temporal, text
+from recollect.operators import bm25, evaluation, facts, reports, stats, store
+from recollect.plans import packing, strategies
+from recollect.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+K = 10
+BUDGETS = (256, 1024)
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +30,556 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["bm25_turns_topk"](spark, sf_dir)
+    return bm25_turns_topk(spark, sf_dir)
+
+
+def registered(sql: str | None = None, **extra: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = o.assemble(sql, **extra)
+        return f
+
+    return add
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tables.turns(spark, sf_dir), tables.questions(spark, sf_dir)
+
+
+def r6(x: str | Column) -> Column:
+    return F.round(x, 6)
+
+
+# Scalar functions
+
+
+@registered(f"SELECT doc_id, array_to_string({o.terms('text')}, ' ') AS terms, len({o.terms('text')})::BIGINT AS n FROM documents")
+def text_terms(spark, sf_dir):
+    t = text.terms(F.col("text"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.array_join(t, " ").alias("terms"), F.size(t).cast("bigint").alias("n"))
+
+
+@registered(f"SELECT doc_id, {o.tokens('text')} AS tokens FROM documents")
+def text_token_count(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", text.count_tokens(F.col("text")).cast("bigint").alias("tokens"))
+
+
+@registered(f"SELECT id, {o.truncated('text', 32)} AS text FROM turns")
+def text_truncate(spark, sf_dir):
+    return tables.turns(spark, sf_dir).select("id", text.truncated(F.col("text"), 32).alias("text"))
+
+
+@registered("SELECT qid, w.lo AS lo, w.hi AS hi FROM windows")
+def query_window(spark, sf_dir):
+    q = tables.questions(spark, sf_dir)
+    return q.select("qid", temporal.query_window(F.col("question"), F.col("now")).alias("w")).select("qid", "w.lo", "w.hi")
+
+
+@registered("SELECT event_id, date_trunc('minute', ts) AS clock, date_trunc('minute', ts) AS slashed, date_trunc('second', ts) AS iso, date_trunc('minute', ts) - INTERVAL 5 HOUR AS moved FROM events")
+def parse_timestamp(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    read = lambda pattern, tail="": temporal.parse_timestamp(F.concat(F.date_format("ts", pattern), F.lit(tail)))
+    return e.select("event_id", read("h:mm a 'on' d MMMM, yyyy").alias("clock"), read("yyyy/MM/dd (EEE) HH:mm").alias("slashed"), read("yyyy-MM-dd'T'HH:mm:ss").alias("iso"), read("yyyy-MM-dd'T'HH:mm", "+05:00").alias("moved"))
+
+
+@registered(f"SELECT DISTINCT source AS cluster, {o.split_of('source')} AS split FROM documents WHERE source IS NOT NULL")
+def split_cluster(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents").where("source is not null").select("source").distinct()
+    return d.select(F.col("source").alias("cluster"), parsing.split_of(F.col("source")).alias("split"))
+
+
+@registered("SELECT event_id, ['D' || (event_id % 40) || ':' || (user_id % 30), 'D' || (event_id % 7) || ':' || (event_id % 11)] AS ids FROM events".replace("SELECT event_id, [", "SELECT event_id, array_to_string([").replace("] AS ids", "], ';') AS ids"))
+def evidence_repair(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    raw = F.concat(F.lit("D:"), (F.col("event_id") % 40).cast("string"), F.lit(":0"), (F.col("user_id") % 30).cast("string"), F.lit("; D0"), (F.col("event_id") % 7).cast("string"), F.lit(":"), (F.col("event_id") % 11).cast("string"), F.lit(" D"))
+    return e.select("event_id", F.array_join(parsing.evidence_ids(raw), ";").alias("ids"))
+
+
+@registered(r"SELECT doc_id, CASE regexp_extract(lower(text), '\b(yes|no)\b', 1) WHEN 'yes' THEN true WHEN 'no' THEN false END AS verdict FROM documents")
+def parse_verdict(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", parsing.verdict(F.col("text")).alias("verdict"))
+
+
+@registered("SELECT event_id, 'user_' || user_id AS subject, event_type AS attribute, value::DECIMAL(18, 2)::VARCHAR AS value, (event_id % 4)::INT AS turn FROM events WHERE event_id % 4 < 3")
+def extract_parse(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    item = F.to_json(F.struct(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("attribute"), F.col("value").cast("decimal(18,2)").cast("string").alias("value"), F.pmod("event_id", F.lit(4)).alias("turn")))
+    reply = F.concat(F.lit("Here is what I found:\n```json\n["), item, F.lit(', {"subject": " ", "attribute": "x", "value": "y", "turn": 0}, {"subject": "a", "attribute": "b", "value": "c", "turn": true}]\n```'))
+    return e.select("event_id", F.explode(parsing.extracted_facts(reply, F.lit(3))).alias("f")).select("event_id", "f.*")
+
+
+@registered(
+    "SELECT vec_id, round(list_dot_product(e, e0) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(e0, e0)), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT embedding::DOUBLE[] AS e0 FROM embeddings ORDER BY vec_id LIMIT 1)"
+)
+def cosine(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "embeddings").select("vec_id", parsing.unit_vector(F.col("embedding")).alias("v"))
+    first = e.orderBy("vec_id").limit(1).select(F.col("v").alias("v0"))
+    return e.crossJoin(F.broadcast(first)).select("vec_id", r6(parsing.dot(F.col("v"), F.col("v0"))).alias("cosine"))
+
+
+# BM25 and retrieval
+
+
+@registered(f"SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM rank_turns WHERE rank <= {K}")
+def bm25_turns_topk(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return bm25.ranked(strategies.turn_scores(turns, questions), "position", K).select("qid", "id", "rank", r6("score").alias("score"))
+
+
+@registered(f"SELECT qid, doc_id AS session_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id::INT) AS rank FROM sscore) WHERE rank <= {K}")
+def bm25_sessions_topk(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    found = bm25.scores(strategies.session_index(turns), strategies.asked(questions)).withColumn("n", F.col("doc_id").cast("int"))
+    return bm25.ranked(found, "n", K).select("qid", F.col("doc_id").alias("session_id"), r6("score").alias("score"))
+
+
+@registered(
+    f"SELECT history_id, term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf, round(any_value(ln(1 + (n - df_ + 0.5) / (df_ + 0.5))), 6) AS idf FROM (SELECT *, count(*) OVER (PARTITION BY history_id, term) AS df_ FROM (SELECT history_id, doc_id, term, count(*) AS tf FROM (SELECT history_id, doc_id, unnest(ts_) AS term FROM tdocs) GROUP BY ALL)) JOIN (SELECT history_id, count(*) AS n FROM tdocs GROUP BY 1) USING (history_id) GROUP BY ALL"
+)
+def bm25_index(spark, sf_dir):
+    index = strategies.turn_index(tables.turns(spark, sf_dir))
+    stats_ = index.postings.groupBy("history_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).join(index.corpus, "history_id")
+    return stats_.select("history_id", "term", "df", "tf", r6(bm25.idf(F.col("n"), F.col("df"))).alias("idf"))
+
+
+@registered(f"SELECT qid, id, round(score, 6) AS score FROM (SELECT *, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, position) AS rank FROM (SELECT * REPLACE (score * pow(0.5, greatest(epoch_us(now) - epoch_us(ts), 0) / 86400000000.0 / 30) AS score) FROM tfull)) WHERE rank <= {K}")
+def recency_bm25(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    found = strategies.turn_scores(turns, questions)
+    aged = found.withColumn("score", F.col("score") * strategies.decay(strategies.age_days(F.col("now"), F.col("ts")), 30.0, 0.0))
+    return bm25.ranked(aged, "position", K).select("qid", "id", r6("score").alias("score"))
+
+
+@registered("SELECT qid, id, round(score, 6) AS score FROM store")
+def store_score(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return strategies.store_scores(turns, questions).select("qid", "id", r6("score").alias("score"))
+
+
+@registered(
+    f"SELECT qid, component, id, rank::INT AS rank FROM (SELECT qid, 'recency' AS component, id, row_number() OVER (PARTITION BY qid ORDER BY round((score / top + 0.3 * coalesce(s, 0)) * CASE WHEN coalesce(w.lo <= ts AND ts < w.hi, false) THEN 2 ELSE 1 END, 12) DESC, position) AS rank FROM base UNION ALL SELECT qid, 'window', id, row_number() OVER (PARTITION BY qid ORDER BY round((score / top + 0.3 * coalesce(s, 0)) * (0.5 + 0.5 * pow(0.5, greatest(epoch_us(now) - epoch_us(ts), 0) / 86400000000.0 / 365.0)), 12) DESC, position) FROM base) WHERE rank <= {K}",
+    base="SELECT * FROM (SELECT *, doc_id AS id, max(score) OVER (PARTITION BY qid) AS top FROM tfull) t JOIN windows USING (qid) LEFT JOIN (SELECT qid AS q2, doc_id AS s2, score / max(score) OVER (PARTITION BY qid) AS s FROM sscore) ON q2 = qid AND s2 = session_id",
+)
+def store_ablations(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    parts = []
+    for c in ("recency", "window"):
+        found = strategies.store_scores(turns, questions, strategies.Config().without(c))
+        parts.append(bm25.ranked(found, "position", K).select("qid", F.lit(c).alias("component"), "id", "rank"))
+    return parts[0].unionByName(parts[1])
+
+
+@registered(
+    f"SELECT r.qid, r.rank::INT AS unit_ord, o.k::INT AS turn_ord, p.id AS turn_id FROM rank_turns r, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) AS o(k, d) JOIN pos p ON p.history_id = r.history_id AND p.session_id = r.session_id AND p.position = r.position + o.d WHERE r.rank <= {K}"
+)
+def neighbours(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    units = strategies._units(bm25.ranked(strategies.turn_scores(turns, questions), "position", K), "bm25")
+    return strategies.with_neighbours(units, turns, 2).select("qid", "unit_ord", "turn_ord", "turn_id")
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Embeddings by label as histories; the vectors whose ids are divisible by 20 are the questions."""
+    e = tables.table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").alias("history_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("position"), F.col("embedding").alias("v"))
+    return e, e.where("id % 20 = 0").select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("qid"), "history_id", "v")
+
+
+_UNIT = "SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x::DOUBLE) AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings WHERE label IS NOT NULL"
+_DENSE = "SELECT 'v' || q.vec_id AS qid, d.vec_id AS id, list_dot_product(q.e, d.e) / q.norm / d.norm AS score FROM unit q JOIN unit d USING (label) WHERE q.vec_id % 20 = 0"
+
+
+@registered(f"SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM dense) WHERE rank <= {K}", unit=_UNIT, dense=_DENSE)
+def dense_topk(spark, sf_dir):
+    return bm25.ranked(strategies.dense_scores(*_vectors(spark, sf_dir)), "position", K).select("qid", "id", r6("score").alias("score"), "rank")
+
+
+@registered(
+    f"SELECT qid, id, round(rrf, 9) AS rrf, rank::INT AS rank FROM (SELECT qid, id, coalesce(1 / (60 + a), 0) + coalesce(1 / (60 + b), 0) AS rrf, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(1 / (60 + a), 0) + coalesce(1 / (60 + b), 0), 12) DESC, a NULLS LAST, b NULLS LAST) AS rank FROM fa FULL JOIN fb USING (qid, id)) WHERE rank <= {K}",
+    unit=_UNIT,
+    dense=_DENSE,
+    fa="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(1 / (1 + abs(id - substr(qid, 2)::BIGINT)), 12) DESC, id) AS a FROM dense",
+    fb="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS b FROM dense WHERE score > 0",
+)
+def rrf_hybrid(spark, sf_dir):
+    found = strategies.dense_scores(*_vectors(spark, sf_dir))
+    near = found.withColumn("score", 1 / (1 + F.abs(F.col("id") - F.substr("qid", F.lit(2)).cast("bigint"))))
+    return strategies.fused(near, found).where(F.col("rank") <= K).select("qid", "id", F.round("rrf", 9).alias("rrf"), "rank")
+
+
+@registered("SELECT qid, 'random' AS strategy, id AS turn_id, row_number() OVER (PARTITION BY qid ORDER BY sha256(qid || '|' || id), position)::INT AS unit_ord FROM questions JOIN pos USING (history_id)".replace("FROM questions JOIN", "FROM (SELECT qid, history_id FROM questions) JOIN"))
+def random_order(spark, sf_dir):
+    return strategies.random_turns(*both(spark, sf_dir)).select("qid", "strategy", "turn_id", "unit_ord")
+
+
+# Packing
+
+_FOLD = """SELECT qid, budget, 0::BIGINT AS r, 0::BIGINT AS used, []::VARCHAR[] AS heads, NULL::VARCHAR AS took FROM (SELECT DISTINCT qid FROM cand), (VALUES (256), (1024)) AS b(budget)
+UNION ALL SELECT f.qid, f.budget, c.rank, CASE WHEN f.used + c.line_tokens + CASE WHEN list_contains(f.heads, c.session_id) THEN 0 ELSE c.header_tokens END <= f.budget THEN f.used + c.line_tokens + CASE WHEN list_contains(f.heads, c.session_id) THEN 0 ELSE c.header_tokens END ELSE f.used END,
+  CASE WHEN f.used + c.line_tokens + CASE WHEN list_contains(f.heads, c.session_id) THEN 0 ELSE c.header_tokens END <= f.budget AND NOT list_contains(f.heads, c.session_id) THEN list_append(f.heads, c.session_id) ELSE f.heads END,
+  CASE WHEN f.used + c.line_tokens + CASE WHEN list_contains(f.heads, c.session_id) THEN 0 ELSE c.header_tokens END <= f.budget THEN c.id END
+  FROM fold f JOIN cand c ON c.qid = f.qid AND c.rank = f.r + 1"""
+_CAND = "SELECT r.qid, r.rank, p.* FROM rank_store r JOIN priced p ON p.history_id = r.history_id AND p.id = r.id"
+_PACKED = "SELECT f.qid, f.budget, p.*, row_number() OVER (PARTITION BY f.qid, f.budget ORDER BY p.ts, p.session_id, p.seq) AS out_ord, row_number() OVER (PARTITION BY f.qid, f.budget, p.session_id ORDER BY p.seq) AS in_session FROM fold f JOIN cand p ON p.qid = f.qid AND p.id = f.took"
+
+
+def _packed_store(spark, sf_dir) -> DataFrame:
+    turns, questions = both(spark, sf_dir)
+    return packing.packed(strategies.store(turns, questions), turns, BUDGETS)
+
+
+@registered("SELECT qid, budget::INT AS budget, id AS turn_id, out_ord::INT AS out_ord FROM packed", fold=_FOLD, cand=_CAND, packed=_PACKED.replace("p.*", "p.id, p.ts, p.seq, p.session_id"))
+def pack_ranked(spark, sf_dir):
+    return _packed_store(spark, sf_dir).select("qid", "budget", "turn_id", "out_ord")
+
+
+@registered(
+    "SELECT qid, budget::INT AS budget, string_agg(CASE WHEN in_session = 1 THEN " + o.header("session_id", "ts") + " || chr(10) ELSE '' END || speaker || ': ' || text, chr(10) ORDER BY out_ord) AS body FROM packed GROUP BY 1, 2",
+    fold=_FOLD,
+    cand=_CAND,
+    packed=_PACKED.replace("p.*", "p.id, p.ts, p.seq, p.session_id, p.speaker, p.text"),
+)
+def render_context(spark, sf_dir):
+    return packing.rendered(_packed_store(spark, sf_dir)).select("qid", "budget", "body")
+
+
+_HEAD = """SELECT *, coalesce(sum(line_tokens + head) OVER (PARTITION BY qid, budget ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+  SELECT q.qid, b.budget, p.id, p.session_id, p.line_tokens, p.text_tokens, o.rank, CASE WHEN row_number() OVER (PARTITION BY q.qid, b.budget, p.session_id ORDER BY o.rank) = 1 THEN p.header_tokens ELSE 0 END AS head
+  FROM (SELECT qid, history_id FROM questions) q, (VALUES (256), (1024)) AS b(budget) JOIN (SELECT history_id AS h, id AS i, position + 1 AS rank FROM pos) o ON o.h = q.history_id
+  JOIN (SELECT *, {tokens} AS text_tokens FROM priced) p ON p.history_id = o.h AND p.id = o.i)""".replace("{tokens}", o.tokens("text"))
+
+
+@registered(
+    "SELECT qid, budget::INT AS budget, id AS turn_id, before + line_tokens + head > budget AS cut FROM head h WHERE before + line_tokens + head <= budget OR (rank = (SELECT min(rank) FROM head x WHERE x.qid = h.qid AND x.budget = h.budget AND x.before + x.line_tokens + x.head > x.budget) AND budget - before - head - (line_tokens - text_tokens) >= 8)",
+    head=_HEAD,
+)
+def pack_positional(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return packing.packed(strategies.full_head(turns, questions), turns, BUDGETS).select("qid", "budget", "turn_id", "cut")
+
+
+@registered()
+def pack_window_split(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    shown = packing.packed(strategies.window_bm25(turns, questions), turns, BUDGETS, 0.25)
+    return packing.totals(shown)
+
+
+# Facts
+
+
+@registered("SELECT id, subject, attribute, value, valid_from, superseded_by FROM chain")
+def facts_chain(spark, sf_dir):
+    return facts.chained(facts.filed_in_order(tables.facts(spark, sf_dir))).select("id", "subject", "attribute", "value", "valid_from", "superseded_by")
+
+
+@registered("SELECT subject, attribute, arg_max(value, (valid_from, id)) AS value, max(valid_from) AS valid_from FROM facts WHERE valid_from <= TIMESTAMP '2024-01-15' GROUP BY 1, 2".replace("arg_max(value, (valid_from, id))", "arg_max(value, valid_from)"))
+def facts_as_of(spark, sf_dir):
+    held = facts.as_of(facts.filed_in_order(tables.facts(spark, sf_dir)), F.lit("2024-01-15").cast("timestamp_ntz"))
+    return held.select("subject", "attribute", "value", "valid_from")
+
+
+@registered(
+    "SELECT p.probe_id, p.subject, p.attribute, f.value, f.valid_from FROM probes p ASOF LEFT JOIN facts f ON p.subject = f.subject AND p.attribute = f.attribute AND p.at >= f.valid_from",
+    probes="SELECT event_id AS probe_id, 'user_' || user_id AS subject, event_type AS attribute, ts - INTERVAL 1 DAY AS at FROM events",
+)
+def facts_as_of_each(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    probes = e.select(F.col("event_id").alias("probe_id"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("attribute"), (F.col("ts").cast("timestamp_ntz") - F.make_dt_interval(F.lit(1))).alias("at"))
+    return facts.as_of_each(facts.filed_in_order(tables.facts(spark, sf_dir)), probes).select("probe_id", "subject", "attribute", "value", "valid_from")
+
+
+@registered("SELECT subject, attribute, value, subject || ' / ' || attribute || ': ' || value || ' (since ' || strftime(valid_from, '%Y-%m-%d') || ')' AS line FROM chain WHERE superseded_by IS NULL")
+def facts_current(spark, sf_dir):
+    return facts.current(facts.filed_in_order(tables.facts(spark, sf_dir))).select("subject", "attribute", "value", facts.rendered().alias("line"))
+
+
+_LATE = "SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY md5(event_id::VARCHAR)) AS id, event_id, 'user_' || user_id AS subject, event_type AS attribute, floor(value / 10)::BIGINT::VARCHAR AS value, ts AS valid_from FROM events"
+
+
+@registered(
+    "SELECT event_id, subject, attribute, value, valid_from FROM late WHERE id IN (SELECT unnest(kept) FROM filing f WHERE f.subject = late.subject AND f.attribute = late.attribute AND n = (SELECT max(id) FROM late x WHERE x.subject = late.subject AND x.attribute = late.attribute))",
+    late=_LATE,
+    filing="""SELECT subject, attribute, 0::BIGINT AS n, []::BIGINT[] AS kept, []::STRUCT(t TIMESTAMP, id BIGINT, v VARCHAR)[] AS versions FROM (SELECT DISTINCT subject, attribute FROM late)
+UNION ALL SELECT f.subject, f.attribute, l.id, CASE WHEN list_last(list_sort(list_filter(f.versions, lambda v: v.t <= l.valid_from))).v IS DISTINCT FROM l.value THEN list_append(f.kept, l.id) ELSE f.kept END,
+  CASE WHEN list_last(list_sort(list_filter(f.versions, lambda v: v.t <= l.valid_from))).v IS DISTINCT FROM l.value THEN list_append(f.versions, {'t': l.valid_from, 'id': l.id, 'v': l.value}) ELSE f.versions END
+  FROM filing f JOIN late l ON l.subject = f.subject AND l.attribute = f.attribute AND l.id = f.n + 1""",
+)
+def facts_late_arrivals(spark, sf_dir):
+    return facts.filed(tables.facts(spark, sf_dir, late=True)).select("event_id", "subject", "attribute", "value", "valid_from")
+
+
+_HELD = "SELECT subject, attribute, arg_max(value, valid_from) AS value, arg_max(source_turn, valid_from) AS source_turn, min(valid_from) AS first FROM facts WHERE valid_from <= TIMESTAMP '2024-01-15' GROUP BY 1, 2"
+
+
+@registered(
+    "SELECT qid, subject, attribute, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, doc_id) AS rank FROM (SELECT s.*, h.*, max(score) OVER (PARTITION BY qid) AS top FROM fscore s JOIN held2 h ON h.k = s.doc_id) WHERE score >= 0.5 * top) WHERE rank <= 20",
+    held=_HELD,
+    held2=f"SELECT *, subject || '|' || attribute AS k, {o.terms(chr(40) + 'subject || chr(32) || attribute || chr(32) || value || chr(32) || coalesce(text, chr(32))' + chr(41))} AS ts_ FROM held LEFT JOIN turns ON turns.id = source_turn",
+    fdocs="SELECT 0::BIGINT AS history_id, k AS doc_id, ts_ FROM held2",
+    qterms=f"SELECT DISTINCT 'q' || user_id AS qid, 0::BIGINT AS history_id, unnest({o.terms(chr(40) + quote + chr(41))}) AS term FROM events" if (quote := "'did user_' || user_id || ' click or purchase'") else "",
+    fscore=o._bm25("fdocs"),
+)
+def facts_relevant(spark, sf_dir):
+    held = facts.as_of(facts.filed_in_order(tables.facts(spark, sf_dir)), F.lit("2024-01-15").cast("timestamp_ntz"))
+    said = tables.turns(spark, sf_dir).select(F.col("id").alias("source_turn"), "text")
+    asked = tables.table(spark, sf_dir, "events").select("user_id").distinct()
+    q = asked.select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("qid"), F.concat(F.lit("did user_"), F.col("user_id").cast("string"), F.lit(" click or purchase")).alias("question"))
+    return relevant_facts(held, said, q).select("qid", "subject", "attribute", r6("score").alias("score"), "rank")
+
+
+def relevant_facts(held: DataFrame, said: DataFrame, questions: DataFrame, share: float = 0.5, most: int = 20) -> DataFrame:
+    """Facts in force that match a question: those scoring at least ``share`` of the best, the first ``most``.
+
+    A fact is found by its own words and those of the turn it came from. Ties keep the order in
+    which the keys' first versions began.
+    """
+    own = held.join(said, "source_turn", "left").withColumn("doc_id", F.concat_ws("|", "subject", "attribute"))
+    docs = own.select(F.lit(0).cast("bigint").alias("history_id"), "doc_id", text.terms(F.concat_ws(" ", "subject", "attribute", "value", F.coalesce("text", F.lit(" ")))).alias("terms"))
+    asked = questions.select("qid", F.lit(0).cast("bigint").alias("history_id"), text.terms(F.col("question")).alias("terms"))
+    found = bm25.scores(bm25.build(docs), asked).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= share * F.col("top"))
+    met = found.join(own.select("doc_id", "subject", "attribute", "value", "valid_from", F.col("first.valid_from").alias("began")), "doc_id")
+    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "began", "doc_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+# The store
+
+
+def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an empty store holds after the even turns of each conversation, and a batch of all turns."""
+    t = tables.turns(spark, sf_dir)
+    batch = t.select(F.struct("ts", "seq").alias("input_ord"), F.lit(0).alias("session_ord"), "id", "session_id", "session_ts", "speaker", "text", "ts")
+    none = t.limit(0).select("id", "session_id", F.col("seq").cast("bigint").alias("seq"), "speaker", "text", "ts", F.lit(None).cast("timestamp_ntz").alias("forgotten_at"))
+    sessions = t.limit(0).select(F.col("session_id").alias("id"), F.col("ts").alias("started_at"), F.col("seq").alias("next_seq"))
+    stored, known, _ = store.ingested(none, sessions, batch.where("input_ord.seq % 2 = 0"))
+    return stored, known, batch
+
+
+@registered("SELECT id, session_id, CASE WHEN seq % 2 = 0 THEN seq // 2 ELSE seq // 2 + (SELECT count(*) FROM turns x WHERE x.session_id = t.session_id AND x.seq % 2 = 0) END::BIGINT AS seq FROM turns t")
+def ingest_dedupe(spark, sf_dir):
+    stored, known, batch = _stored(spark, sf_dir)
+    return store.ingested(stored, known, batch)[0].select("id", "session_id", "seq")
+
+
+@registered("SELECT count_if(seq % 2 = 1)::BIGINT AS added, count_if(seq % 2 = 0)::BIGINT AS already_stored, 0::BIGINT AS empty FROM turns")
+def ingest_counts(spark, sf_dir):
+    stored, known, batch = _stored(spark, sf_dir)
+    return store.ingested(stored, known, batch)[2]
+
+
+def _policy(spec: str) -> Query:
+    def run(spark, sf_dir):
+        t = tables.turns(spark, sf_dir).withColumn("forgotten_at", F.lit(None).cast("timestamp_ntz"))
+        now = F.lit("2024-02-15").cast("timestamp_ntz")
+        return store.forgotten(t, store.policy(spec, now)[0], now).select("id", F.col("forgotten_at").isNotNull().alias("forgotten"))
+
+    return run
+
+
+@registered(f"SELECT id, len({o.terms('text')}) < 12 AS forgotten FROM turns")
+def forget_phatic(spark, sf_dir):
+    return _policy("phatic:12")(spark, sf_dir)
+
+
+@registered("SELECT id, speaker = 'assistant' AS forgotten FROM turns")
+def forget_role(spark, sf_dir):
+    return _policy("role:assistant")(spark, sf_dir)
+
+
+@registered("SELECT id, ts < TIMESTAMP '2024-02-15' - INTERVAL 20 DAY - INTERVAL 12 HOUR AS forgotten FROM turns")
+def forget_older_than(spark, sf_dir):
+    return _policy("older-than:20.5")(spark, sf_dir)
+
+
+@registered(f"SELECT id, {o.truncated('text', 48)} AS text, {o.tokens('text')} > 48 AS changed FROM turns")
+def compact_truncate(spark, sf_dir):
+    t = tables.turns(spark, sf_dir).withColumn("forgotten_at", F.lit(None).cast("timestamp_ntz"))
+    return store.compacted(t, 48).select("id", "text", "changed")
+
+
+@registered("SELECT f.id, CASE WHEN t.id IS NULL THEN source_turn END AS source_turn FROM facts f LEFT JOIN (SELECT id FROM turns WHERE speaker = 'user') t ON t.id = source_turn")
+def purge(spark, sf_dir):
+    now = F.lit("2024-02-15").cast("timestamp_ntz")
+    t = tables.turns(spark, sf_dir).withColumn("forgotten_at", F.lit(None).cast("timestamp_ntz"))
+    return store.purged(store.forgotten(t, store.by_speaker("user"), now), facts.filed_in_order(tables.facts(spark, sf_dir)))[1].select("id", "source_turn")
+
+
+@registered("SELECT (SELECT count(DISTINCT session_id) FROM turns)::BIGINT AS sessions, (SELECT count(*) FROM turns WHERE speaker <> 'user')::BIGINT AS turns, (SELECT count(*) FROM turns WHERE speaker = 'user')::BIGINT AS forgotten_turns, (SELECT count(*) FROM chain WHERE superseded_by IS NULL)::BIGINT AS facts_current, (SELECT count(*) FROM chain WHERE superseded_by IS NOT NULL)::BIGINT AS facts_superseded")
+def store_stats(spark, sf_dir):
+    now = F.lit("2024-02-15").cast("timestamp_ntz")
+    t = tables.turns(spark, sf_dir).withColumn("forgotten_at", F.lit(None).cast("timestamp_ntz"))
+    return store.stats(store.forgotten(t, store.by_speaker("user"), now), t.select("session_id").distinct(), facts.chained(facts.filed_in_order(tables.facts(spark, sf_dir))))
+
+
+@registered("SELECT history_id, count(*)::BIGINT AS turns, min(position)::BIGINT AS first, max(position)::BIGINT AS last FROM (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY ts, session_id, seq) - 1 AS position FROM turns WHERE ts <= TIMESTAMP '2024-02-15') GROUP BY 1")
+def history_at(spark, sf_dir):
+    seen = store.history_at(tables.turns(spark, sf_dir), F.lit("2024-02-15").cast("timestamp_ntz"))
+    return strategies.placed(seen).groupBy("history_id").agg(F.count("*").alias("turns"), F.min("position").cast("bigint").alias("first"), F.max("position").cast("bigint").alias("last"))
+
+
+# Evaluation and reports
+
+
+def eval_rows(spark, sf_dir) -> DataFrame:
+    """One row for each question, strategy and number of hits: what the first hits bring."""
+    turns, questions = both(spark, sf_dir)
+    parts = []
+    for name, found in (("bm25_turns", strategies.turn_scores(turns, questions)), ("store", strategies.store_scores(turns, questions))):
+        ranked = bm25.ranked(found, "position", 5)
+        ks = ranked.select("*", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("budget")).where("rank <= budget")
+        parts.append(ks.select("qid", F.lit(name).alias("strategy"), "budget", F.col("id").alias("turn_id"), "session_id", (F.col("rank") == 5).alias("cut")))
+    contexts = parts[0].unionByName(parts[1])
+    tokens = contexts.join(turns.select(F.col("id").alias("turn_id"), text.count_tokens(F.col("text")).alias("t")), "turn_id").groupBy("qid", "strategy", "budget").agg(F.sum("t").alias("tokens"))
+    scored = evaluation.scores(contexts, questions, questions.select("qid", "history_id", "turn_id"), questions.select("qid", "session_id"), turns)
+    return scored.join(questions.select("qid", "dataset", "cluster", "split"), "qid").join(tokens, ["qid", "strategy", "budget"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+
+
+_EVAL = {
+    "hits": f"SELECT qid, 'bm25_turns' AS strategy, id, session_id, rank, {'t'}.tokens FROM rank_turns r JOIN (SELECT id AS i, {o.tokens('text')} AS tokens FROM turns) t ON t.i = r.id WHERE rank <= 5 UNION ALL SELECT qid, 'store', id, session_id, rank, t.tokens FROM rank_store r JOIN (SELECT id AS i, {o.tokens('text')} AS tokens FROM turns) t ON t.i = r.id WHERE rank <= 5",
+    "grid": "SELECT q.*, s.strategy, b.budget FROM questions q, (VALUES ('bm25_turns'), ('store')) AS s(strategy), (VALUES (1), (3), (5)) AS b(budget)",
+    "rows_": """SELECT g.qid, g.strategy, g.budget::INT AS budget, g.dataset, g.split, g.cluster, g.qtype, coalesce(sum(h.tokens), 0)::BIGINT AS tokens,
+  coalesce(max(CASE WHEN h.id = g.turn_id THEN 1.0 END), 0)::DOUBLE AS recall, coalesce(max(CASE WHEN h.id = g.turn_id AND h.rank <> 5 THEN 1.0 END), 0)::DOUBLE AS recall_strict,
+  coalesce(max(CASE WHEN h.session_id = g.session_id THEN 1.0 END), 0)::DOUBLE AS session_recall
+  FROM grid g LEFT JOIN hits h ON h.qid = g.qid AND h.strategy = g.strategy AND h.rank <= g.budget GROUP BY ALL""",
+}
+
+
+@registered(
+    "SELECT qid, strategy, budget, recall, recall_strict, recall = 1 AS \"all\", session_recall, session_recall = 1 AS all_sessions, CASE WHEN qtype = 'knowledge-update' THEN recall = 1 END AS newest, CASE WHEN qtype = 'knowledge-update' THEN false END AS stale_only FROM rows_",
+    **_EVAL,
+)
+def score_recall(spark, sf_dir):
+    return eval_rows(spark, sf_dir).select("qid", "strategy", "budget", "recall", "recall_strict", "all", "session_recall", "all_sessions", "newest", "stale_only")
+
+
+@registered("SELECT dataset, split, strategy, budget, CASE WHEN grouping(qtype) = 1 THEN 'all types' ELSE qtype END AS qtype, count(*)::BIGINT AS n_questions, round(avg(tokens), 1) AS mean_tokens, count(*)::BIGINT AS n_measurable FROM rows_ GROUP BY GROUPING SETS ((dataset, split, strategy, budget, qtype), (dataset, split, strategy, budget))", **_EVAL)
+def summarise_rollup(spark, sf_dir):
+    return reports.summarise(eval_rows(spark, sf_dir))
+
+
+_TYPED = "SELECT * REPLACE (unnest([qtype, 'all types']) AS qtype), recall AS value FROM rows_"
+_R4 = "round(mean, 4) AS mean, round(lo, 4) AS lo, round(hi, 4) AS hi, n, clusters"
+
+
+@registered(f"SELECT dataset, split, strategy, budget, qtype, {_R4} FROM ({o.jackknife('typed', 'dataset, split, strategy, budget, qtype')})", typed=_TYPED, **_EVAL)
+def jackknife_ci(spark, sf_dir):
+    return reports.metric_means(eval_rows(spark, sf_dir), metrics=("recall",)).drop("metric")
+
+
+_PAIRS = "SELECT dataset, unnest([qtype, 'all types']) AS qtype, cluster, x - y AS value FROM (SELECT dataset, qid, qtype, cluster, max(CASE WHEN strategy = 'store' THEN recall END) AS x, max(CASE WHEN strategy = 'bm25_turns' THEN recall END) AS y FROM rows_ WHERE budget = 3 AND split = 'test' GROUP BY ALL)"
+
+
+@registered(f"SELECT dataset, qtype, {_R4} FROM ({o.jackknife('pairs', 'dataset, qtype')})", pairs=_PAIRS, **_EVAL)
+def paired_compare(spark, sf_dir):
+    return reports.compare(eval_rows(spark, sf_dir), "store", "bm25_turns", 3)
+
+
+@registered("SELECT dataset, split, strategy, qtype, min(CASE WHEN m >= 0.8 THEN budget END) AS budget FROM (SELECT dataset, split, strategy, budget, qtype, round(avg(value), 4) AS m FROM typed GROUP BY ALL) GROUP BY ALL", typed=_TYPED, **_EVAL)
+def budget_to_reach(spark, sf_dir):
+    return reports.budget_to_reach(reports.metric_means(eval_rows(spark, sf_dir), metrics=("recall",)), 0.8)
+
+
+def evidence_rows(spark, sf_dir) -> DataFrame:
+    """For each gold turn, strategy and budget: where it stands, and whether it was found, and whole."""
+    turns, questions = both(spark, sf_dir)
+    at = evaluation.positions(questions.select("qid", "history_id", "turn_id"), turns)
+    rows = eval_rows(spark, sf_dir).join(at, "qid")
+    return rows.withColumn("hit", F.col("recall") > 0).withColumn("whole", F.col("recall_strict") > 0)
+
+
+_BUCKET = "CASE WHEN pos < 0.25 THEN '0-0.25' WHEN pos < 0.5 THEN '0.25-0.5' WHEN pos < 0.75 THEN '0.5-0.75' WHEN pos < 0.9 THEN '0.75-0.9' ELSE '0.9-1' END"
+_AT = {"stood": f"SELECT q.qid, {_BUCKET} AS position FROM (SELECT qid, history_id AS h, turn_id FROM questions) q JOIN (SELECT history_id AS h, id, round(position / greatest(n_turns - 1, 1), 4) AS pos FROM pos) p ON p.h = q.h AND p.id = q.turn_id"}
+
+
+@registered(f"SELECT dataset, strategy, position, {_R4} FROM ({o.jackknife('placed', 'dataset, strategy, position')})", placed="SELECT r.dataset, r.strategy, r.cluster, stood.position, recall AS value FROM rows_ r JOIN stood USING (qid) WHERE budget = 3 AND split = 'test'", **_AT, **_EVAL)
+def by_position(spark, sf_dir):
+    return reports.by_position(evidence_rows(spark, sf_dir), 3)
+
+
+@registered(
+    f"SELECT dataset, position, credit, {_R4} FROM ({o.jackknife('placed', 'dataset, position, credit')})",
+    placed="SELECT r.dataset, r.cluster, stood.position, c.credit, max(CASE WHEN strategy = 'store' THEN CASE c.credit WHEN 'strict' THEN recall_strict ELSE recall END END) - max(CASE WHEN strategy = 'bm25_turns' THEN CASE c.credit WHEN 'strict' THEN recall_strict ELSE recall END END) AS value FROM rows_ r JOIN stood USING (qid), (VALUES ('lenient'), ('strict')) AS c(credit) WHERE budget = 5 AND split = 'test' GROUP BY r.dataset, r.cluster, stood.position, c.credit, r.qid",
+    **_AT,
+    **_EVAL,
+)
+def position_differences(spark, sf_dir):
+    return reports.position_differences(evidence_rows(spark, sf_dir), "store", "bm25_turns", 5)
+
+
+@registered(
+    f"SELECT j.dataset, j.strategy, j.qtype, n, unparsed, round(mean, 4) AS mean, round(lo, 4) AS lo, round(hi, 4) AS hi, found_mean, found_n, missing_mean, missing_n FROM ({o.jackknife('answers', 'dataset, strategy, qtype')}) j JOIN (SELECT dataset, strategy, qtype, count_if(correct IS NULL)::BIGINT AS unparsed, round(avg(CASE WHEN recall > 0 THEN value END), 4) AS found_mean, count(CASE WHEN recall > 0 THEN value END)::BIGINT AS found_n, round(avg(CASE WHEN recall = 0 THEN value END), 4) AS missing_mean, count(CASE WHEN recall = 0 THEN value END)::BIGINT AS missing_n FROM answers GROUP BY ALL) s USING (dataset, strategy, qtype)",
+    answers="SELECT dataset, strategy, unnest([qtype, 'all types']) AS qtype, cluster, recall, correct, CASE WHEN correct THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM (SELECT *, CASE length(qid) + budget WHEN 3 THEN NULL ELSE recall = 1 END AS correct FROM rows_)",
+    **_EVAL,
+)
+def summarise_answers(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir).withColumn("correct", F.when(F.length("qid") + F.col("budget") != 3, F.col("recall") == 1))
+    return reports.summarise_answers(rows)
+
+
+@registered("SELECT q.qid, q.turn_id, len(list_intersect(list_filter(qt, lambda w: NOT list_contains(names, w)), tt)) > 0 AS visible FROM (SELECT qid, history_id AS h, turn_id, " + o.terms("question") + " AS qt FROM questions) q JOIN (SELECT id, " + o.terms("text") + " AS tt FROM turns) t ON t.id = q.turn_id JOIN (SELECT history_id AS h, flatten(list(DISTINCT " + o.terms("speaker") + ")) AS names FROM turns GROUP BY 1) n ON n.h = q.h")
+def lexical_visibility(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return evaluation.visibility(questions, questions.select("qid", "history_id", "turn_id"), turns)
+
+
+_LOCATED = f"SELECT qid, list_filter(list_distinct(a), lambda w: NOT list_contains(tt, w)) AS missing FROM (SELECT qid, turn_id, {o.terms('answer')} AS a FROM questions) JOIN (SELECT id, {o.terms('text')} AS tt FROM turns) t ON t.id = turn_id WHERE len(a) > 0"
+
+
+@registered(
+    "SELECT qid, CASE WHEN len(missing) = 0 THEN 'in_text' WHEN len(list_filter(missing, lambda w: NOT regexp_full_match(w, '[0-9]+') OR length(w) = 4)) > 0 AND len(list_filter(missing, lambda w: NOT (regexp_full_match(w, '[0-9]+') OR list_contains(dw, w) OR regexp_full_match(rtrim(w, 'thsndr'), '[0-9]+')))) = 0 THEN 'needs_date' ELSE 'elsewhere' END AS location FROM located, dates",
+    located=_LOCATED,
+    dates=f"SELECT {o.date_words()} AS dw",
+)
+def answer_location(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return evaluation.answer_location(questions, questions.select("qid", "history_id", "turn_id"), turns)
+
+
+@registered("SELECT q.qid, round(position / (n_turns - 1), 6) AS mean_pos FROM (SELECT qid, history_id AS h, turn_id FROM questions) q JOIN pos ON pos.history_id = q.h AND pos.id = q.turn_id WHERE n_turns > 1")
+def mean_position(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return evaluation.mean_positions(questions.select("qid", "history_id", "turn_id"), turns).select("qid", r6("mean_pos").alias("mean_pos"))
+
+
+@registered(
+    f"SELECT history_id, {'sum'}(t)::BIGINT AS tokens, count(*)::BIGINT AS turns, round((epoch_us(max(ts) + INTERVAL 1 DAY) - epoch_us(min(ts))) / 86400000000.0, 1) AS span_days FROM (SELECT history_id, ts, {o.tokens('text')} AS t FROM turns) GROUP BY 1"
+)
+def history_diagnostics(spark, sf_dir):
+    t = tables.turns(spark, sf_dir)
+    day = F.make_dt_interval(F.lit(1))
+    return t.groupBy("history_id").agg(F.sum(text.count_tokens(F.col("text"))).cast("bigint").alias("tokens"), F.count("*").alias("turns"), F.round(strategies.age_days(F.max("ts") + day, F.min("ts")), 1).alias("span_days"))
+
+
+@registered(
+    "SELECT config, round(macro, 4) AS macro, config = (SELECT config FROM macro_ ORDER BY round(macro, 4) DESC, config LIMIT 1) AS best FROM macro_",
+    macro_="SELECT config, avg(recall) AS macro FROM (SELECT config, dataset, round(avg(recall), 4) AS recall FROM (SELECT *, budget * 10 + CASE strategy WHEN 'store' THEN 1 ELSE 0 END AS config FROM rows_ WHERE split = 'dev') GROUP BY ALL) GROUP BY 1",
+    **_EVAL,
+)
+def sweep_best(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir).where("split = 'dev'").withColumn("config", F.col("budget") * 10 + (F.col("strategy") == "store").cast("int"))
+    return reports.best_config(rows.select("config", "dataset", "recall"))
+
+
+@registered()
+def bootstrap_ci(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir).withColumn("value", F.col("recall"))
+    return stats.bootstrap(rows, ["dataset", "split", "strategy", "budget"], resamples=200)
+
+
+@registered(
+    "SELECT policy, count(*)::BIGINT AS turns, round(sum(t) / (SELECT sum(t) FROM priced2), 4) AS tokens_kept, round(count(DISTINCT e.qid) / (SELECT count(*) FROM questions), 4) AS evidence_kept FROM (SELECT 'none' AS policy, id, t FROM priced2 UNION ALL SELECT 'phatic:12', id, t FROM priced2 WHERE n >= 12 UNION ALL SELECT 'role:assistant', id, t FROM priced2 WHERE speaker <> 'assistant') LEFT JOIN (SELECT qid, turn_id FROM questions) e ON e.turn_id = id GROUP BY 1",
+    priced2=f"SELECT id, speaker, {o.tokens('text')} AS t, len({o.terms('text')}) AS n FROM turns",
+)
+def forgetting_study(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    now = F.lit("2024-02-15").cast("timestamp_ntz")
+    priced = turns.withColumn("t", text.count_tokens(F.col("text")))
+    kept = None
+    for spec in ("none", "phatic:12", "role:assistant"):
+        part = (priced if spec == "none" else store.applied(priced, *store.policy(spec, now))).select(F.lit(spec).alias("policy"), "id", "t")
+        kept = part if kept is None else kept.unionByName(part)
+    total = priced.agg(F.sum("t").alias("total")).crossJoin(questions.agg(F.count("*").alias("asked")))
+    gold = questions.select("qid", F.col("turn_id").alias("id"))
+    sums = kept.join(gold, "id", "left").groupBy("policy").agg(F.count("*").alias("turns"), F.sum("t").alias("t"), F.count_distinct("qid").alias("found"))
+    return sums.crossJoin(F.broadcast(total)).select("policy", "turns", F.round(F.col("t") / F.col("total"), 4).alias("tokens_kept"), F.round(F.col("found") / F.col("asked"), 4).alias("evidence_kept"))
