@@ -102,7 +102,9 @@ def drawn_slots(planned: DataFrame, shard: int = SHARD, seed: int = SEED) -> Dat
     turn = F.floor(F.col("k") / F.col("blocks"))
     slots = permuted(slots, "block", F.col("k") % F.col("blocks"), F.col("blocks"), F.pmod(F.lit(seed) + F.col("source_rank") * 31 + turn * 17, F.lit(PRIME)))
     slots = permuted(slots, "place", F.col("first_slot") + F.col("k"), F.col("all_slots"), F.lit(seed))
-    return slots.select("source", "block", F.floor(F.col("place") / shard).alias("shard"), F.pmod("place", F.lit(shard)).alias("place"))
+    slots = slots.select("source", "block", F.floor(F.col("place") / shard).alias("shard"), F.pmod("place", F.lit(shard)).alias("place"))
+    # Written once: a condition on these columns, pushed down through the rounds, would double in each.
+    return table_copy(slots, "slots")
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def mixture(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, weights:
     sized = table_copy(sized, "sizes")
     placed, filled = packed(sized, block, bucket)
     planned = plan(filled, weights, most)
-    slots = table_copy(drawn_slots(planned), "slots")
+    slots = drawn_slots(planned)
     uses = slots.groupBy(F.col("source").alias("s"), "block").agg(F.count("*").alias("uses"))
     first = filled.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "first_block")
     at = placed.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")

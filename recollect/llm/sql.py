@@ -100,8 +100,8 @@ dealt AS (
   FROM sized d JOIN sizes s ON d.source IS NOT DISTINCT FROM s.source
 ),
 placed AS (
-  SELECT *, row_number() OVER o AS nth, (sum(size) OVER (PARTITION BY source, bucket ORDER BY doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
-  FROM dealt WINDOW o AS (PARTITION BY source, bucket ORDER BY doc_id, size)
+  SELECT *, row_number() OVER o AS nth, (sum(size) OVER (PARTITION BY source, bucket ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
+  FROM dealt WINDOW o AS (PARTITION BY source, bucket ORDER BY doc_id NULLS FIRST, size)
 ),
 counted AS (SELECT source, bucket, sum(size)::BIGINT AS words, ceil(sum(size) / {b})::BIGINT AS blocks FROM placed GROUP BY ALL),
 filled AS (SELECT *, (sum(blocks) OVER (PARTITION BY source ORDER BY bucket ROWS UNBOUNDED PRECEDING))::BIGINT - blocks AS first_block FROM counted),
