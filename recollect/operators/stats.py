@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +26,12 @@ def t975(df: Column) -> Column:
 def cluster_means(rows: DataFrame, by: list[str], value: str = "value", cluster: str = "cluster") -> DataFrame:
     """(by, mean, lo, hi, n, clusters) for each group: leave-one-cluster-out intervals.
 
-    Rows are summed by cluster first, so what meets in a group is one row for each cluster. The
+    Rows are summed by cluster first, so what meets in a group is one row for each cluster; those
+    sums are kept, as they are read twice. The
     interval is cut to the range of the values; a single cluster has none, and lo = hi = mean.
     Null values are left out.
     """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.min(value).alias("least"), F.max(value).alias("most"))
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.min(value).alias("least"), F.max(value).alias("most")).persist(StorageLevel.MEMORY_AND_DISK)
     totals = sums.groupBy(*by).agg(F.sum("s").alias("total"), F.sum("c").alias("n"), F.count("*").alias("clusters"), F.min("least").alias("least"), F.max("most").alias("most"))
     same = F.lit(True)
     for k in by:

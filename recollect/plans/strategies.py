@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,19 @@ def said(speaker: str = "speaker", text: str = "text") -> Column:
     return F.concat(speaker, F.lit(" "), text)
 
 
+def turn_terms(turns: DataFrame) -> DataFrame:
+    """(history_id, id, session_id, terms), kept: cutting and stemming is most of the work, and
+    postings, lengths and both indexes read it. Kept rows spill to disk and can be computed again."""
+    return turns.select("history_id", "id", "session_id", terms(said()).alias("terms")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def turn_index(turns: DataFrame) -> bm25.Index:
-    return bm25.build(turns.select("history_id", F.col("id").alias("doc_id"), terms(said()).alias("terms")))
+    return bm25.build(turn_terms(turns).select("history_id", F.col("id").alias("doc_id"), "terms"))
 
 
 def session_index(turns: DataFrame) -> bm25.Index:
     """Terms of a session are those of its turns, joined by spaces, so each turn is cut alone."""
-    words = turns.select("history_id", "session_id", terms(said()).alias("t")).groupBy("history_id", "session_id").agg(F.flatten(F.collect_list("t")).alias("terms"))
+    words = turn_terms(turns).groupBy("history_id", "session_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
     return bm25.build(words.select("history_id", F.col("session_id").alias("doc_id"), "terms"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -422,14 +423,17 @@ def history_at(spark, sf_dir):
 
 
 def eval_rows(spark, sf_dir) -> DataFrame:
-    """One row for each question, strategy and number of hits: what the first hits bring."""
+    """One row for each question, strategy and number of hits: what the first hits bring.
+
+    The contexts are scored from several sides, so they are kept rather than retrieved again.
+    """
     turns, questions = both(spark, sf_dir)
     parts = []
     for name, found in (("bm25_turns", strategies.turn_scores(turns, questions)), ("store", strategies.store_scores(turns, questions))):
         ranked = bm25.ranked(found, "position", 5)
         ks = ranked.select("*", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("budget")).where("rank <= budget")
         parts.append(ks.select("qid", F.lit(name).alias("strategy"), "budget", F.col("id").alias("turn_id"), "session_id", (F.col("rank") == 5).alias("cut")))
-    contexts = parts[0].unionByName(parts[1])
+    contexts = parts[0].unionByName(parts[1]).persist(StorageLevel.MEMORY_AND_DISK)
     tokens = contexts.join(turns.select(F.col("id").alias("turn_id"), text.count_tokens(F.col("text")).alias("t")), "turn_id").groupBy("qid", "strategy", "budget").agg(F.sum("t").alias("tokens"))
     scored = evaluation.scores(contexts, questions, questions.select("qid", "history_id", "turn_id"), questions.select("qid", "session_id"), turns)
     return scored.join(questions.select("qid", "dataset", "cluster", "split"), "qid").join(tokens, ["qid", "strategy", "budget"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
