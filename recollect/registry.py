@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recollect import oracle as o
 from recollect.functions import parsing, temporal, text
 from recollect.operators import bm25, evaluation, facts, reports, stats, store
-from recollect.plans import packing, strategies
+from recollect.plans import memory, packing, strategies
 from recollect.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,22 +326,15 @@ def facts_relevant(spark, sf_dir):
     said = tables.turns(spark, sf_dir).select(F.col("id").alias("source_turn"), "text")
     asked = tables.table(spark, sf_dir, "events").select("user_id").distinct()
     q = asked.select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("qid"), F.concat(F.lit("did user_"), F.col("user_id").cast("string"), F.lit(" click or purchase")).alias("question"))
-    return relevant_facts(held, said, q).select("qid", "subject", "attribute", r6("score").alias("score"), "rank")
+    return memory.relevant_facts(held, said, q).select("qid", "subject", "attribute", r6("score").alias("score"), "rank")
 
 
-def relevant_facts(held: DataFrame, said: DataFrame, questions: DataFrame, share: float = 0.5, most: int = 20) -> DataFrame:
-    """Facts in force that match a question: those scoring at least ``share`` of the best, the first ``most``.
-
-    A fact is found by its own words and those of the turn it came from. Ties keep the order in
-    which the keys' first versions began.
-    """
-    own = held.join(said, "source_turn", "left").withColumn("doc_id", F.concat_ws("|", "subject", "attribute"))
-    docs = own.select(F.lit(0).cast("bigint").alias("history_id"), "doc_id", text.terms(F.concat_ws(" ", "subject", "attribute", "value", F.coalesce("text", F.lit(" ")))).alias("terms"))
-    asked = questions.select("qid", F.lit(0).cast("bigint").alias("history_id"), text.terms(F.col("question")).alias("terms"))
-    found = bm25.scores(bm25.build(docs), asked).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= share * F.col("top"))
-    met = found.join(own.select("doc_id", "subject", "attribute", "value", "valid_from", F.col("first.valid_from").alias("began")), "doc_id")
-    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "began", "doc_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+@registered()
+def store_context(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    now = F.lit("2024-02-15").cast("timestamp_ntz")
+    found = memory.contexts(turns, facts.filed_in_order(tables.facts(spark, sf_dir)), questions, now, 512)
+    return found.select("qid", F.col("tokens").cast("bigint").alias("tokens"), "body")
 
 
 # The store
