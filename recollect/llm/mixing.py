@@ -97,7 +97,9 @@ def drawn_slots(planned: DataFrame, shard: int = SHARD, seed: int = SEED) -> Dat
     runs = planned.where("slots > 0").select(
         "source", "source_rank", "blocks", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1, F.lit(RUN).cast("bigint"))).alias("run")
     )
-    runs = runs.repartition("source_rank", "run")
+    # A number of partitions is asked for, as adaptive execution would merge these few short rows
+    # into one task, which would then write out every slot.
+    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "run")
     slots = runs.select("*", F.explode(F.sequence("run", F.least(F.col("run") + RUN, "slots") - 1)).alias("k"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     slots = permuted(slots, "block", F.col("k") % F.col("blocks"), F.col("blocks"), F.pmod(F.lit(seed) + F.col("source_rank") * 31 + turn * 17, F.lit(PRIME)))
