@@ -35,7 +35,9 @@ class Model:
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
     """(buckets, counts, any letter) of the n-grams of a text's words, padded by single spaces."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _LETTERS[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    letters = _LETTERS[np.minimum(codes, 0xFFFF)]
+    for at in np.flatnonzero(codes > 0xFFFF):
+        letters[at] = chr(codes[at]).isalpha()
     if not letters.any():
         return np.empty(0, np.int64), np.empty(0), False
     codes = np.concatenate([[32], np.where(letters, codes, 32), [32]]).astype(np.uint32)

@@ -26,9 +26,9 @@ def test_held_out_accuracy_and_odd_texts(spark):
     held = found.where("held").collect()
     assert len(held) > 20 and sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in found.collect())
-    odd = docs(spark, [None, "", "123 !?", "the", "the", "\ud7ff 漢字", "x" * 200_000]).selectExpr("*", "'a' as lang_pred_", "2 as score_")
+    odd = docs(spark, [None, "", "123 !?", "the", "the", "\ud7ff 漢字", "x" * 200_000, "🙂 🙂!", "𝒳𐍈"]).selectExpr("*", "'a' as lang_pred_", "2 as score_")
     got = rows(lid.identified(odd, model), "doc_id", "lang_pred")
-    assert got[:3] == [(0, "und"), (1, "und"), (2, "und")] and got[3][1] == got[4][1] == "en" and got[5][1] in model.langs
+    assert got[:3] == [(0, "und"), (1, "und"), (2, "und")] and got[3][1] == got[4][1] == "en" and got[5][1] in model.langs and got[7][1] == "und" and got[8][1] in model.langs
 
 
 def test_counts_match_those_of_one_process(spark):
