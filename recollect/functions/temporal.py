@@ -15,6 +15,7 @@ NUMBERS = {
 }
 UNITS = {"day": 1, "week": 7, "month": 30, "year": 365, "weekend": 3}
 
+#: How times and phrases are written (fixed values).
 CLOCK = r"(?i)^(\d{1,2}):(\d{2})\s*([ap]m)\s+on\s+(\d{1,2})\s+([A-Za-z]+),?\s+(\d{4})$"
 SLASHED = r"^(\d{4})/(\d{2})/(\d{2})(?:\s*\([A-Za-z]+\))?\s*(\d{2}):(\d{2})$"
 

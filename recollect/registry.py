@@ -533,6 +533,18 @@ def answer_location(spark, sf_dir):
     return evaluation.answer_location(questions, questions.select("qid", "history_id", "turn_id"), turns)
 
 
+@registered("SELECT qid, contains(lower(text), lower(answer)) AS present FROM (SELECT qid, turn_id, answer FROM questions) q JOIN (SELECT id, text FROM turns) t ON t.id = q.turn_id")
+def answer_present(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return evaluation.answer_present(questions, questions.select("qid", "history_id", "turn_id"), turns)
+
+
+@registered(f"SELECT qid, coalesce(w IS NOT NULL, false) AS names_time, {o.tokens('question')} AS tokens FROM windows JOIN (SELECT qid, question FROM questions) q USING (qid)")
+def names_a_time(spark, sf_dir):
+    q = tables.questions(spark, sf_dir)
+    return q.select("qid", temporal.query_window(F.col("question"), F.col("now")).isNotNull().alias("names_time"), text.count_tokens(F.col("question")).cast("bigint").alias("tokens"))
+
+
 @registered("SELECT q.qid, round(position / (n_turns - 1), 6) AS mean_pos FROM (SELECT qid, history_id AS h, turn_id FROM questions) q JOIN pos ON pos.history_id = q.h AND pos.id = q.turn_id WHERE n_turns > 1")
 def mean_position(spark, sf_dir):
     turns, questions = both(spark, sf_dir)
