@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import NOT_WORD, read, split_words
+from recollect.llm.common import NOT_WORD, read, split_words, table_copy
 
 #: Word offsets that a seed looks at; the positions between are ignored, so a replaced word
 #: there changes nothing.
@@ -14,6 +14,8 @@ MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 7, 8), (0, 1, 5, 7, 10))
 MIN_WORDS = 5
 #: Up to this many seeds of test items (some 64 MB in a hash table) are broadcast.
 BROADCAST_SEEDS = 2_000_000
+#: Up to this many ids of documents (some 32 MB) are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def _words(text: str) -> Column:
@@ -91,9 +93,12 @@ def leaks(
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no test item was met, with all their columns.
 
-    A row with a null id or text was never searched for and stays.
+    A row with a null id or text was never searched for and stays. The ids of leaks are written
+    and counted; up to BROADCAST_IDS of them are broadcast, so that the texts stay where they are.
     """
-    return docs.join(leaks(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = table_copy(leaks(docs, items, **options).select("doc_id").distinct(), "leaks")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    return docs.join(found, "doc_id", "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
