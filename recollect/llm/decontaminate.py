@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from recollect.llm.common import NOT_WORD, read, split_words, table_copy
 
 #: Word offsets that a seed looks at; the positions between are ignored, so a replaced word
-#: there changes nothing.
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 7, 8), (0, 1, 5, 7, 10))
-#: Items with fewer words are never reported; those too short for a mask are sought whole.
-MIN_WORDS = 5
+#: there changes nothing. Wherever two words of ten (one of eight or nine) are replaced, some
+#: place of one of these masks in them meets neither: no such overlap is missed.
+MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 8, 9), (0, 3, 4, 6, 7))
+#: Items with fewer words are never reported. Up to SHORT words, an item is sought by masks
+#: that leave out one of its words each.
+MIN_WORDS, SHORT = 5, 7
 #: Up to this many seeds of test items (some 64 MB in a hash table) are broadcast.
 BROADCAST_SEEDS = 2_000_000
 #: Up to this many ids of documents (some 32 MB) are broadcast.
 BROADCAST_IDS = 1_000_000
 
 
+def all_but_one(n: int) -> list[tuple[int, ...]]:
+    """The masks of n words that leave out one of them, as offsets from the first word left."""
+    left = [[k for k in range(n) if k != gone] for gone in range(n)]
+    return sorted({tuple(k - m[0] for k in m) for m in left})
+
+
 def _words(text: str) -> Column:
     return split_words(F.lower(F.col(text)), NOT_WORD)
 
@@ -44,8 +52,10 @@ def leaks(
     A seed is a hash of the words at a mask's offsets. Where a seed of a document equals one of
     an item, the item is laid over the document on that diagonal, and reported if among some
     ``window`` consecutive words of it (all of a shorter one) at least ``share`` equal the
-    document's: replaced words are tolerated, in the seed and in the overlap. matched_words is
-    the best such diagonal's equal words, first_word its place in the document.
+    document's: replaced words are tolerated, in the seed and in the overlap. With the masks,
+    window and share given here, every diagonal that passes the overlap check has a seed, so the
+    result is that of a comparison of all pairs. matched_words is the best such diagonal's equal
+    words, first_word its place in the document.
 
     Words are lower-cased; null or empty texts have none. Items under MIN_WORDS words are not
     sought. Rows with equal ids count as one document or item. Extra columns are ignored; an
@@ -53,17 +63,17 @@ def leaks(
     ``broadcast_seeds``; beyond, seeds meet in a shuffle and texts are joined again by id.
     """
     tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), _words(text).alias("item")).where(F.size("item") >= MIN_WORDS).distinct()
-    longest = max(m[-1] for m in masks)
-    short = [r[0] for r in tests.where(F.size("item") <= longest).select(F.size("item")).distinct().collect()]  # under ``longest`` values
-    shapes = [*masks, *(tuple(range(n)) for n in sorted(short))]
+    short = [r[0] for r in tests.where(F.size("item") <= SHORT).select(F.size("item")).distinct().collect()]  # SHORT values at most
+    shapes = [*masks, *(m for n in sorted(short) for m in all_but_one(n))]
+    span = 1 + min(m[-1] for m in shapes)
     seeds = (
         tests.select("item_id", F.size("item").alias("m"), "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("at"))
         .select("item_id", "m", "at", F.explode(_seeds(F.col("item"), F.col("at"), shapes)).alias("seed"))
         .where("seed is not null")
         .distinct()
     )
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _words(text).alias("words")).where(F.size("words") >= MIN_WORDS)
-    spots = own.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - MIN_WORDS)).alias("pos"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _words(text).alias("words")).where(F.size("words") >= span)
+    spots = own.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("pos"))
     spots = spots.select("doc_id", "words", "pos", F.explode(_seeds(F.col("words"), F.col("pos"), shapes)).alias("seed")).where("seed is not null")
     cut = lambda start, m: F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(m + F.least(start, F.lit(0)), F.lit(0)))
     if seeds.count() <= broadcast_seeds:

@@ -11,21 +11,22 @@ _WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 def op3() -> str:
     masks = decontaminate.MASKS
     ahead = max(m[-1] for m in masks)
+    least, longest = decontaminate.MIN_WORDS, decontaminate.SHORT
 
     def seeds(table: str) -> str:
         near = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, ahead + 1))
         wide = f"SELECT id, m, pos, w AS w0, {near} FROM {table} WINDOW o AS (PARTITION BY id ORDER BY pos)"
-        shapes = [*masks, *(tuple(range(n)) for n in range(decontaminate.MIN_WORDS, ahead + 1))]
-        one = lambda k, m: f"SELECT id, pos, {k} AS shape, concat_ws(' ', {', '.join(f'w{o}' for o in m)}) AS seed FROM ({wide}) WHERE w{m[-1]} IS NOT NULL" + (f" AND {k} < {len(masks)}" if k < len(masks) else f" AND EXISTS (SELECT 1 FROM short WHERE short.m = {len(m)})")
-        return " UNION ALL ".join(one(k, m) for k, m in enumerate(shapes))
+        shapes = [(m, "") for m in masks]
+        shapes += [(m, f" AND EXISTS (SELECT 1 FROM short WHERE short.m = {n})") for n in range(least, longest + 1) for m in decontaminate.all_but_one(n)]
+        one = lambda k, m, when: f"SELECT id, pos, {k} AS shape, concat_ws(' ', {', '.join(f'w{o}' for o in m)}) AS seed FROM ({wide}) WHERE w{m[-1]} IS NOT NULL{when}"
+        return " UNION ALL ".join(one(k, m, when) for k, (m, when) in enumerate(shapes))
 
     words = "regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
-    least = decontaminate.MIN_WORDS
     return f"""
 WITH d AS (SELECT doc_id AS id, {words} AS ws FROM documents), i AS (SELECT item_id AS id, {words} AS ws FROM benchmark),
-dw AS (SELECT id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d WHERE len(ws) >= {least}),
+dw AS (SELECT id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
 iw AS (SELECT id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM i WHERE len(ws) >= {least}),
-short AS (SELECT DISTINCT m FROM iw WHERE m <= {ahead}),
+short AS (SELECT DISTINCT m FROM iw WHERE m <= {longest}),
 ds AS ({seeds("dw")}), si AS ({seeds("iw")}),
 diagonal AS (SELECT DISTINCT ds.id AS doc_id, si.id AS item_id, ds.pos - si.pos AS start FROM ds JOIN si USING (shape, seed)),
 same AS (
