@@ -46,9 +46,11 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", out: str =
     return with_words.withColumn(out, F.pandas_udf(majority, "bigint")(shingle_hashes(F.col("_words"), width))).drop("_words")
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, within: bool):
+def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, within: bool, bits: int = 64):
     """Index pairs of two sorted uint64 arrays that differ in at most ``budget`` bits, in parts.
 
+    Only the first ``bits`` bits may be set; values may repeat.
+
     A sorted array is a binary trie: a node is a range of it whose members share their first
     bits. Pairs of nodes go down together; where one goes left and the other right a differing
     bit is added, and a pair over the budget is dropped with everything below. ``within``: both
@@ -65,11 +67,13 @@ def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, within: bool):
             todo += [(depth, *(x[part] for x in (a0, a1, b0, b1, spent))) for part in (slice(half), slice(half, None))]
             continue
         sizes = (a1 - a0) * (b1 - b0)
-        done = (sizes <= LEAVES) | (depth == 64)
+        done = (sizes <= LEAVES) | (depth == bits)
         if done.any():
-            for at in _parts(sizes[done]):
-                base = [x[done][at] for x in (a0, b0, b1)]
-                n = sizes[done][at]
+            some = _cut(*(x[done] for x in (a0, a1, b0, b1)))
+            leaves = (some[1] - some[0]) * (some[3] - some[2])
+            for at in _parts(leaves):
+                base = [x[at] for x in (some[0], some[2], some[3])]
+                n = leaves[at]
                 pair = np.repeat(np.arange(len(n)), n)
                 k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
                 wide = (base[2] - base[1])[pair]
@@ -92,6 +96,18 @@ def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, within: bool):
         todo.append((depth + 1, *(np.concatenate(x) for x in zip(*nexts, strict=True))))
 
 
+def _cut(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The node pairs, those of more than CHUNK_PAIRS leaves cut into several by their left node."""
+    step = np.maximum(1, CHUNK_PAIRS // (b1 - b0))
+    pieces = -(-(a1 - a0) // step)
+    if (pieces == 1).all():
+        return a0, a1, b0, b1
+    pair = np.repeat(np.arange(len(a0)), pieces)
+    k = np.arange(len(pair)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = a0[pair] + k * step[pair]
+    return start, np.minimum(start + step[pair], a1[pair]), b0[pair], b1[pair]
+
+
 def _parts(sizes: np.ndarray):
     """Slices of the pairs, each with about CHUNK_PAIRS leaves or one pair."""
     ends = np.cumsum(sizes)
@@ -114,31 +130,43 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64)
     return lo
 
 
+def levels(total: int, block: int = BLOCK) -> int:
+    """Levels of the trie that are walked as a join, so that a cell holds about a block."""
+    return min(16, max(LEVELS, math.ceil(math.log2(max(total, 1) / block))))
+
+
+def dealt(celled: DataFrame, key: str, depth: int, budget: int, block: int = BLOCK) -> DataFrame:
+    """The rows (trie, cell, ...) once for each unit (trie, cell, other, i, j) and side they take part in.
+
+    A cell is a prefix of ``depth`` bits, and only cells of a trie whose prefixes are within the
+    budget meet. A cell with more than a block of rows is dealt into blocks by a hash of ``key``,
+    so one crowded cell fills many tasks.
+    """
+    rest = [c for c in celled.columns if c not in ("trie", "cell")]
+    blocks = celled.groupBy("trie", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
+    cells = blocks.select("trie", "cell", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask"), "blocks")
+    other = blocks.select("trie", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks"))
+    pairs = cells.withColumn("other", F.col("cell").bitwiseXOR(F.col("mask"))).where("cell <= other").join(other, ["trie", "other"])
+    units = pairs.select("trie", "cell", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "other_blocks")
+    units = units.select("trie", "cell", "other", "i", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j")).where("cell < other or i <= j")
+    mine = celled.join(blocks, ["trie", "cell"]).select("trie", F.col("cell").alias("c"), F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("b"), *rest)
+    sides = units.select("trie", F.col("cell").alias("c"), F.col("i").alias("b"), F.lit(0).alias("side"), "cell", "other", "i", "j").union(
+        units.where("cell < other or i < j").select("trie", F.col("other"), F.col("j"), F.lit(1), "cell", "other", "i", "j")
+    )
+    # Every unit is met by all rows of a block: the join key is (trie, cell, block).
+    return sides.join(mine, ["trie", "c", "b"]).select("trie", "cell", "other", "i", "j", "side", *rest)
+
+
 def near_fingerprint_links(distinct: DataFrame, budget: int = 2, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all pairs within the bit budget would.
 
     ``distinct`` has one row for each fingerprint ``fp``. The trie's top levels are walked as a
-    join: a cell is a prefix, and only cells whose prefixes are within the budget meet. A cell
-    with more than a block of fingerprints is dealt into blocks by a hash, so one crowded cell
-    fills many tasks. Each task returns a spanning forest of what it linked, at most one edge
-    for each of its fingerprints, so a large group never becomes all its pairs.
+    join, the rest in tasks. Each task returns a spanning forest of what it linked, at most one
+    edge for each of its fingerprints, so a large group never becomes all its pairs.
     """
-    total = distinct.count()
-    depth = min(16, max(LEVELS, math.ceil(math.log2(max(total, 1) / block))))
-    cell = F.shiftrightunsigned("fp", 64 - depth)
-    celled = distinct.select("fp", cell.alias("cell"))
-    blocks = celled.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    cells = blocks.select("cell", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask"), "blocks")
-    other = blocks.select(F.col("cell").alias("other"), F.col("blocks").alias("other_blocks"))
-    pairs = cells.withColumn("other", F.col("cell").bitwiseXOR(F.col("mask"))).where("cell <= other").join(other, "other")
-    units = pairs.select("cell", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "other_blocks").select("cell", "other", "i", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j")).where("cell < other or i <= j")
-    mine = celled.join(blocks, "cell").select("fp", "cell", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
-    sides = units.select(F.col("cell").alias("c"), F.col("i").alias("b"), F.lit(0).alias("side"), "cell", "other", "i", "j").union(
-        units.where("cell < other or i < j").select(F.col("other"), F.col("j"), F.lit(1), "cell", "other", "i", "j")
-    )
-    # Every unit is met by all fingerprints of a block: the join key is (cell, block).
-    dealt = sides.join(mine.withColumnsRenamed({"cell": "c", "block": "b"}), ["c", "b"]).select("cell", "other", "i", "j", "side", "fp")
+    depth = levels(distinct.count(), block)
+    celled = distinct.select(F.lit(0).alias("trie"), F.shiftrightunsigned("fp", 64 - depth).alias("cell"), "fp")
 
     def unit(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
@@ -153,7 +181,7 @@ def near_fingerprint_links(distinct: DataFrame, budget: int = 2, block: int = BL
         both = np.concatenate([left, right]).view(np.int64)
         return pd.DataFrame({"a": both[child], "b": both[root]})
 
-    return dealt.groupBy("cell", "other", "i", "j").applyInPandas(unit, "a bigint, b bigint")
+    return dealt(celled, "fp", depth, budget, block).groupBy("trie", "cell", "other", "i", "j").applyInPandas(unit, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:

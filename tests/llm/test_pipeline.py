@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute_similar
 from util import DOCS, saved
 
 from recollect.llm import toxicity
@@ -25,6 +25,7 @@ def corpus(spark):
     plant(300, out[2][1])
     plant(301, out[4][1].upper())
     plant(302, " ".join(out[5][1].split()[:60] + item))
+    plant(305, " ".join([*out[7][1].split()[:30], "another", *out[7][1].split()[31:]]))
     plant(303, "12 34 !!")
     plant(304, None)
     return spark.createDataFrame(out, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
@@ -47,9 +48,18 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert len(gone & toxic) >= 0.9 * len(toxic) and len(gone - toxic) <= 3
     texts = {r.doc_id: r.text for r in docs.collect()}
     ids = sorted(kept["toxicity"])
-    assert kept["near_duplicates"] == set(brute_components(ids, [brute_fingerprint(texts[i]) for i in ids]))
+    assert kept["near_duplicates"] == set(brute_similar(ids, [texts[i] for i in ids]))
+    assert {300, 301, 305} <= kept["toxicity"] - kept["near_duplicates"]
     assert kept["near_duplicates"] - kept["benchmark_leaks"] == {302}
     mixed = corpus_pipeline.STAGES[-1][1](spark, now, folder).collect()
     assert {r.doc_id for r in mixed} == kept["benchmark_leaks"] and abs(sum(r.taken for r in mixed) - sum(r.size for r in mixed)) < 300
     run = corpus_pipeline.run(spark, folder).collect()
     assert sorted(map(str, run)) == sorted(map(str, mixed)) and toxicity.CUT == 0.3
+
+
+def test_near_duplicates_keep_documents_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(3, text, "en", "a", 1), (3, text, "en", "a", 1), (2, text.upper(), "en", None, None), (None, "alone here", None, None, None), (None, text, "en", "a", 1)], DOCS)
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns and sorted(map(str, (r.doc_id for r in found.collect()))) == ["2", "None", "None"]
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
