@@ -72,7 +72,7 @@ def test_a_large_group_returns_a_forest_and_not_its_pairs(spark):
     texts = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(0, 500, 2)]
     frame = docs(spark, texts)
     assert {c for c, in rows(similar.similar_documents(frame), "component_id")} == {0}
-    own = frame.select("doc_id", similar.F.pandas_udf(similar.wide_majority, "f0 bigint, f1 bigint, f2 bigint, f3 bigint, n int")(similar.shingles(frame, 5, "text")).alias("f"))
+    own = similar.shingled(frame, 5).select("doc_id", similar.F.pandas_udf(similar.wide_majority, "f0 bigint, f1 bigint, f2 bigint, f3 bigint, n int")("hashes").alias("f"))
     classes = own.select("f.*", similar.F.col("doc_id").alias("rep"))
     assert similar.segment_links(classes, 0.8).count() < 16 * 10 * len(texts)
 
