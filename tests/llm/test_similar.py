@@ -73,10 +73,23 @@ def test_a_large_group_returns_a_forest_and_not_its_pairs(spark):
     frame = docs(spark, texts)
     assert {c for c, in rows(similar.similar_documents(frame), "component_id")} == {0}
     own = similar.shingled(frame, 5).select("doc_id", similar.F.pandas_udf(similar.wide_majority, "f0 bigint, f1 bigint, f2 bigint, f3 bigint, n int")("hashes").alias("f"))
-    classes = own.select("f.*", similar.F.col("doc_id").alias("rep"))
+    classes = own.select("f.*", similar.F.col("doc_id").alias("rep"), similar.F.col("doc_id").alias("root"))
     assert similar.segment_links(classes, 0.8).count() < 16 * 10 * len(texts)
 
 
+def test_pairs_that_span_connect_what_all_connect():
+    rng = np.random.default_rng(2)
+    a, b, bits = rng.integers(0, 60, 900), rng.integers(0, 60, 900), rng.integers(0, 9, 900)
+    root = np.arange(100)
+    root[70:80] = 70
+    taken = similar.spanning(root, np.append(a, 75), np.append(b, 90), np.append(bits, 3))
+    assert len(taken) < 130
+    every, some = similar.Forest(100), similar.Forest(100)
+    every.add(a, b)
+    some.add(np.append(a, 75)[taken], np.append(b, 90)[taken])
+    assert (every.root[:60] == some.root[:60]).all() and some.root[90] == 75
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     near = text.replace("w29", "changed")
