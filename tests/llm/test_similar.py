@@ -67,6 +67,13 @@ def test_pairs_about_the_limit_are_compared_as_sets(spark):
     assert got == {1: 1, 21: 1, 25: 1, 26: 1, 27: 27, 31: 31}
 
 
+def test_no_link_without_a_comparison_of_sets(spark):
+    # 7 of 9 shingles: below 0.8, but about one such pair in 70 has fingerprints nearer than most links.
+    pairs = [[" ".join([*(f"p{k}w{j}" for j in range(11)), last]) for last in ("one", "other")] for k in range(700)]
+    frame = docs(spark, [text for pair in pairs for text in pair])
+    assert similar.similar_documents(frame).where("not kept").count() == 0
+
+
 def test_a_large_group_returns_a_forest_and_not_its_pairs(spark):
     base = [f"w{k}" for k in range(500)]
     texts = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(0, 500, 2)]
