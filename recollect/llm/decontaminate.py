@@ -11,8 +11,8 @@ from recollect.llm.common import NOT_WORD, read, split_words, table_copy
 #: there changes nothing. Wherever two words of ten (one of eight or nine) are replaced, some
 #: place of one of these masks in them meets neither: no such overlap is missed.
 MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 8, 9), (0, 3, 4, 6, 7))
-#: Items with fewer words are never reported. Up to SHORT words, an item is sought by masks
-#: that leave out one of its words each.
+#: Items with fewer words are sought by a seed of all their words. From there up to SHORT words,
+#: an item is sought by masks that leave out one of its words each.
 MIN_WORDS, SHORT = 5, 7
 #: Up to this many seeds of test items (some 64 MB in a hash table) are broadcast.
 BROADCAST_SEEDS = 2_000_000
@@ -57,18 +57,23 @@ def leaks(
     result is that of a comparison of all pairs. matched_words is the best such diagonal's equal
     words, first_word its place in the document.
 
-    Words are lower-cased; null or empty texts have none. Items under MIN_WORDS words are not
-    sought. Rows with equal ids count as one document or item. Extra columns are ignored; an
+    Words are lower-cased; null or empty texts have none. Items under MIN_WORDS words are
+    met where all their words stand. Rows with equal ids count as one document or item. Extra columns are ignored; an
     empty table on either side gives no rows. Items' seeds are counted, and broadcast only up to
     ``broadcast_seeds``; beyond, seeds meet in a shuffle and texts are joined again by id.
     """
-    tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), _words(text).alias("item")).where(F.size("item") >= MIN_WORDS).distinct()
+    tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), _words(text).alias("item")).where(F.size("item") > 0).distinct()
     short = [r[0] for r in tests.where(F.size("item") <= SHORT).select(F.size("item")).distinct().collect()]  # SHORT values at most
-    shapes = [*masks, *(m for n in sorted(short) for m in all_but_one(n))]
+    parts = [*masks, *(m for n in sorted(short) if n >= MIN_WORDS for m in all_but_one(n))]
+    # A shape of a whole item is for items of that length only, or each word of a longer one would be a seed.
+    whole = [tuple(range(n)) for n in sorted(short) if n < MIN_WORDS]
+    shapes = [*parts, *whole]
     span = 1 + min(m[-1] for m in shapes)
+    made = [F.get(_seeds(F.col("item"), F.col("at"), shapes), k) for k in range(len(shapes))]
+    made = [*made[: len(parts)], *[F.when(F.col("m") == len(m), s) for m, s in zip(whole, made[len(parts) :], strict=True)]]
     seeds = (
         tests.select("item_id", F.size("item").alias("m"), "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("at"))
-        .select("item_id", "m", "at", F.explode(_seeds(F.col("item"), F.col("at"), shapes)).alias("seed"))
+        .select("item_id", "m", "at", F.explode(F.array(*made)).alias("seed"))
         .where("seed is not null")
         .distinct()
     )

@@ -30,6 +30,16 @@ def test_leaks_with_replaced_words(spark):
     assert (0, 1, 50, 30) in got and (1, 1, 9, 25) in got and (5, 1, 0, 10) in got
 
 
+def test_items_under_five_words_are_met_whole(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "forty two"), (3, "in the year"), (4, "who wrote the play"), (5, "so who wrote the play"), (6, "!")], ITEMS)
+    found = docs(spark, ["it was Paris then", "forty or two", "Forty-two!", "back in the year one", "in that year", "and so who wrote the play", "who wrote a play", ""])
+    want = [(0, 1, 1, 2, 1), (2, 2, 2, 0, 2), (3, 3, 3, 1, 3), (5, 4, 4, 2, 4), (5, 5, 5, 1, 5)]
+    for seeds in (d.BROADCAST_SEEDS, 0):
+        got = rows(d.leaks(found, items, broadcast_seeds=seeds), "doc_id", "item_id", "item_words", "first_word", "matched_words")
+        assert got == want, got
+    assert [r[0] for r in rows(d.clean(found, items), "doc_id")] == [1, 4, 6, 7]
+
+
 def test_shuffled_seeds_find_the_same(spark):
     found, items = case(spark)
     cols = ("doc_id", "item_id", "item_words", "first_word", "matched_words")
