@@ -41,6 +41,12 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
+def row_hashes(df: DataFrame, *names: str) -> list[Column]:
+    """Hashes of a row's whole content, one by each name, that tell rows apart where ids repeat."""
+    plain = lambda c, kind: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`")
+    return [F.xxhash64(F.lit(k), *[plain(*x) for x in df.dtypes]).alias(name) for k, name in enumerate(names)]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the folder that spark.checkpoint.dir names.
 

@@ -57,9 +57,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(str, run)) == sorted(map(str, mixed)) and toxicity.CUT == 0.3
 
 
-def test_near_duplicates_keep_documents_without_an_id(spark):
+def test_near_duplicates_of_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
-    docs = spark.createDataFrame([(3, text, "en", "a", 1), (3, text, "en", "a", 1), (2, text.upper(), "en", None, None), (None, "alone here", None, None, None), (None, text, "en", "a", 1)], DOCS)
+    docs = spark.createDataFrame(
+        [(3, text, "en", "a", 1), (3, text, "en", "a", 1), (2, text.upper(), "en", None, None), (None, "alone here", None, None, None), (None, "alone here", None, None, None), (None, text, "en", "a", 1), (2, "its own text", "en", "a", 1)],
+        DOCS,
+    )
     found = corpus_pipeline.near_duplicates(spark, docs, "")
-    assert found.columns == docs.columns and sorted(map(str, (r.doc_id for r in found.collect()))) == ["2", "None", "None"]
+    kept = sorted((str(r.doc_id), r.text) for r in found.collect())
+    assert found.columns == docs.columns and kept == [("2", text.upper()), ("2", "its own text"), ("None", "alone here")]
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
