@@ -39,3 +39,11 @@ def test_same_as_sql(spark, tmp_path):
 
 def test_no_rows(spark):
     assert found(spark, []) == {}
+
+
+def test_very_long_conversations_take_time_by_their_turns(spark):
+    turns = spark.range(12_000).selectExpr("id % 2 as conv_id", "id div 2 as turn", "if(id div 2 % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id div 2, if(id = 9001, ' other', '')) as text")
+    (r,) = p.formatted(p.neighbour_pairs(turns), turns).collect()
+    assert r.prompt_turns == 4500 and len(r.chosen_spans) == len(r.rejected_spans) == 750
+    assert all(r.rejected[s.start : s.stop].endswith("<|end|>\n") and r.rejected[: s.start].endswith("<|assistant|>\n") for s in r.rejected_spans)
+    assert r.rejected.startswith("<|user|>\nturn 4500 other<|end|>")
