@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import string
 import tempfile
 import uuid
@@ -47,36 +48,64 @@ def row_hashes(df: DataFrame, *names: str) -> list[Column]:
     return [F.xxhash64(F.lit(k), *[plain(*x) for x in df.dtypes]).alias(name) for k, name in enumerate(names)]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that spark.checkpoint.dir names.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or the one set on the context.
 
-    Only a session without that setting, as in a test, gets a folder of its own.
+    Only a session on one machine without either, as in a test, gets a folder of its own; on a
+    cluster that would be a folder which executors don't share, and is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder; read again, they have no lineage to recompute."""
+    root = scratch(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
+#: Table copies of this process that ``drop_copies`` removes.
+_COPIES: list[str] = []
+
+
 def table_copy(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as Parquet under spark.checkpoint.dir and read again.
+    """The rows, written once as Parquet to the shared folder and read again.
 
     For a result that several later jobs read: it takes less room than a checkpoint and
-    keeps column pruning. Sessions without the setting get a temporary folder.
+    keeps column pruning. It stays until ``drop_copies``, as results are read from it.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _COPIES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sampled(rows: DataFrame, bound: int, key: Column) -> DataFrame:
-    """All rows, or about ``bound`` of them chosen by a hash of ``key`` where there are more."""
+def drop_copies(spark: SparkSession) -> None:
+    """Removes this process's table copies; for a caller that has written out what it asked for."""
+    while _COPIES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_COPIES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sampled(rows: DataFrame, bound: int) -> DataFrame:
+    """All rows, or about ``bound`` of them chosen by a hash of their whole content where there are more."""
     total = rows.count()
     if total <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * bound / total))
+    return rows.where(F.pmod(F.xxhash64(F.lit(7), *rows.columns), F.lit(1_000_000)) < int(1_000_000 * bound / total))
+
+
+def whole_rows(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Each row as one struct ``doc`` beside the given columns, so that no column of its own clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import NOT_WORD, read, split_words, table_copy
+from recollect.llm.common import NOT_WORD, read, row_hashes, split_words, table_copy, whole_rows
 
 #: Word offsets that a seed looks at; the positions between are ignored, so a replaced word
 #: there changes nothing. Wherever two words of ten (one of eight or nine) are replaced, some
@@ -57,9 +57,10 @@ def leaks(
     result is that of a comparison of all pairs. matched_words is the best such diagonal's equal
     words, first_word its place in the document.
 
-    Words are lower-cased; null or empty texts have none. Items under MIN_WORDS words are
-    met where all their words stand. Rows with equal ids count as one document or item. Extra columns are ignored; an
-    empty table on either side gives no rows. Items' seeds are counted, and broadcast only up to
+    Words are lower-cased; null or empty texts have none, and long ones are read whole. Items under
+    MIN_WORDS words are met where all their words stand. Rows with equal ids, null ones too, count
+    as one document or item; of equal diagonals the first in the document counts. Extra columns
+    are ignored; an empty table on either side gives no rows. Items' seeds are counted, and broadcast only up to
     ``broadcast_seeds``; beyond, seeds meet in a shuffle and texts are joined again by id.
     """
     tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), _words(text).alias("item")).where(F.size("item") > 0).distinct()
@@ -78,15 +79,16 @@ def leaks(
         .distinct()
     )
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _words(text).alias("words")).where(F.size("words") >= span)
-    spots = own.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("pos"))
-    spots = spots.select("doc_id", "words", "pos", F.explode(_seeds(F.col("words"), F.col("pos"), shapes)).alias("seed")).where("seed is not null")
+    own = own.select("doc_id", "words", F.xxhash64("doc_id", "words").alias("row"))
+    spots = own.select("doc_id", "row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("pos"))
+    spots = spots.select("doc_id", "row", "words", "pos", F.explode(_seeds(F.col("words"), F.col("pos"), shapes)).alias("seed")).where("seed is not null")
     cut = lambda start, m: F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(m + F.least(start, F.lit(0)), F.lit(0)))
     if seeds.count() <= broadcast_seeds:
         hits = spots.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("start"), cut(F.col("pos") - F.col("at"), F.col("m")).alias("there"))
         hits = hits.join(F.broadcast(tests), "item_id")
     else:
-        met = spots.select("doc_id", "pos", "seed").join(seeds, "seed").select("doc_id", "item_id", "m", (F.col("pos") - F.col("at")).alias("start")).distinct()
-        hits = met.join(own, "doc_id").select("doc_id", "item_id", "start", cut(F.col("start"), F.col("m")).alias("there")).join(tests, "item_id")
+        met = spots.select("row", "pos", "seed").join(seeds, "seed").select("row", "item_id", "m", (F.col("pos") - F.col("at")).alias("start")).distinct()
+        hits = met.join(own, "row").select("doc_id", "item_id", "start", cut(F.col("start"), F.col("m")).alias("there")).join(tests, "item_id")
     lead = F.greatest(-F.col("start"), F.lit(0))
     there = F.concat(F.array_repeat(F.lit(""), lead), F.col("there"))
     same = F.zip_with("item", there, lambda a, b: F.when(a == b, 1).otherwise(0))
@@ -105,16 +107,19 @@ def leaks(
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents in which no test item was met, with all their columns.
 
-    A row with a null id or text was never searched for and stays. The ids of leaks are written
-    and counted; up to BROADCAST_IDS of them are broadcast, so that the texts stay where they are.
+    Each row is judged by its own text, whatever its id; rows are told apart by a hash of their
+    content. A null text stays. The hashes of leaks are written and counted; up to BROADCAST_IDS
+    of them are broadcast, so that the texts stay where they are.
     """
-    found = table_copy(leaks(docs, items, **options).select("doc_id").distinct(), "leaks")
+    rows = whole_rows(docs, F.col(text).alias("text"), *row_hashes(docs, "row"))
+    found = table_copy(leaks(rows.select("row", "text"), items, id_col="row", **options).select(F.col("doc_id").alias("row")).distinct(), "leaks")
     found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    return docs.join(found, "doc_id", "left_anti")
+    return rows.join(found, "row", "left_anti").select("doc.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of ``benchmark`` met in a document, as ``leaks`` finds them."""
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import held_out, read, sampled
+from recollect.llm.common import held_out, read, sampled, whole_rows
 
 #: Buckets that n-grams are hashed to, and characters of an n-gram.
 BUCKETS, ORDER = 1 << 15, 3
-#: Documents that the n-gram counts are learned from: all, or about so many by a hash.
-FIT_ROWS = 30_000
+#: Documents that the n-gram counts are learned from: all, or about so many by a hash of the row;
+#: languages that are learned: all, or those with the most documents, ties by name.
+FIT_ROWS, FIT_LANGS = 30_000, 256
 SMOOTHING, ROUNDS = 0.5, 12
 #: What a further language must add to the log-likelihood, in units of log(n-grams) / 2.
 PENALTY = 2.0
@@ -50,12 +51,15 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The n-gram likelihoods of each value of ``lang``, from rows (text, lang).
+    """The n-gram likelihoods of each value of ``lang``, from rows with ``text`` and ``lang``.
 
-    Rows with a null text or lang are left out. Counts are summed by Spark; one row for each
-    language and bucket, BUCKETS for each language at most, comes to the driver.
+    Rows with a null text or lang are left out. About ``fit_rows`` rows at most are taken, by a
+    hash of all their columns, and FIT_LANGS languages. Counts are summed by Spark; one row for
+    each language and bucket, BUCKETS for each language at most, comes to the driver.
     """
-    rows = sampled(rows.where("text is not null and lang is not null").select("text", "lang"), fit_rows, F.col("text"))
+    rows = rows.where("text is not null and lang is not null")
+    langs = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).select("lang"))
+    rows = sampled(rows, fit_rows).select("text", "lang").join(langs, "lang")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -82,18 +86,18 @@ def _em(p: np.ndarray, counts: np.ndarray, total: float, rounds: int) -> tuple[n
     return share, float(counts @ np.log(p @ share))
 
 
-def mixture(model: Model, text: str | None, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[str, float, dict[str, float]]:
-    """(language, its proportion, proportions of the selected languages); ``und`` without a letter.
+def mixture(model: Model, text: str | None, rounds: int = ROUNDS, penalty: float = PENALTY) -> dict[str, float]:
+    """The proportions of the selected languages, the largest first; empty without a letter.
 
     The proportions of all languages are fitted first. The set starts with the language that
     explains the text best alone; the next one by proportion joins as long as the likelihood
     rises by more than the penalty. Ties go to the first language by name.
     """
     if text is None or not model.langs:
-        return "und", 0.0, {}
+        return {}
     buckets, counts, any_letter = gram_counts(text)
     if not any_letter:
-        return "und", 0.0, {}
+        return {}
     p, total = model.likelihood[buckets], counts.sum()
     every, most = _em(p, counts, total, rounds)
     alone = counts @ np.log(p)
@@ -107,30 +111,37 @@ def mixture(model: Model, text: str | None, rounds: int = ROUNDS, penalty: float
                 if value - best <= price:
                     break
                 chosen, share, best = [*chosen, int(k)], tried, value
-    top = min(range(len(chosen)), key=lambda k: (-share[k], chosen[k]))
-    return model.langs[chosen[top]], float(min(1.0, max(0.0, every[chosen[top]]))), {model.langs[k]: float(s) for k, s in zip(chosen, share, strict=True)}
+    order = sorted(range(len(chosen)), key=lambda k: (-share[k], chosen[k]))
+    return {model.langs[chosen[k]]: float(min(1.0, max(0.0, share[k]))) for k in order}
 
 
-def identified(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """The rows with the predicted language and its proportion.
+def identified(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", langs_out: str = "langs") -> DataFrame:
+    """The rows with the predicted language, its proportion, and the selected languages, comma-joined.
 
-    Null texts and texts without a letter get ``und`` and 0; every row stays, repeated ones too.
+    The proportion is that in the mixture of the selected languages: 1 where one is enough. Null
+    texts and texts without a letter get ``und``, 0 and no languages. Whole texts are read,
+    however long; equal texts get equal results, and ties go to the first language by name. Every
+    row stays, repeated ones too; a column with the name of an output is replaced by it.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, langs string")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        rows = [mixture(held.value, t)[:2] for t in texts]
-        return pd.DataFrame(rows, columns=["lang", "score"])
+        found = [mixture(held.value, t) for t in texts]
+        rows = [(*next(iter(x.items()), ("und", 0.0)), ",".join(x)) for x in found]
+        return pd.DataFrame(rows, columns=["lang", "score", "langs"])
 
-    return docs.withColumn("_id", predict(F.col(text))).withColumn(lang_out, F.col("_id.lang")).withColumn(score_out, F.col("_id.score")).drop("_id")
+    outs = {lang_out: "lang", score_out: "score", langs_out: "langs"}
+    rest = [F.col(f"doc.`{c}`") for c in docs.columns if c not in outs]
+    return whole_rows(docs, predict(F.col(text)).alias("found")).select(*rest, *[F.col(f"found.{c}").alias(out) for out, c in outs.items()])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    return docs.where(~held_out(F.col("doc_id"), 5, 0)).select("text", "lang")
+    return docs.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text", "lang")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, its share of the mixture and the mixture's languages, as ``identified`` finds them."""
     docs = read(spark, sf_dir, "documents")
     found = identified(docs.select("doc_id", "text"), fit(training_rows(docs)))
-    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "langs")

@@ -53,30 +53,31 @@ def template_tokens(spark: SparkSession, templates: list[tuple[str, str]], thres
     return inline_table(spark, rows, "template int, label string, token string, size int, need int")
 
 
-def similar_blocks(texts: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+def similar_blocks(texts: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, window: int | None = None) -> DataFrame:
     """(row, block, template, label, contained) for every block meeting a template's threshold.
 
-    ``texts`` has (row, words). A block is a window of words, the next one starts half a window
-    later, so a notice of up to half a window lies whole in some block wherever it starts. Tokens
+    ``texts`` has (row, words). A block is a window of words, WINDOW or twice the longest template's;
+    the next one starts half a window later, so a notice lies whole in some block wherever it starts. Tokens
     of the templates are ordered by their frequency in all texts, rarest first. A block with
     enough of a template's tokens has one of its first size - need + 1 in that order (prefix
-    filter); it has at least need distinct words (length filter); and the first token met leaves
-    enough after it (positional filter). Those left are compared as sets, so the result is exact.
+    filter), at a place that leaves need tokens in the template (positional filter: the cut of the
+    prefix); and the block has at least need words (length filter). Those left are compared as sets, so the result is exact.
     The templates are a parameter of the call, a few hundred tokens, and are broadcast.
     """
     tokens = template_tokens(texts.sparkSession, templates, threshold)
+    window = window or max(WINDOW, 2 * max((len(t.split()) for _, t in templates), default=0))
     half = window // 2
     word = texts.select("row", "words", F.posexplode("words").alias("pos", "token"))
     known = word.select("token").join(F.broadcast(tokens.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("df"))
     ordered = tokens.join(F.broadcast(known), "token", "left").select("template", "size", "need", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token").alias("t"))
     lists = ordered.groupBy("template", "size", "need").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     lists = lists.select("template", "size", "need", F.col("ts.token").alias("ordered"))
-    prefix = lists.select("template", "size", "need", "ordered", F.posexplode(F.slice("ordered", F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "token"))
+    prefix = lists.select("template", "size", "need", "ordered", F.explode(F.slice("ordered", F.lit(1), F.col("size") - F.col("need") + 1)).alias("token"))
     met = word.join(F.broadcast(prefix), "token")
     block = F.explode(F.array(F.floor(F.col("pos") / half), F.floor(F.col("pos") / half) - 1))
-    placed = met.select("row", "template", "size", "need", "ordered", "at", "words", block.alias("block")).where("block >= 0")
-    content = placed.select("row", "block", "template", "size", "need", "ordered", "at", F.slice("words", (F.col("block") * half + 1).cast("int"), F.lit(window)).alias("content"))
-    able = content.where((F.col("size") - F.col("at") >= F.col("need")) & (F.size("content") >= F.col("need")))
+    placed = met.select("row", "template", "size", "need", "ordered", "words", block.alias("block")).where("block >= 0")
+    content = placed.select("row", "block", "template", "size", "need", "ordered", F.slice("words", (F.col("block") * half + 1).cast("int"), F.lit(window)).alias("content"))
+    able = content.where(F.size("content") >= F.col("need"))
     contained = F.size(F.array_intersect("ordered", "content"))
     held = able.withColumn("overlap", contained).where(F.col("overlap") >= F.col("need"))
     best = held.groupBy("row", "block", "template").agg((F.max("overlap") / F.max("size")).alias("contained"))
@@ -95,7 +96,8 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[
     Extra columns are ignored; no rows give no rows.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), split_words(lower_ascii(F.col(text)), NOT_WORD).alias("words"))
-    own = own.select("doc_id", "words", F.xxhash64(F.col("doc_id"), F.col("words")).alias("row"))
+    # Two hashes, as one would bring some of many billions of rows together.
+    own = own.select("doc_id", "words", F.struct(F.xxhash64("doc_id", "words").alias("a"), F.xxhash64(F.lit(1), "words", "doc_id").alias("b")).alias("row"))
     found = similar_blocks(own.select("row", "words"), templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("contained").alias("contained"))
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     based = own.withColumn("line", line)
@@ -118,4 +120,5 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and notices, as ``scanned`` finds them."""
     return scanned(read(spark, sf_dir, "documents"))

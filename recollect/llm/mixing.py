@@ -9,8 +9,8 @@ from recollect.llm.common import read, table_copy
 
 #: Words of a block; words of a bucket, in which documents are packed one after another.
 BLOCK, BUCKET = 64, 1 << 20
-#: Slots of an output shard; slots that one row of a plan stands for until they are written out.
-SHARD, RUN = 4096, 16384
+#: Slots of an output shard; slots, or copies of a row, that one row stands for until it is written out.
+SHARD, RUN = 65536, 16384
 #: Rounds of the permutation, and the prime its bits are drawn with (fixed: the SQL uses it too).
 ROUNDS, PRIME = 12, 2147483647
 SEED = 20011
@@ -20,14 +20,16 @@ def permuted(df: DataFrame, out: str, value: Column, size: Column, seed: Column,
     """The rows with a column that permutes 0..size-1: a swap-or-not shuffle keyed by the seed.
 
     Each round pairs x with (K - x) mod size and swaps the two if a bit of the larger one's hash
-    says so. Any size below 2**31 works, without a table of the permutation and without retries.
+    says so. Any size below 2**61 works, without a table of the permutation and without retries.
     """
     df = df.withColumn(out, value.cast("bigint")).withColumn("_n", size.cast("bigint")).withColumn("_s", seed.cast("bigint"))
     for r in range(rounds):
         a, b = 1103515245 + 7919 * r, 12345 + 104729 * r
-        key = F.pmod(F.pmod(F.col("_s") * (2 * r + 1) + b, F.lit(PRIME)) * a, F.lit(PRIME))
-        df = df.withColumn("_p", F.pmod(key % F.col("_n") - F.col(out), F.col("_n")))
-        df = df.withColumn("_z", F.pmod(F.greatest(out, "_p") + F.col("_s") + b, F.lit(PRIME)))
+        high = F.pmod(F.pmod(F.col("_s") * (2 * r + 1) + b, F.lit(PRIME)) * a, F.lit(PRIME))
+        low = F.pmod(high * a + b, F.lit(PRIME)) % (1 << 30)
+        df = df.withColumn("_p", F.pmod((high * (1 << 30) + low) % F.col("_n") - F.col(out), F.col("_n")))
+        larger = F.greatest(out, "_p")
+        df = df.withColumn("_z", F.pmod(larger % PRIME + F.floor(larger / PRIME) * 7 + F.col("_s") + b, F.lit(PRIME)))
         bit = F.pmod(F.pmod(F.col("_z") * F.col("_z"), F.lit(PRIME)) * a + b, F.lit(PRIME)) < PRIME // 2
         df = df.withColumn(out, F.when(bit, F.col("_p")).otherwise(F.col(out)))
     return df.drop("_n", "_s", "_p", "_z")
@@ -53,18 +55,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return levelled.select("source", "source_rank", "source_size", F.least(F.col("cap").cast("double"), level * F.col("w")).alias("target"))
 
 
+def written_out(rows: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row ``count`` times, numbered from 0 in the column ``number``, without the count.
+
+    Rows that stand for more than RUN others become rows of runs first and are dealt anew, so that
+    no task writes out all that one row stands for. A number of partitions is asked for, as
+    adaptive execution would merge these few short rows into one task.
+    """
+    runs = rows.where(F.col(count) > RUN).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, F.lit(RUN).cast("bigint"))).alias("run"))
+    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns, "run")
+    few = rows.where(F.col(count).between(1, RUN)).withColumn("run", F.lit(0).cast("bigint"))
+    every = F.explode(F.sequence("run", F.least(F.col("run") + RUN, count) - 1)).alias(number)
+    return runs.select("*", every).union(few.select("*", every)).drop("run", count)
+
+
 def packed(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """Documents with the place of their words, and sources with their blocks.
 
     Documents (doc_id, source, size) of a source are dealt into buckets of about ``bucket``
-    words by a hash, and packed there one after another into blocks of ``block`` words, so no
-    window holds a whole source. first_block is the number of the bucket's first block.
+    words by a hash of id, size and, for rows equal in these, a number; they are packed there one
+    after another into blocks of ``block`` words. So no window holds a whole source, or all rows
+    that have no id. first_block is the number of the bucket's first block.
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    wide = docs.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    same = docs.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows"))
+    wide = written_out(same, "rows", "copy").join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     many = F.ceil(F.greatest("source_size", F.lit(1)) / bucket).cast("bigint")
-    dealt = wide.withColumn("bucket", F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(PRIME)) * 7919 % PRIME, many))
-    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
+    drawn = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(PRIME)) * 7919 + F.col("size") % PRIME * 104729 + F.col("copy") % PRIME * 31
+    dealt = wide.withColumn("bucket", F.pmod(drawn % PRIME, many))
+    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "copy")
     placed = dealt.withColumn("row", F.row_number().over(order)).withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     counted = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block).cast("bigint"))
     ahead = Window.partitionBy("source").orderBy("bucket")
@@ -73,7 +92,7 @@ def packed(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> tuple[D
 
 
 def plan(filled: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(source, source_rank, source_size, target, blocks, slots, first_slot, all_slots) by source.
+    """(source, source_rank, source_size, target, blocks, slots, all_slots) by source.
 
     A source gets as many slots as blocks make up its target, so at most ``most`` passes.
     """
@@ -82,36 +101,39 @@ def plan(filled: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     both = with_target.join(sizes.select(F.col("source").alias("s"), "blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("bigint")
     both = both.withColumn("slots", F.least(slots, F.col("blocks") * most))
-    first = F.sum("slots").over(Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots")
-    return both.withColumn("first_slot", first).withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
+    return both.withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
 
 
-def drawn_slots(planned: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(source, block, shard, place) for every slot of the mix.
+def shard_counts(planned: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """(source, source_rank, blocks, shard, slots, first): the slots drawn for each source and output shard.
 
-    All slots of all sources are shuffled over the shards by one pseudorandom permutation, so a
-    shard's counts by source are multinomial given that each source's sum is its slots (drawn
-    without replacement; independent draws would miss small targets by their deviation). A
-    source's k-th slot reads block perm(k mod blocks) of pass k div blocks.
+    There are as many shards as ``shard`` slots each make up the mix. Each of a source's slots
+    falls to one of them by a seeded draw with equal chances, and the draws are counted: so a
+    source's counts are multinomial over the shards and sum to its slots, and a shard's counts by
+    source follow the target weights. first numbers a source's slots over its shards.
     """
-    runs = planned.where("slots > 0").select(
-        "source", "source_rank", "blocks", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1, F.lit(RUN).cast("bigint"))).alias("run")
-    )
-    # A number of partitions is asked for, as adaptive execution would merge these few short rows
-    # into one task, which would then write out every slot.
-    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "run")
-    slots = runs.select("*", F.explode(F.sequence("run", F.least(F.col("run") + RUN, "slots") - 1)).alias("k"))
+    drawn = written_out(planned.where("slots > 0").select("source", "source_rank", "blocks", "all_slots", "slots"), "slots", "k")
+    prime = F.lit(PRIME)
+    v = F.pmod(F.col("k") % PRIME + F.floor(F.col("k") / PRIME) * 7 + F.col("source_rank").cast("bigint") * 31 + seed, prime)
+    drawn = drawn.withColumn("v", v)
+    for a, b in ((1103515245, 12345), (747796405, 104729)):
+        drawn = drawn.withColumn("v", F.pmod(F.pmod(F.col("v") * F.col("v"), prime) + F.col("v") * a + b, prime))
+    counts = drawn.groupBy("source", "source_rank", "blocks", F.pmod("v", F.ceil(F.col("all_slots") / shard)).alias("shard")).agg(F.count("*").alias("slots"))
+    ahead = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("first", F.sum("slots").over(ahead) - F.col("slots"))
+
+
+def drawn_slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, shard, block) for every slot of the mix.
+
+    The slots of a shard's source are the next of that source's: its k-th reads the block with the
+    index perm(k mod blocks), by a permutation of its own for each pass k div blocks.
+    """
+    slots = written_out(counts, "slots", "n").withColumn("k", F.col("first") + F.col("n"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     slots = permuted(slots, "block", F.col("k") % F.col("blocks"), F.col("blocks"), F.pmod(F.lit(seed) + F.col("source_rank") * 31 + turn * 17, F.lit(PRIME)))
-    slots = permuted(slots, "place", F.col("first_slot") + F.col("k"), F.col("all_slots"), F.lit(seed))
-    slots = slots.select("source", "block", F.floor(F.col("place") / shard).alias("shard"), F.pmod("place", F.lit(shard)).alias("place"))
     # Written once: a condition on these columns, pushed down through the rounds, would double in each.
-    return table_copy(slots, "slots")
-
-
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """(shard, source, slots): the counts drawn for every output shard."""
-    return slots.groupBy("shard", "source").agg(F.count("*").alias("slots"))
+    return table_copy(slots.select("source", "shard", "block"), "slots")
 
 
 def mixture(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -119,15 +141,17 @@ def mixture(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, weights:
 
     taken counts the words of the document in the mix, repeats included: at most ``most`` times
     its size. A null text has size 0 and gives nothing; a null source is a source of its own.
-    Rows with equal ids are documents of their own. Extra columns are ignored; no rows give no
-    rows. Reruns agree: every draw is a function of the data and fixed seeds.
+    Rows with equal ids, or equal in all, are documents of their own; those equal in id, source and
+    size share what they took in no stated order. A long text spans many blocks and is counted
+    whole. Extra columns are ignored; no rows give no rows. Reruns agree: every draw is a function
+    of the data and fixed seeds.
     """
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
     sized = table_copy(sized, "sizes")
     placed, filled = packed(sized, block, bucket)
     planned = plan(filled, weights, most)
-    slots = drawn_slots(planned)
+    slots = drawn_slots(table_copy(shard_counts(planned), "shards"))
     uses = slots.groupBy(F.col("source").alias("s"), "block").agg(F.count("*").alias("uses"))
     first = filled.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "first_block")
     at = placed.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
@@ -142,4 +166,5 @@ def mixture(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, weights:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, as ``mixture`` draws it."""
     return mixture(read(spark, sf_dir, "documents"))

@@ -210,4 +210,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, id_col: st
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component, as ``near_duplicates`` finds them."""
     return near_duplicates(read(spark, sf_dir, "documents"))

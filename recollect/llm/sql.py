@@ -18,6 +18,7 @@ def op3() -> str:
         wide = f"SELECT id, m, pos, w AS w0, {near} FROM {table} WINDOW o AS (PARTITION BY id ORDER BY pos)"
         shapes = [(m, "") for m in masks]
         shapes += [(m, f" AND EXISTS (SELECT 1 FROM short WHERE short.m = {n})") for n in range(least, longest + 1) for m in decontaminate.all_but_one(n)]
+        shapes += [(tuple(range(n)), f" AND m = {n}" if table == "iw" else "") for n in range(1, least)]
         one = lambda k, m, when: f"SELECT id, pos, {k} AS shape, concat_ws(' ', {', '.join(f'w{o}' for o in m)}) AS seed FROM ({wide}) WHERE w{m[-1]} IS NOT NULL{when}"
         return " UNION ALL ".join(one(k, m, when) for k, (m, when) in enumerate(shapes))
 
@@ -25,7 +26,7 @@ def op3() -> str:
     return f"""
 WITH d AS (SELECT doc_id AS id, {words} AS ws FROM documents), i AS (SELECT item_id AS id, {words} AS ws FROM benchmark),
 dw AS (SELECT id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
-iw AS (SELECT id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM i WHERE len(ws) >= {least}),
+iw AS (SELECT id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM i),
 short AS (SELECT DISTINCT m FROM iw WHERE m <= {longest}),
 ds AS ({seeds("dw")}), si AS ({seeds("iw")}),
 diagonal AS (SELECT DISTINCT ds.id AS doc_id, si.id AS item_id, ds.pos - si.pos AS start FROM ds JOIN si USING (shape, seed)),
@@ -59,22 +60,27 @@ FROM v JOIN least ON least.node = v.vec_id LEFT JOIN degree ON degree.a = v.vec_
 
 
 def op5() -> str:
-    values = lambda rows: ", ".join(f"('{r['host']}', '{r['path']}', '{r['verdict']}')" for r in rows)
-    return f"""
+    rules = ", ".join(f"('{r['host']}', '{r['path']}', '{r['verdict']}')" for r in url_filter.RULES)
+    words = lambda x: f"unnest([{', '.join(repr(w) for w in x)}])"
+    plain = "list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.')"
+    fold = f"list_reduce([[]::VARCHAR[]] || list_transform({plain}, lambda x: [x]), lambda done, x: CASE WHEN x = ['..'] THEN done[1:greatest(len(done) - 1, 0)] ELSE done || x END)"
+    return rf"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ),
-entries AS (
-  SELECT 1 AS is_rule, * FROM (VALUES {values(url_filter.RULES)}) AS r(h, q, verdict)
-  UNION ALL SELECT 0, * FROM (VALUES {values(url_filter.LISTED)}) AS l(h, q, verdict)
+plain AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(host, '^(?s:.*)@', ''), ':[0-9]*$', ''), '\.+$', '') AS host, array_to_string({fold}, '/') AS path FROM p
 ),
+a AS (SELECT {words(url_filter.LISTED_FIRST)} AS a), b AS (SELECT {words(url_filter.LISTED_SECOND)} AS b), e AS (SELECT {words(url_filter.LISTED_ENDS)} AS e),
+listed AS (SELECT a || '-' || b || CASE WHEN m > 0 THEN m::VARCHAR ELSE '' END || '.example.' || e AS h FROM a, b, e, range({url_filter.LISTED_MIRRORS}) r(m)),
 fits AS (
-  SELECT page_id, is_rule, h || q AS entry, verdict, row_number() OVER (PARTITION BY page_id ORDER BY is_rule DESC, length(h || q) DESC, h || q DESC) AS nth
-  FROM p JOIN entries ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
-)
+  SELECT page_id, 1 AS is_rule, h || q AS entry, verdict FROM p JOIN (VALUES {rules}) AS r(h, q, verdict) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  UNION ALL SELECT page_id, 0, h || '/', 'block' FROM plain JOIN listed ON host = h OR ends_with(host, '.' || h)
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY is_rule DESC, length(entry) DESC, entry DESC) AS nth FROM fits)
 SELECT p.page_id, host, path, CASE WHEN is_rule = 1 THEN entry END AS rule, coalesce(verdict, 'allow') AS verdict, CASE WHEN is_rule = 0 THEN entry END AS listed
-FROM p LEFT JOIN fits ON fits.page_id = p.page_id AND nth = 1"""
+FROM p LEFT JOIN best ON best.page_id = p.page_id AND nth = 1"""
 
 
 def _permuted(table: str, out: str, value: str, size: str, seed: str) -> str:
@@ -82,9 +88,10 @@ def _permuted(table: str, out: str, value: str, size: str, seed: str) -> str:
     sql = f"SELECT *, ({value})::BIGINT AS {out}, ({size})::BIGINT AS _n, ({seed})::BIGINT AS _s FROM {table}"
     for r in range(mixing.ROUNDS):
         a, b = 1103515245 + 7919 * r, 12345 + 104729 * r
-        key = f"(((_s * {2 * r + 1} + {b}) % {p}) * {a} % {p}) % _n"
+        high = f"(((_s * {2 * r + 1} + {b}) % {p}) * {a} % {p})"
+        key = f"({high} * {1 << 30} + ({high} * {a} + {b}) % {p} % {1 << 30}) % _n"
         sql = f"SELECT *, (({key}) - {out} + _n) % _n AS _p FROM ({sql})"
-        sql = f"SELECT *, (greatest({out}, _p) + _s + {b}) % {p} AS _z FROM ({sql})"
+        sql = f"SELECT *, (greatest({out}, _p) % {p} + greatest({out}, _p) // {p} * 7 + _s + {b}) % {p} AS _z FROM ({sql})"
         sql = f"SELECT * REPLACE (CASE WHEN ((_z * _z % {p}) * {a} + {b}) % {p} < {p // 2} THEN _p ELSE {out} END AS {out}) FROM ({sql})"
         sql = f"SELECT * EXCLUDE (_p, _z) FROM ({sql})"
     return f"SELECT * EXCLUDE (_n, _s) FROM ({sql})"
@@ -92,17 +99,23 @@ def _permuted(table: str, out: str, value: str, size: str, seed: str) -> str:
 
 def op8() -> str:
     b, bucket, p = mixing.BLOCK, mixing.BUCKET, mixing.PRIME
+    mixed = f"(k % {p} + k // {p} * 7 + source_rank * 31 + {mixing.SEED}) % {p}"
+    mix = lambda v, x, y: f"SELECT * EXCLUDE (v), (v * v % {p} + v * {x} + {y}) % {p} AS v FROM ({v})"
+    fallen = mix(mix(f"SELECT *, ({mixed})::BIGINT AS v FROM every", 1103515245, 12345), 747796405, 104729)
     draw = _permuted("k_slots", "block", "k % blocks", "blocks", f"({mixing.SEED} + source_rank * 31 + (k // blocks) * 17) % {p}")
     return rf"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH sized AS (
+  SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS copy
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
+),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 dealt AS (
-  SELECT d.*, ((((coalesce(doc_id, 0) % {p}) + {p}) % {p}) * 7919 % {p}) % ceil(greatest(source_size, 1) / {bucket})::BIGINT AS bucket
+  SELECT d.*, ((((coalesce(doc_id, 0) % {p}) + {p}) % {p}) * 7919 + size % {p} * 104729 + copy % {p} * 31) % {p} % ceil(greatest(source_size, 1) / {bucket})::BIGINT AS bucket
   FROM sized d JOIN sizes s ON d.source IS NOT DISTINCT FROM s.source
 ),
 placed AS (
-  SELECT *, row_number() OVER o AS nth, (sum(size) OVER (PARTITION BY source, bucket ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
-  FROM dealt WINDOW o AS (PARTITION BY source, bucket ORDER BY doc_id NULLS FIRST, size)
+  SELECT *, row_number() OVER o AS nth, (sum(size) OVER (PARTITION BY source, bucket ORDER BY doc_id NULLS FIRST, size, copy ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
+  FROM dealt WINDOW o AS (PARTITION BY source, bucket ORDER BY doc_id NULLS FIRST, size, copy)
 ),
 counted AS (SELECT source, bucket, sum(size)::BIGINT AS words, ceil(sum(size) / {b})::BIGINT AS blocks FROM placed GROUP BY ALL),
 filled AS (SELECT *, (sum(blocks) OVER (PARTITION BY source ORDER BY bucket ROWS UNBOUNDED PRECEDING))::BIGINT - blocks AS first_block FROM counted),
@@ -115,7 +128,10 @@ levels AS (
 ),
 targets AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * w) AS target FROM levels),
 slotted AS (SELECT *, CASE WHEN source_size > 0 THEN least(round(target * blocks / source_size)::BIGINT, blocks * 3) ELSE 0 END AS slots FROM targets),
-k_slots AS (SELECT source, source_rank, blocks, unnest(range(slots)) AS k FROM slotted WHERE slots > 0),
+every AS (SELECT source, source_rank, blocks, sum(slots) OVER () AS all_slots, unnest(range(slots)) AS k FROM slotted WHERE slots > 0),
+shards AS (SELECT source, source_rank, blocks, v % ceil(all_slots / {mixing.SHARD})::BIGINT AS shard, count(*) AS slots FROM ({fallen}) GROUP BY ALL),
+numbered AS (SELECT *, (sum(slots) OVER (PARTITION BY source ORDER BY shard ROWS UNBOUNDED PRECEDING))::BIGINT - slots AS first FROM shards),
+k_slots AS (SELECT source, source_rank, blocks, shard, first + unnest(range(slots)) AS k FROM numbered),
 uses AS (SELECT source, block, count(*) AS uses FROM ({draw}) GROUP BY ALL),
 parts AS (
   SELECT p.*, first_block, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS own

@@ -122,4 +122,5 @@ def counted(docs: DataFrame, path: str = VOCABULARY, pattern: str = WORDS, id_co
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and tokens, as ``counted`` finds them."""
     return counted(read(spark, sf_dir, "documents"))

@@ -134,10 +134,11 @@ def score(model: Model, ids: np.ndarray, x: np.ndarray) -> float:
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The model of rows (text, toxic), with toxic 0 or 1; null labels are left out.
 
-    About ``fit_rows`` rows at most are taken, by a hash of the text. Spark makes their vectors; one task, which sees
-    those bounded rows only, trains, and returns at most KEPT + 1 rows of weights.
+    About ``fit_rows`` rows at most are taken, by a hash of all their columns. Spark makes their
+    vectors; one task, which sees those bounded rows only, trains, and returns at most KEPT + 1
+    rows of weights.
     """
-    rows = sampled(rows.where("toxic is not null").select("text", F.col("toxic").cast("double").alias("toxic")), fit_rows, F.col("text"))
+    rows = sampled(rows.where("toxic is not null"), fit_rows).select("text", F.col("toxic").cast("double").alias("toxic"))
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
@@ -162,7 +163,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """The rows with a toxicity score from 0 to 1, of the whole text.
 
-    Null and empty texts get the score of a text without words. Every row stays.
+    Null and empty texts get the score of a text without words. Whole texts are read, however
+    long, and equal texts get equal scores. Every row stays; a column named ``out`` is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -175,17 +177,20 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fold; repeated labels count once.
+    """(doc_id, text, toxic) of labelled documents outside the held-out fold, one for each id.
 
+    Repeated labels count once, as 1 if any is; of rows with equal ids the least text counts.
     About ``fit_rows`` labels at most are drawn, by a hash of the id, before they meet the
     texts, so what is broadcast has that bound.
     """
     learn = labels.where(~held_out(F.col("doc_id"), 4, 2)).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = sampled(learn, fit_rows, F.col("doc_id"))
-    return docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("text", "toxic")
+    learn = sampled(learn, fit_rows)
+    met = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model of the labels outside the held-out fold."""
     docs = read(spark, sf_dir, "documents")
     model = fit(training_rows(docs, read(spark, sf_dir, "labels")))
     found = scored(docs.select("doc_id", "text"), model)

@@ -52,6 +52,22 @@ def test_same_as_sql(spark, tmp_path):
     same_as_sql(d.op3_decontaminate(spark, folder), folder, sql.op3(), ["documents", "benchmark"])
 
 
+def test_rows_without_ids_and_with_one_id(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    found = docs(spark, [(None, item), (None, "other words"), (4, f"see {item}"), (4, "clean text"), (5, None)])
+    items = spark.createDataFrame([(1, item)], ITEMS)
+    for seeds in (d.BROADCAST_SEEDS, 0):
+        assert rows(d.leaks(found, items, broadcast_seeds=seeds), "doc_id", "item_id", "first_word") == [(4, 1, 1), (None, 1, 0)]
+    assert rows(d.clean(found, items), "doc_id", "text") == [(4, "clean text"), (5, None), (None, "other words")]
+
+
+def test_short_items_same_as_sql(spark, tmp_path):
+    items = spark.createDataFrame([(1, "Paris"), (2, "forty two"), (3, "in the year"), (4, "who wrote the play"), (5, "so who wrote the play"), (6, "!")], ITEMS)
+    found = docs(spark, ["it was Paris then", "forty or two", "Forty-two!", "back in the year one", "and so who wrote the play, Paris", ""])
+    folder = saved(tmp_path, documents=found, benchmark=items)
+    same_as_sql(d.op3_decontaminate(spark, folder), folder, sql.op3(), ["documents", "benchmark"])
+
+
 @pytest.mark.parametrize("docs_empty", [True, False])
 def test_empty_tables(spark, docs_empty):
     found, items = case(spark)

@@ -61,6 +61,13 @@ def test_small_buckets_and_blocks(spark):
         assert all(r.taken <= 3 * r.size for r in found)
 
 
+def test_large_permutations_spread_over_their_range(spark):
+    n = (1 << 45) + 7
+    got = [r.p for r in m.permuted(spark.range(2000), "p", m.F.col("id") * 3, m.F.lit(n), m.F.lit(9)).collect()]
+    assert len(set(got)) == 2000 and 0 <= min(got) and max(got) < n
+    assert all(150 < sum(q * n // 8 <= x < (q + 1) * n // 8 for x in got) < 350 for q in range(8))
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation_is_one(spark, n):
     df = m.permuted(spark.range(n), "p", m.F.col("id"), m.F.lit(n), m.F.lit(12345))
@@ -69,14 +76,42 @@ def test_permutation_is_one(spark, n):
     assert n < 64 or got != list(range(n))
 
 
-def test_shard_counts_follow_the_targets(spark):
-    placed, filled = m.packed(m.table_copy(corpus(spark).selectExpr("doc_id", "source", "cast(size(split(text, ' ')) as bigint) as size").where("size > 0"), "t"), 4)
-    planned = m.plan(filled)
-    counts = m.shard_counts(m.drawn_slots(planned, shard=500))
-    share = {r.source: r.slots / r.all_slots for r in planned.collect()}
-    for r in counts.where("shard = 0").collect():
-        assert abs(r.slots - 500 * share[r.source]) < 6 * (500 * share[r.source]) ** 0.5 + 6
-    assert counts.where("shard = 0").agg({"slots": "sum"}).first()[0] == 500
+def test_shard_counts_are_multinomial(spark):
+    sizes = {"a": 40_000, "b": 9_000, None: 900, "none": 0}
+    planned = spark.createDataFrame([(s, k, 50_000, n, sum(sizes.values())) for k, (s, n) in enumerate(sizes.items())], "source string, source_rank int, blocks bigint, slots bigint, all_slots bigint")
+    counts = m.shard_counts(planned, shard=500).collect()
+    shards = -(-sum(sizes.values()) // 500)
+    assert {r.shard for r in counts} == set(range(shards))
+    for s, n in sizes.items():
+        own = {r.shard: r for r in counts if r.source == s}
+        got = [own[k].slots if k in own else 0 for k in range(shards)]
+        # The counts sum to the source's slots, and spread as a multinomial with equal chances.
+        assert sum(got) == n and [own[k].first for k in sorted(own)] == [sum(got[:k]) for k in sorted(own)]
+        if n:
+            spread = sum((x - n / shards) ** 2 for x in got) / (n / shards)
+            assert abs(spread - (shards - 1)) < 4.5 * (2 * (shards - 1)) ** 0.5
+
+
+def test_slots_follow_the_counts_and_read_each_block_once_in_a_pass(spark):
+    counts = spark.createDataFrame([("a", 0, 7, 0, 5, 0), ("a", 0, 7, 1, 9, 5), (None, 1, 3, 1, 2, 0)], "source string, source_rank int, blocks bigint, shard bigint, slots bigint, first bigint")
+    slots = m.drawn_slots(counts).collect()
+    number = lambda s, k: sum(r.source == s and r.shard == k for r in slots)
+    assert [number("a", 0), number("a", 1), number(None, 1)] == [5, 9, 2] and len(slots) == 16
+    assert sorted(r.block for r in slots if r.source == "a") == sorted([*range(7)] * 2)
+
+
+def test_rows_without_ids_and_repeated_rows_are_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(m, "RUN", 100)
+    df = spark.range(5000).selectExpr("cast(null as bigint) as doc_id", "'s' as source", "cast(if(id < 3000, 9, id % 50) as bigint) as size")
+    placed, _ = m.packed(df, bucket=1000)
+    most = placed.groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert placed.count() == 5000 and most < 500
+
+
+def test_very_long_texts(spark, tmp_path):
+    frame = docs(spark, [(1, "word " * 300_000), (2, "a b c"), (3, "word " * 200_000)], source=None)
+    folder = saved(tmp_path, documents=frame)
+    same_as_sql(m.op8_mix_sources(spark, folder), folder, sql.op8(), ["documents"])
 
 
 def test_no_rows_and_no_words(spark):

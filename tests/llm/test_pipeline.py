@@ -67,3 +67,19 @@ def test_near_duplicates_of_odd_rows(spark):
     kept = sorted((str(r.doc_id), r.text) for r in found.collect())
     assert found.columns == docs.columns and kept == [("2", text.upper()), ("2", "its own text"), ("None", "alone here")]
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_rows_that_share_an_id(spark, tmp_path):
+    docs, labels, items = corpus(spark)
+    folder = saved(tmp_path, documents=docs, labels=labels, benchmark=items)
+    names = ["_id", "_lang", "_share", "_toxicity", "lang_pred", "score", "langs", "doc", "row", "row_more", "words", "found", "whole", "a.b"]
+    odd = docs.where("doc_id < 40 or doc_id > 299").selectExpr("*", *[f"'keep' as `{n}`" for n in names])
+    leak = odd.where("doc_id = 302")
+    odd = odd.union(leak.selectExpr("2 as doc_id", *[f"`{c}`" for c in odd.columns[1:]])).union(leak.selectExpr("cast(null as bigint) as doc_id", *[f"`{c}`" for c in odd.columns[1:]]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd = corpus_pipeline.table_copy(stage(spark, odd, folder), f"odd-{name}")
+        assert odd.columns == [*docs.columns, *names] and odd.select(*[f"`{n}`" for n in names]).distinct().collect() == [("keep",) * len(names)]
+    kept = [(r.doc_id, r.text) for r in odd.collect()]
+    item = items.first().text
+    # The document 2 stays, the row of its id that holds the item goes, and so does the one without an id.
+    assert [i for i, _ in kept].count(2) == 1 and not any(item in text for _, text in kept)
