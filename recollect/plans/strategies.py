@@ -2,8 +2,8 @@
 
 Turns have (history_id, id, session_id, session_ts, speaker, text, ts, seq); questions have (qid,
 history_id, question, now). A plan has a row for each turn wanted: (qid, history_id, strategy,
-phase, positional, unit_ord, turn_ord, turn_id). Phase 0 is packed first into its share of the
-budget, phase 1 into the rest.
+unit_ord, turn_ord, turn_id). The plans of full_head and sliding_window name every turn of a
+history; ``packing.packed_prefix`` packs them without a row for each.
 """
 
 from __future__ import annotations
@@ -104,8 +104,8 @@ def store_scores(turns: DataFrame, questions: DataFrame, config: Config = Config
     return found
 
 
-def _units(ranked: DataFrame, strategy: str, phase: int = 1, positional: bool = False) -> DataFrame:
-    return ranked.select("qid", "history_id", F.lit(strategy).alias("strategy"), F.lit(phase).alias("phase"), F.lit(positional).alias("positional"), F.col("rank").alias("unit_ord"), F.lit(0).alias("turn_ord"), F.col("id").alias("turn_id"))
+def _units(ranked: DataFrame, strategy: str) -> DataFrame:
+    return ranked.select("qid", "history_id", F.lit(strategy).alias("strategy"), F.col("rank").alias("unit_ord"), F.lit(0).alias("turn_ord"), F.col("id").alias("turn_id"))
 
 
 def with_neighbours(units: DataFrame, turns: DataFrame, reach: int) -> DataFrame:
@@ -125,11 +125,11 @@ def _everything(turns: DataFrame, questions: DataFrame, order: Column) -> DataFr
 
 
 def full_head(turns: DataFrame, questions: DataFrame) -> DataFrame:
-    return _units(_everything(turns, questions, F.col("position").asc()), "full_head", positional=True)
+    return _units(_everything(turns, questions, F.col("position").asc()), "full_head")
 
 
 def sliding_window(turns: DataFrame, questions: DataFrame) -> DataFrame:
-    return _units(_everything(turns, questions, F.col("position").desc()), "sliding_window", positional=True)
+    return _units(_everything(turns, questions, F.col("position").desc()), "sliding_window")
 
 
 def random_turns(turns: DataFrame, questions: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def bm25_sessions(turns: DataFrame, questions: DataFrame) -> DataFrame:
     found = bm25.scores(session_index(turns), asked(questions)).withColumnRenamed("doc_id", "session_id").join(starts, ["history_id", "session_id"])
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "session_ts", "session_id")
     ranked = found.withColumn("unit_ord", F.row_number().over(order)).join(turns.select("history_id", "session_id", "id", "seq"), ["history_id", "session_id"])
-    return ranked.select("qid", "history_id", F.lit("bm25_sessions").alias("strategy"), F.lit(1).alias("phase"), F.lit(False).alias("positional"), "unit_ord", F.col("seq").cast("int").alias("turn_ord"), F.col("id").alias("turn_id"))
+    return ranked.select("qid", "history_id", F.lit("bm25_sessions").alias("strategy"), "unit_ord", F.col("seq").cast("int").alias("turn_ord"), F.col("id").alias("turn_id"))
 
 
 def recency_bm25(turns: DataFrame, questions: DataFrame, half_life_days: float = 30.0, floor: float = 0.0) -> DataFrame:
@@ -156,9 +156,8 @@ def recency_bm25(turns: DataFrame, questions: DataFrame, half_life_days: float =
 
 
 def window_bm25(turns: DataFrame, questions: DataFrame) -> DataFrame:
-    """The newest turns, for a share of the budget, then BM25 hits."""
-    recent = _units(_everything(turns, questions, F.col("position").desc()), "window_bm25", 0, True)
-    return recent.unionByName(_units(bm25.ranked(turn_scores(turns, questions), "position"), "window_bm25"))
+    """BM25 hits for what ``packing.packed_split`` leaves beside the newest turns."""
+    return _units(bm25.ranked(turn_scores(turns, questions), "position"), "window_bm25")
 
 
 def store(turns: DataFrame, questions: DataFrame, config: Config = Config(), name: str = "store") -> DataFrame:

@@ -256,14 +256,35 @@ _HEAD = """SELECT *, coalesce(sum(line_tokens + head) OVER (PARTITION BY qid, bu
 )
 def pack_positional(spark, sf_dir):
     turns, questions = both(spark, sf_dir)
-    return packing.packed(strategies.full_head(turns, questions), turns, BUDGETS).select("qid", "budget", "turn_id", "cut")
+    return packing.packed_prefix(turns, questions, BUDGETS).select("qid", "budget", "turn_id", "cut")
 
 
-@registered()
+_RECENT = f"""SELECT * FROM (SELECT *, max(upto) OVER (PARTITION BY qid, budget ORDER BY nth) AS peak, coalesce(max(upto) OVER (PARTITION BY qid, budget ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM (
+  SELECT *, sum(line_tokens + head) OVER (PARTITION BY qid, budget ORDER BY nth) AS upto FROM (
+    SELECT q.qid, b.budget, b.budget // 4 AS lim, p.*, {o.tokens('p.text')} AS text_tokens, o.nth, p.header_tokens - coalesce(lag(p.header_tokens) OVER (PARTITION BY q.qid, b.budget, p.session_id ORDER BY o.nth), 0) AS head
+    FROM (SELECT qid, history_id FROM questions) q, (VALUES (256), (1024)) AS b(budget) JOIN (SELECT history_id AS h, id AS i, n_turns - position AS nth FROM pos) o ON o.h = q.history_id
+    JOIN priced p ON p.history_id = o.h AND p.id = o.i))) WHERE low <= lim AND (peak <= lim OR lim - (upto - text_tokens) >= 8)"""
+_RECENT_PAID = f"SELECT *, CASE WHEN peak <= lim THEN upto ELSE upto - line_tokens + {o.tokens('(speaker || chr(58) || chr(32) || short)')} END AS paid FROM (SELECT *, {o.truncated('text', '(lim - (upto - text_tokens))')} AS short FROM recent)"
+_PRICE = "c.line_tokens + CASE WHEN list_contains(f.heads, c.session_id) THEN 0 ELSE c.header_tokens END"
+_SPLIT = f"""SELECT a.qid, a.budget, 0::BIGINT AS r, coalesce(any_value(s.used), 0)::BIGINT AS used, coalesce(any_value(s.heads), [])::VARCHAR[] AS heads, coalesce(any_value(s.ids), [])::VARCHAR[] AS ids
+  FROM (SELECT qid, budget FROM (SELECT qid FROM questions) q, (VALUES (256), (1024)) AS b(budget)) a LEFT JOIN (SELECT qid, budget, max_by(paid, nth) AS used, list(DISTINCT session_id) AS heads, list(id) AS ids FROM recent_paid GROUP BY 1, 2) s ON s.qid = a.qid AND s.budget = a.budget GROUP BY 1, 2
+UNION ALL SELECT f.qid, f.budget, c.rank, CASE WHEN NOT list_contains(f.ids, c.id) AND f.used + {_PRICE} <= f.budget THEN f.used + {_PRICE} ELSE f.used END,
+  CASE WHEN NOT list_contains(f.ids, c.id) AND f.used + {_PRICE} <= f.budget AND NOT list_contains(f.heads, c.session_id) THEN list_append(f.heads, c.session_id) ELSE f.heads END,
+  CASE WHEN NOT list_contains(f.ids, c.id) AND f.used + {_PRICE} <= f.budget THEN list_append(f.ids, c.id) ELSE f.ids END
+  FROM halves f JOIN cand c ON c.qid = f.qid AND c.rank = f.r + 1"""
+
+
+@registered(
+    "SELECT qid, 'window_bm25' AS strategy, budget::INT AS budget, len(ids)::BIGINT AS n_turns, used::BIGINT AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY qid, budget ORDER BY r DESC) AS back FROM halves) WHERE back = 1 AND len(ids) > 0",
+    recent=_RECENT,
+    recent_paid=_RECENT_PAID,
+    halves=_SPLIT,
+    cand=_CAND.replace("rank_store", "rank_turns"),
+)
 def pack_window_split(spark, sf_dir):
     turns, questions = both(spark, sf_dir)
-    shown = packing.packed(strategies.window_bm25(turns, questions), turns, BUDGETS, 0.25)
-    return packing.totals(shown)
+    shown = packing.packed_split(strategies.window_bm25(turns, questions), turns, questions, BUDGETS, 0.25)
+    return packing.totals(shown).select("qid", "strategy", "budget", "n_turns", F.col("tokens").cast("bigint").alias("tokens"))
 
 
 # Facts

@@ -34,7 +34,7 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_every_query_has_sql_but_those_named_here():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"pack_window_split", "bootstrap_ci", "store_context"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"bootstrap_ci", "store_context"}
 
 
 def test_the_rest_imports_without_the_llm_package():

@@ -60,8 +60,15 @@ def test_fusion_prefers_what_both_rank(spark):
     assert got(found, "rank", "id") == [(1, "b"), (2, "a"), (3, "c")]
 
 
-def contexts(spark, t, q, plan, budgets, share=0.25):
-    shown = packing.packed(plan, t, budgets, share)
+def packed(name, t, q, budgets, share=0.25):
+    if name in ("full_head", "sliding_window"):
+        return packing.packed_prefix(t, q, budgets, name, name == "sliding_window")
+    plan = getattr(strategies, name)(t, q)
+    return packing.packed_split(plan, t, q, budgets, share) if name == "window_bm25" else packing.packed(plan, t, budgets)
+
+
+def contexts(name, t, q, budgets, share=0.25):
+    shown = packed(name, t, q, budgets, share)
     text = packing.rendered(shown)
     cost = text.select("qid", "budget", packing.count_tokens(F.col("body")).alias("n"), "body")
     return shown, {(r.qid, r.budget): (r.tokens, c.n, c.body) for r, c in zip(packing.totals(shown).orderBy("qid", "budget").collect(), cost.orderBy("qid", "budget").collect(), strict=True)}
@@ -75,7 +82,7 @@ def test_what_is_rendered_costs_what_was_counted_and_fits(spark, name):
     t = turns(spark, sessions)
     q = questions(spark, [("q1", "t", "garden party in lisbon", "", "2024-07-01 00:00"), ("q2", "t", "extraordinary biscuit", "", "2024-07-01 00:00")])
     budgets = [0, 30, 77, 200, 100_000]
-    shown, found = contexts(spark, t, q, getattr(strategies, name)(t, q), budgets)
+    shown, found = contexts(name, t, q, budgets)
     assert found and all(tokens == n <= budget for (_, budget), (tokens, n, _) in found.items())
     assert all(body.count(f"[session s{k} ") <= 1 for _, _, body in found.values() for k in range(6))
     if name in ("full_head", "sliding_window"):
@@ -83,9 +90,35 @@ def test_what_is_rendered_costs_what_was_counted_and_fits(spark, name):
         assert got(shown.where("budget = 100000 and qid = 'q1'"), "turn_id") == got(t, F.col("id").alias("turn_id"))
 
 
+def test_a_prefix_ends_where_the_next_turn_does_not_fit(spark):
+    rng = random.Random(5)
+    sessions = [(f"s{k}", f"2024-03-{k + 10} 10:00", [("user", " ".join(["word"] * rng.randint(1, 25)), 30 * j) for j in range(5)]) for k in range(4)]
+    t = turns(spark, sessions)
+    q = questions(spark, [("q1", "t", "any", "", "2024-07-01 00:00")])
+    price = {r.id: r for r in packing.costs(t).collect()}
+    flat = [f"{s}:{k}" for s, _, said in sessions for k in range(len(said))]
+    budgets = list(range(0, 420, 23))
+    for name, order in (("full_head", flat), ("sliding_window", flat[::-1])):
+        shown = packed(name, t, q, budgets)
+        got_ = {b: {r.turn_id: r.cut for r in shown.where(f"budget = {b}").collect()} for b in budgets}
+        for b in budgets:
+            whole = [i for i, cut in got_[b].items() if not cut]
+            assert whole == [] or set(whole) == set(order[: len(whole)])
+            # The turns that fit, priced as they are rendered: a header for each session, of its first turn shown.
+            total = lambda ids: sum(price[i].line_tokens for i in ids) + sum(price[min(i for i in ids if i[:2] == s)].header_tokens for s in {i[:2] for i in ids})
+            fits = [n for n in range(len(order) + 1) if total(order[:n]) <= b]
+            assert len(whole) == next(n for n in range(len(order) + 1) if n + 1 not in fits)
+
+
+def test_a_repeated_turn_is_packed_once_and_a_later_one_may_fit(spark):
+    t = turns(spark, [("a", "2024-01-05 00:00", [("u", "one " * 40), ("u", "two"), ("u", "three")])])
+    plan = spark.createDataFrame([("q", "h", "x", k, 0, i) for k, i in enumerate(["a:1", "a:0", "a:1", "a:2"])], "qid string, history_id string, strategy string, unit_ord int, turn_ord int, turn_id string")
+    assert got(packing.packed(plan, t, [25, 500]), "budget", "turn_id") == [(25, "a:1"), (25, "a:2"), (500, "a:0"), (500, "a:1"), (500, "a:2")]
+
+
 def test_window_split_fills_the_rest_with_hits(spark):
     t, q = turns(spark, HISTORY), questions(spark, [("q1", "t", "puppy Biscuit", "", "2024-07-01 00:00")])
-    shown, _ = contexts(spark, t, q, strategies.window_bm25(t, q), [120], 0.4)
+    shown, _ = contexts("window_bm25", t, q, [120], 0.4)
     ids = [r[0] for r in got(shown, "turn_id")]
     assert "s3:2" in ids and "s1:0" in ids
 
@@ -93,9 +126,9 @@ def test_window_split_fills_the_rest_with_hits(spark):
 def test_packing_refuses_bad_budgets(spark):
     t, q = turns(spark, HISTORY), questions(spark, [("q1", "t", "puppy", "", "2024-07-01 00:00")])
     with pytest.raises(ValueError):
-        packing.packed(strategies.full_head(t, q), t, [-1])
+        packing.packed_prefix(t, q, [-1])
     with pytest.raises(ValueError):
-        packing.packed(strategies.full_head(t, q), t, [10], 1.0)
+        packing.packed_split(strategies.window_bm25(t, q), t, q, [10], 1.0)
 
 
 def test_fact_lines_take_half_the_budget(spark):
