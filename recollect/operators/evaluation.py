@@ -63,6 +63,22 @@ def scores(contexts: DataFrame, questions: DataFrame, evidence: DataFrame, sessi
     )
 
 
+def reached(units: DataFrame, evidence: DataFrame, turns: DataFrame, reach: int, by: str = "config") -> DataFrame:
+    """(qid, by, reach, recall): the share of a question's gold turns that units with neighbours hold.
+
+    ``units`` has (qid, by, session_id, position) of each unit's hit. For every reach from 0 up to
+    the given one: a gold turn is held if a hit of its session lies no further away, so no unit
+    is written out with its neighbours.
+    """
+    at = placed(turns).select("history_id", F.col("id").alias("turn_id"), "session_id", F.col("position").alias("place"))
+    own = evidence.join(at, ["history_id", "turn_id"]).select("qid", "turn_id", "session_id", "place")
+    grid = own.select("qid", "turn_id").crossJoin(F.broadcast(units.select(by).distinct()))
+    away = units.join(own, ["qid", "session_id"]).groupBy("qid", "turn_id", by).agg(F.min(F.abs(F.col("place") - F.col("position"))).alias("away"))
+    wide = grid.join(away, ["qid", "turn_id", by], "left").select("qid", by, "away", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("reach"))
+    hit = F.when(F.col("away") <= F.col("reach"), 1.0).otherwise(0.0)
+    return wide.groupBy("qid", by, "reach").agg(F.round(F.avg(hit), 4).alias("recall"))
+
+
 def positions(evidence: DataFrame, turns: DataFrame) -> DataFrame:
     """(qid, turn_id, pos): where each gold turn stands in its history, 0 to 1."""
     at = placed(turns).withColumn("n", F.count("*").over(Window.partitionBy("history_id")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,25 +33,42 @@ def filed_in_order(arrivals: DataFrame) -> DataFrame:
 def filed(arrivals: DataFrame) -> DataFrame:
     """The versions that arrivals leave in any order of valid_from.
 
-    Whether an arrival is new depends on those filed before it, so a key's arrivals are taken
-    one by one, in order of id; keys are independent.
+    Whether an arrival is new depends on those filed before it, so the arrivals of a key that are
+    out of order are taken one by one, in order of id. Keys whose times never fall need no fold:
+    they are filed by ``filed_in_order``'s rule, in a window.
     """
-    keyed = normalised(arrivals).withColumn("_same", fact_key(F.col("value")))
+    by_id = Window.partitionBy(*KEY).orderBy("id")
+    keyed = normalised(arrivals).withColumn("_same", fact_key(F.col("value"))).withColumn("_before", F.lag("_same").over(by_id))
+    falls = F.coalesce(F.col("valid_from") < F.lag("valid_from").over(by_id), F.lit(False))
+    keyed = keyed.withColumn("_late", falls).withColumn("_late", F.max("_late").over(Window.partitionBy(*KEY)))
+    tidy = keyed.where(~F.col("_late") & (F.col("_before").isNull() | (F.col("_before") != F.col("_same"))))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        versions: list[tuple] = []  # (valid_from, id, same), in that order
-        keep = []
-        for at, number, same in zip(rows["valid_from"], rows["id"], rows["_same"], strict=True):
-            prior = [v for v in versions if v[0] <= at]
-            new = not prior or prior[-1][2] != same
-            keep.append(new)
-            if new:
-                versions.append((at, number, same))
-                versions.sort()
-        return rows[keep]
-
-    return keyed.groupBy(*KEY).applyInPandas(fold, keyed.schema).drop("_same")
+        versions = Versions()
+        return rows[[versions.file(*x) for x in zip(rows["valid_from"], rows["id"], rows["_same"], strict=True)]]
+
+    late = keyed.where("_late").groupBy(*KEY).applyInPandas(fold, keyed.schema)
+    return tidy.unionByName(late).drop("_same", "_before", "_late")
+
+
+class Versions:
+    """A key's versions in order of time and id; each arrival finds its place by bisection."""
+
+    def __init__(self, rows: Iterable[tuple] = ()):
+        rows = sorted(rows)
+        self.places = [(at, number) for at, number, _ in rows]
+        self.values = [same for *_, same in rows]
+
+    def file(self, at, number, same) -> bool:
+        """Whether the arrival is new: unlike the last version that begins by its time, which it then follows."""
+        k = bisect.bisect_right(self.places, at, key=lambda p: p[0])
+        if k and self.values[k - 1] == same:
+            return False
+        k = bisect.bisect_left(self.places, (at, number))
+        self.places.insert(k, (at, number))
+        self.values.insert(k, same)
+        return True
 
 
 def chained(facts: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Student's t at 0.975 for 1 to 30 degrees of freedom, and the normal quantile (fixed values).
@@ -26,12 +25,11 @@ def t975(df: Column) -> Column:
 def cluster_means(rows: DataFrame, by: list[str], value: str = "value", cluster: str = "cluster") -> DataFrame:
     """(by, mean, lo, hi, n, clusters) for each group: leave-one-cluster-out intervals.
 
-    Rows are summed by cluster first, so what meets in a group is one row for each cluster; those
-    sums are kept, as they are read twice. The
-    interval is cut to the range of the values; a single cluster has none, and lo = hi = mean.
-    Null values are left out.
+    Rows are summed by cluster first, so what meets in a group is one row for each cluster; the
+    totals are made from the same shuffle. The interval is cut to the range of the values; a single
+    cluster has none, and lo = hi = mean. Null values are left out.
     """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.min(value).alias("least"), F.max(value).alias("most")).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.min(value).alias("least"), F.max(value).alias("most"))
     totals = sums.groupBy(*by).agg(F.sum("s").alias("total"), F.sum("c").alias("n"), F.count("*").alias("clusters"), F.min("least").alias("least"), F.max("most").alias("most"))
     same = F.lit(True)
     for k in by:
@@ -54,13 +52,19 @@ def bootstrap(rows: DataFrame, by: list[str], value: str = "value", cluster: str
     """(by, boot_lo, boot_hi): the percentile bootstrap over clusters.
 
     Each resample draws as many clusters as there are, by a hash of the draw; a rerun agrees.
-    The draws are a join by cluster number, resamples x clusters rows for each group.
+    Clusters are numbered, and the draws, resamples x clusters narrow rows for each group, are
+    counted by number before they meet the clusters' sums in a join. A group's clusters are
+    numbered in one window; its resamples meet in one array, rounded to 12 places, as the order
+    of a sum is not fixed.
     """
     sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    lists = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(cluster).cast("string").alias("k"), "s", "c"))).alias("cs"))
-    drawn = lists.select(*by, "cs", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select(*by, "cs", "r", F.explode(F.sequence(F.lit(0), F.size("cs") - 1)).alias("j"))
-    pick = F.get("cs", F.pmod(F.xxhash64(F.lit(seed), "r", "j"), F.size("cs")).cast("int"))
-    means = drawn.select(*by, "r", pick.alias("p")).groupBy(*by, "r").agg((F.sum("p.s") / F.sum("p.c")).alias("m"))
-    ordered = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    group = F.xxhash64(*by).alias("_group")
+    order = Window.partitionBy("_group").orderBy(F.col(cluster).cast("string"))
+    numbered = sums.select(*by, group, cluster, "s", "c").withColumn("j", F.row_number().over(order) - 1)
+    sizes = numbered.groupBy("_group").agg(F.count("*").alias("n"))
+    drawn = numbered.select("_group", "j").join(sizes, "_group").select("_group", "j", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    times = drawn.select("_group", "r", F.pmod(F.xxhash64(F.lit(seed), "r", "j"), F.col("n")).cast("int").alias("j")).groupBy("_group", "r", "j").agg(F.count("*").alias("times"))
+    means = times.join(numbered.select("_group", "j", "s", "c"), ["_group", "j"]).groupBy("_group", "r").agg(F.round(F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times")), 12).alias("m"))
+    ordered = means.groupBy("_group").agg(F.sort_array(F.collect_list("m")).alias("ms"))
     at = lambda q: F.get("ms", F.lit(int(q * (resamples - 1))))
-    return ordered.select(*by, at(0.025).alias("boot_lo"), at(0.975).alias("boot_hi"))
+    return numbered.where("j = 0").join(ordered, "_group").select(*by, at(0.025).alias("boot_lo"), at(0.975).alias("boot_hi"))

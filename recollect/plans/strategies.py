@@ -8,6 +8,7 @@ history; ``packing.packed_prefix`` packs them without a row for each.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
@@ -32,6 +33,11 @@ class Config:
     window_boost: float = 1.0
     neighbours: int = 0
 
+    @staticmethod
+    def grid(**values: tuple) -> list[Config]:
+        """Every combination of the given values; the last name varies fastest."""
+        return [Config(**dict(zip(values, x, strict=True))) for x in itertools.product(*values.values())]
+
     def without(self, component: str) -> Config:
         off = {"session": "session_weight", "recency": "half_life_days", "window": "window_boost", "neighbours": "neighbours"}
         if component not in off:
@@ -89,19 +95,45 @@ def turn_scores(turns: DataFrame, questions: DataFrame) -> DataFrame:
     return found.join(of_turn, ["history_id", "id"]).join(questions.select("qid", "now", "question"), "qid")
 
 
+def score_parts(turns: DataFrame, questions: DataFrame, sessions: bool = True, windows: bool = True) -> DataFrame:
+    """The turns that share a term with a question, with what the store's score is made of.
+
+    ``base`` is the turn's score, ``session`` that of its session (each divided by the question's
+    best), ``age`` its days before now, ``inside`` whether it falls in the window the question names.
+    """
+    found = _normal(turn_scores(turns, questions)).withColumn("age", age_days(F.col("now"), F.col("ts"))).withColumnRenamed("score", "base")
+    if sessions:
+        own = _normal(bm25.scores(session_index(turns), asked(questions))).select("qid", F.col("doc_id").alias("session_id"), F.col("score").alias("session"))
+        found = found.join(own, ["qid", "session_id"], "left").withColumn("session", F.coalesce("session", F.lit(0.0)))
+    if windows:
+        named = questions.select("qid", query_window(F.col("question"), F.col("now")).alias("w"))
+        inside = F.coalesce((F.col("w.lo") <= F.col("ts")) & (F.col("ts") < F.col("w.hi")), F.lit(False))
+        found = found.join(named, "qid").withColumn("inside", inside).drop("w")
+    return found
+
+
 def store_scores(turns: DataFrame, questions: DataFrame, config: Config = Config()) -> DataFrame:
     """The turns' scores fused with their sessions', decayed by age and raised inside the window."""
-    found = _normal(turn_scores(turns, questions))
-    if config.session_weight:
-        sessions = _normal(bm25.scores(session_index(turns), asked(questions))).select("qid", F.col("doc_id").alias("session_id"), F.col("score").alias("s"))
-        found = found.join(sessions, ["qid", "session_id"], "left").withColumn("score", F.col("score") + config.session_weight * F.coalesce("s", F.lit(0.0))).drop("s")
+    parts = score_parts(turns, questions, bool(config.session_weight), bool(config.window_boost))
+    score = F.col("base") + config.session_weight * F.col("session") if config.session_weight else F.col("base")
     if config.half_life_days:
-        found = found.withColumn("score", F.col("score") * decay(age_days(F.col("now"), F.col("ts")), config.half_life_days, config.recency_floor))
+        score = score * decay(F.col("age"), config.half_life_days, config.recency_floor)
     if config.window_boost:
-        windows = questions.select("qid", query_window(F.col("question"), F.col("now")).alias("w"))
-        inside = F.coalesce((F.col("w.lo") <= F.col("ts")) & (F.col("ts") < F.col("w.hi")), F.lit(False))
-        found = found.join(windows, "qid").withColumn("score", F.col("score") * F.when(inside, 1 + config.window_boost).otherwise(1.0)).drop("w")
-    return found
+        score = score * F.when(F.col("inside"), 1 + config.window_boost).otherwise(1.0)
+    return parts.withColumn("score", score).drop("base", "session", "age", "inside")
+
+
+def grid_scores(parts: DataFrame, configs: list[Config]) -> DataFrame:
+    """``score_parts`` with the score under each configuration, by its number in the list.
+
+    The parts are made once for all of them; configurations are a parameter of the call.
+    """
+    rows = [F.struct(F.lit(k).alias("config"), F.lit(float(c.session_weight)).alias("w"), F.lit(float(c.half_life_days)).alias("h"), F.lit(c.recency_floor).alias("f"), F.lit(float(c.window_boost)).alias("b")) for k, c in enumerate(configs)]
+    wide = parts.select("*", F.inline(F.array(*rows)))
+    half = F.when(F.col("h") > 0, F.pow(F.lit(0.5), F.greatest("age", F.lit(0.0)) / F.col("h"))).otherwise(1.0)
+    kept = F.when(F.col("h") > 0, F.col("f") + (1 - F.col("f")) * half).otherwise(1.0)
+    raised = F.when(F.col("inside"), 1 + F.col("b")).otherwise(1.0)
+    return wide.withColumn("score", (F.col("base") + F.col("w") * F.col("session")) * kept * raised).drop("w", "h", "f", "b")
 
 
 def _units(ranked: DataFrame, strategy: str) -> DataFrame:

@@ -158,17 +158,52 @@ def store_score(spark, sf_dir):
     return strategies.store_scores(turns, questions).select("qid", "id", r6("score").alias("score"))
 
 
+_PARTS = "SELECT t.*, doc_id AS id, score / top AS b, coalesce(s, 0) AS s, greatest(epoch_us(now) - epoch_us(ts), 0) / 86400000000.0 AS age, coalesce(w.lo <= ts AND ts < w.hi, false) AS inside FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM tfull) t JOIN windows USING (qid) LEFT JOIN (SELECT qid AS q2, doc_id AS s2, score / max(score) OVER (PARTITION BY qid) AS s FROM sscore) ON q2 = qid AND s2 = session_id"
+
+
 @registered(
-    f"SELECT qid, component, id, rank::INT AS rank FROM (SELECT qid, 'recency' AS component, id, row_number() OVER (PARTITION BY qid ORDER BY round((score / top + 0.3 * coalesce(s, 0)) * CASE WHEN coalesce(w.lo <= ts AND ts < w.hi, false) THEN 2 ELSE 1 END, 12) DESC, position) AS rank FROM base UNION ALL SELECT qid, 'window', id, row_number() OVER (PARTITION BY qid ORDER BY round((score / top + 0.3 * coalesce(s, 0)) * (0.5 + 0.5 * pow(0.5, greatest(epoch_us(now) - epoch_us(ts), 0) / 86400000000.0 / 365.0)), 12) DESC, position) FROM base) WHERE rank <= {K}",
-    base="SELECT * FROM (SELECT *, doc_id AS id, max(score) OVER (PARTITION BY qid) AS top FROM tfull) t JOIN windows USING (qid) LEFT JOIN (SELECT qid AS q2, doc_id AS s2, score / max(score) OVER (PARTITION BY qid) AS s FROM sscore) ON q2 = qid AND s2 = session_id",
+    f"SELECT a.qid, component, rank::INT AS unit_ord, o.k::INT AS turn_ord, p.id AS turn_id FROM ablated a, (VALUES (0, 0), (1, -1), (2, 1)) AS o(k, d) JOIN pos p ON p.history_id = a.history_id AND p.session_id = a.session_id AND p.position = a.position + o.d WHERE rank <= {K} AND (k = 0 OR component <> 'neighbours')",
+    parts=_PARTS,
+    ablated="""SELECT *, row_number() OVER (PARTITION BY qid, component ORDER BY round(value, 12) DESC, position) AS rank FROM (
+  SELECT qid, history_id, session_id, position, component, (b + CASE component WHEN 'session' THEN 0 ELSE 0.3 * s END) * CASE component WHEN 'recency' THEN 1 ELSE 0.5 + 0.5 * pow(0.5, age / 365.0) END * CASE WHEN inside AND component <> 'window' THEN 2 ELSE 1 END AS value
+  FROM parts, (VALUES ('session'), ('recency'), ('window'), ('neighbours')) AS c(component))""",
 )
 def store_ablations(spark, sf_dir):
     turns, questions = both(spark, sf_dir)
-    parts = []
-    for c in ("recency", "window"):
-        found = strategies.store_scores(turns, questions, strategies.Config().without(c))
-        parts.append(bm25.ranked(found, "position", K).select("qid", F.lit(c).alias("component"), "id", "rank"))
-    return parts[0].unionByName(parts[1])
+    names, whole = ("session", "recency", "window", "neighbours"), strategies.Config(neighbours=1)
+    found = strategies.grid_scores(strategies.score_parts(turns, questions), [whole.without(c) for c in names])
+    order = Window.partitionBy("qid", "config").orderBy(F.round("score", 12).desc(), "position")
+    hits = found.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K)
+    named = hits.withColumn("component", F.get(F.array(*map(F.lit, names)), F.col("config")))
+    units = named.select("qid", "history_id", "component", F.col("rank").alias("unit_ord"), F.lit(0).alias("turn_ord"), F.col("id").alias("turn_id"))
+    wide = strategies.with_neighbours(units.where("component <> 'neighbours'"), turns, 1)
+    return wide.unionByName(units.where("component = 'neighbours'")).select("qid", "component", "unit_ord", "turn_ord", "turn_id")
+
+
+#: Values that the sweep crosses (fixed values); neighbours are counted by reach.
+GRID = {"session_weight": (0.0, 0.15, 0.3, 0.6), "half_life_days": (0.0, 90.0, 365.0), "window_boost": (0.0, 1.0)}
+REACH = 2
+
+
+@registered(
+    "SELECT config, round(macro, 4) AS macro, config = (SELECT config FROM swept ORDER BY round(macro, 4) DESC, config LIMIT 1) AS best FROM swept",
+    parts=_PARTS,
+    devq="SELECT qid, dataset, turn_id FROM questions WHERE split = 'dev'",
+    valued="""SELECT parts.*, ((i * 3 + j) * 2 + k) AS cell, (b + [0.0, 0.15, 0.3, 0.6][i + 1]::DOUBLE * s) * CASE j WHEN 0 THEN 1 ELSE 0.5 + 0.5 * pow(0.5, age / [0.0, 90.0, 365.0][j + 1]::DOUBLE) END * CASE WHEN inside AND k = 1 THEN 2 ELSE 1 END AS value
+  FROM parts JOIN devq USING (qid), range(4) a(i), range(3) b(j), range(2) c(k)""",
+    units="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, cell ORDER BY round(value, 12) DESC, position) AS rank FROM valued WHERE value > 0) WHERE rank <= 3",
+    away="SELECT u.qid, u.cell, min(abs(p.position - u.position)) AS d FROM units u JOIN devq g ON g.qid = u.qid JOIN pos p ON p.id = g.turn_id AND p.session_id = u.session_id GROUP BY 1, 2",
+    held="SELECT c.cell * 3 + n AS config, g.dataset, CASE WHEN d <= n THEN 1.0 ELSE 0.0 END AS recall FROM devq g, (SELECT DISTINCT cell FROM units) c, range(3) r(n) LEFT JOIN away a ON a.qid = g.qid AND a.cell = c.cell",
+    swept="SELECT config, avg(recall) AS macro FROM (SELECT config, dataset, round(avg(recall), 4) AS recall FROM held GROUP BY ALL) GROUP BY 1",
+)
+def sweep_grid(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    dev = questions.where("split = 'dev'")
+    found = strategies.grid_scores(strategies.score_parts(turns, dev), strategies.Config.grid(**GRID))
+    order = Window.partitionBy("qid", "config").orderBy(F.round("score", 12).desc(), "position")
+    units = found.where("score > 0").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("qid", "config", "session_id", "position")
+    held = evaluation.reached(units, dev.select("qid", "history_id", "turn_id"), turns, REACH).join(dev.select("qid", "dataset"), "qid")
+    return reports.best_config(held.select((F.col("config") * (REACH + 1) + F.col("reach")).cast("bigint").alias("config"), "dataset", "recall"))
 
 
 @registered(
@@ -208,6 +243,25 @@ def rrf_hybrid(spark, sf_dir):
     return strategies.fused(near, found).where(F.col("rank") <= K).select("qid", "id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
+_BAG = "list_transform(range(16), lambda k: len(list_filter(list_transform(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || right(md5(w), 2))::INT % 16), lambda x: x = k)))::DOUBLE[]"
+
+
+@registered(
+    f"SELECT qid, id, round(rrf, 9) AS rrf, rank::INT AS rank FROM (SELECT qid, id, coalesce(1 / (60 + a), 0) + coalesce(1 / (60 + b), 0) AS rrf, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(1 / (60 + a), 0) + coalesce(1 / (60 + b), 0), 12) DESC, a NULLS LAST, b NULLS LAST) AS rank FROM sparse_rank FULL JOIN dense_rank_ USING (qid, id)) WHERE rank <= {K}",
+    sparse_rank="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, position) AS a FROM store WHERE score > 0",
+    bagged=f"SELECT history_id, id, position, {_BAG.format(text='text')} AS d FROM pos",
+    asked_bag=f"SELECT qid, history_id, {_BAG.format(text='question')} AS q FROM questions",
+    near_=f"SELECT qid, id, position, list_dot_product(q, d) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(d, d)) AS score FROM asked_bag JOIN bagged USING (history_id) WHERE list_sum(q) > 0 AND list_sum(d) > 0",
+    dense_rank_="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, position) AS b FROM near_ WHERE score > 0",
+)
+def hybrid_topk(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    vectors = strategies.placed(turns).select("history_id", "id", "position", parsing.bag_embedding(F.col("text"), 16).alias("v"))
+    queries = questions.select("qid", "history_id", parsing.bag_embedding(F.col("question"), 16).alias("v"))
+    found = strategies.fused(strategies.store_scores(turns, questions), strategies.dense_scores(vectors, queries))
+    return found.where(F.col("rank") <= K).select("qid", "id", F.round("rrf", 9).alias("rrf"), "rank")
+
+
 @registered("SELECT qid, 'random' AS strategy, id AS turn_id, row_number() OVER (PARTITION BY qid ORDER BY sha256(qid || '|' || id), position)::INT AS unit_ord FROM questions JOIN pos USING (history_id)".replace("FROM questions JOIN", "FROM (SELECT qid, history_id FROM questions) JOIN"))
 def random_order(spark, sf_dir):
     return strategies.random_turns(*both(spark, sf_dir)).select("qid", "strategy", "turn_id", "unit_ord")
