@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.temporal import query_window
+from recollect.functions.text import count_tokens
+from recollect.operators import evaluation
 from recollect.operators.stats import cluster_means
 
 ALL = "all types"
@@ -101,3 +104,21 @@ def best_config(rows: DataFrame) -> DataFrame:
     macro = per.groupBy("config").agg(F.round(F.avg("recall"), 4).alias("macro"))
     best = macro.agg(F.max_by("config", F.struct("macro", -F.col("config"))).alias("best"))
     return macro.crossJoin(F.broadcast(best)).select("config", "macro", (F.col("config") == F.col("best")).alias("best"))
+
+
+def diagnostics(turns: DataFrame, questions: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row for each data set: the size of its histories, and why its evidence is hard to find.
+
+    Rates are of the questions that have what they are about: evidence that shares a word, a
+    place, an answer with terms. Histories belong to the data set of their questions.
+    """
+    whose = questions.select("history_id", "dataset").distinct()
+    sizes = turns.groupBy("history_id").agg(F.sum(count_tokens(F.col("text"))).alias("t"), F.count("*").alias("n")).join(whose, "history_id").groupBy("dataset")
+    sizes = sizes.agg(F.count("*").alias("histories"), F.round(F.avg("t")).cast("bigint").alias("tokens_mean"), F.min("t").cast("bigint").alias("tokens_min"), F.max("t").cast("bigint").alias("tokens_max"), F.sum("n").alias("turns"))
+    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    named = questions.withColumn("w", query_window(F.col("question"), F.col("now"))).groupBy("dataset").agg(F.count("*").alias("questions"), rate(F.col("w").isNotNull()).alias("names_a_time"))
+    of = questions.select("qid", "dataset")
+    seen = evaluation.visibility(questions, gold, turns).groupBy("qid").agg(F.max("visible").alias("seen")).join(of, "qid").groupBy("dataset").agg(rate(~F.col("seen")).alias("no_visible_evidence"))
+    place = evaluation.mean_positions(gold, turns).join(of, "qid").groupBy("dataset").agg(F.round(F.avg("mean_pos"), 4).alias("mean_position"), rate(F.col("mean_pos") >= 0.9).alias("in_newest_tenth"))
+    where = evaluation.answer_location(questions, gold, turns).join(of, "qid").groupBy("dataset").agg(*[rate(F.col("location") == x).alias(x) for x in ("in_text", "needs_date", "elsewhere")])
+    return named.join(sizes, "dataset").join(seen, "dataset", "left").join(place, "dataset", "left").join(where, "dataset", "left")

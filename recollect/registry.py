@@ -651,19 +651,99 @@ def bootstrap_ci(spark, sf_dir):
     return stats.bootstrap(rows, ["dataset", "split", "strategy", "budget"], resamples=200)
 
 
+POLICIES = ("none", "phatic:12", "truncate:16", "role:assistant", "older-than:5")
+_KEPT = f"""SELECT 'none' AS policy, * FROM turns UNION ALL SELECT 'phatic:12', * FROM turns WHERE len({o.terms('text')}) >= 12
+UNION ALL SELECT 'truncate:16', * REPLACE ({o.truncated('text', 16)} AS text) FROM turns UNION ALL SELECT 'role:assistant', * FROM turns WHERE speaker <> 'assistant'
+UNION ALL SELECT 'older-than:5', turns.* FROM turns JOIN (SELECT DISTINCT history_id AS h, now FROM questions) n ON n.h = history_id WHERE ts >= now - INTERVAL 5 DAY"""
+_STUDY = {
+    "kept": _KEPT,
+    "asked_": f"SELECT p.policy, questions.* FROM questions, (VALUES {', '.join(f'({o.quoted(x)})' for x in POLICIES)}) AS p(policy)",
+    "qterms": f"SELECT DISTINCT policy || ':' || qid AS qid, policy || '|' || history_id AS history_id, unnest({o.terms('question')}) AS term FROM asked_",
+    "kdocs": f"SELECT policy || '|' || history_id AS history_id, id AS doc_id, {o.terms(chr(40) + 'speaker || ' + o.quoted(' ') + ' || text' + chr(41))} AS ts_ FROM kept",
+    "kscore": o._bm25("kdocs"),
+    "khits": "SELECT qid, doc_id FROM (SELECT s.qid, s.doc_id, row_number() OVER (PARTITION BY s.qid ORDER BY round(s.score, 12) DESC, p.position) AS rank FROM kscore s JOIN pos p ON p.id = s.doc_id) WHERE rank <= 5",
+    "ksize": f"SELECT k.policy, k.history_id, k.t / a.t AS share FROM (SELECT policy, history_id, sum({o.tokens('text')}) AS t FROM kept GROUP BY 1, 2) k JOIN (SELECT history_id, sum({o.tokens('text')}) AS t FROM turns GROUP BY 1) a USING (history_id)",
+    "studied": """SELECT a.policy, a.dataset, a.qtype, a.cluster, a.qid, coalesce(z.share, 0) AS tokens_kept, CASE WHEN k.id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS evidence_kept, CASE WHEN h.qid IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS recall,
+  CASE WHEN contains(lower(t.text), lower(a.answer)) THEN CASE WHEN k.id IS NOT NULL AND contains(lower(k.text), lower(a.answer)) THEN 1.0 ELSE 0.0 END::DOUBLE END AS answer_kept
+  FROM asked_ a JOIN turns t ON t.id = a.turn_id LEFT JOIN kept k ON k.policy = a.policy AND k.id = a.turn_id LEFT JOIN khits h ON h.qid = a.policy || ':' || a.qid AND h.doc_id = a.turn_id LEFT JOIN ksize z ON z.policy = a.policy AND z.history_id = a.history_id""",
+}
+
+
+def study_rows(spark, sf_dir) -> DataFrame:
+    """For each question and policy: what is kept of the history, the evidence and the answer, and
+    whether the first five hits hold the evidence.
+
+    A policy's turns are histories of their own, so all policies share one index and one search.
+    """
+    turns, questions = both(spark, sf_dir)
+    now = turns.join(questions.select("history_id", "now").distinct(), "history_id")
+    parts = [store.applied(now, *((None, None) if p == "none" else store.policy(p, F.col("now")))).withColumn("policy", F.lit(p)) for p in POLICIES]
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
+    kept = kept.drop("now")
+    whose = F.concat(F.col("policy"), F.lit("|"), F.col("history_id").cast("string"))
+    asked = questions.select("*", F.explode(F.array(*map(F.lit, POLICIES))).alias("policy")).withColumn("asked", F.col("qid")).withColumn("qid", F.concat("policy", F.lit(":"), "qid"))
+    hits = bm25.ranked(strategies.turn_scores(kept.withColumn("history_id", whose), asked.withColumn("history_id", whose)), "position", 5).select("qid", F.col("id").alias("turn_id"), F.lit(1.0).alias("hit"))
+    cost = F.sum(text.count_tokens(F.col("text")))
+    share = kept.groupBy("policy", "history_id").agg(cost.alias("t")).join(turns.groupBy("history_id").agg(cost.alias("all")), "history_id").select("policy", "history_id", (F.col("t") / F.col("all")).alias("tokens_kept"))
+    gold = turns.select(F.col("id").alias("turn_id"), F.lower("text").alias("said"))
+    left = kept.select("policy", F.col("id").alias("turn_id"), F.lower("text").alias("left"))
+    rows = asked.join(gold, "turn_id").join(left, ["policy", "turn_id"], "left").join(hits, ["qid", "turn_id"], "left").join(share, ["policy", "history_id"], "left")
+    whole = lambda c: F.when(c, 1.0).otherwise(0.0)
+    answer = F.when(F.contains("said", F.lower("answer")), whole(F.coalesce(F.contains("left", F.lower("answer")), F.lit(False))))
+    return rows.select("policy", "dataset", "qtype", "cluster", F.col("asked").alias("qid"), F.coalesce("tokens_kept", F.lit(0.0)).alias("tokens_kept"), whole(F.col("left").isNotNull()).alias("evidence_kept"), F.coalesce("hit", F.lit(0.0)).alias("recall"), answer.alias("answer_kept"))
+
+
 @registered(
-    "SELECT policy, count(*)::BIGINT AS turns, round(sum(t) / (SELECT sum(t) FROM priced2), 4) AS tokens_kept, round(count(DISTINCT e.qid) / (SELECT count(*) FROM questions), 4) AS evidence_kept FROM (SELECT 'none' AS policy, id, t FROM priced2 UNION ALL SELECT 'phatic:12', id, t FROM priced2 WHERE n >= 12 UNION ALL SELECT 'role:assistant', id, t FROM priced2 WHERE speaker <> 'assistant') LEFT JOIN (SELECT qid, turn_id FROM questions) e ON e.turn_id = id GROUP BY 1",
-    priced2=f"SELECT id, speaker, {o.tokens('text')} AS t, len({o.terms('text')}) AS n FROM turns",
+    "SELECT policy, coalesce(qtype, 'all types') AS qtype, count(*)::BIGINT AS n, round(avg(tokens_kept), 4) AS tokens_kept, round(avg(evidence_kept), 4) AS evidence_kept, round(avg(recall), 4) AS recall, round(avg(answer_kept), 4) AS answer_kept, count(answer_kept)::BIGINT AS n_answers FROM studied GROUP BY GROUPING SETS ((policy, qtype), (policy))",
+    **_STUDY,
 )
 def forgetting_study(spark, sf_dir):
+    rows = study_rows(spark, sf_dir)
+    means = [F.round(F.avg(c), 4).alias(c) for c in ("tokens_kept", "evidence_kept", "recall", "answer_kept")]
+    out = rows.groupingSets([[F.col("policy"), F.col("qtype")], [F.col("policy")]], "policy", "qtype").agg(F.count("*").alias("n"), *means, F.count("answer_kept").alias("n_answers"))
+    return out.withColumn("qtype", F.coalesce("qtype", F.lit(reports.ALL)))
+
+
+@registered(
+    f"SELECT policy, qtype, {_R4} FROM ({o.jackknife('lost', 'policy, qtype')})",
+    lost="SELECT s.policy, s.cluster, unnest([s.qtype, 'all types']) AS qtype, s.recall - n.recall AS value FROM studied s JOIN studied n ON n.qid = s.qid AND n.policy = 'none'",
+    **_STUDY,
+)
+def forgetting_differences(spark, sf_dir):
+    """Recall under each policy less recall of the same questions with everything kept."""
+    rows = study_rows(spark, sf_dir).select("policy", "qid", "qtype", "cluster", "recall")
+    none = Window.partitionBy("qid")
+    pairs = rows.withColumn("value", F.col("recall") - F.max(F.when(F.col("policy") == "none", F.col("recall"))).over(none))
+    means = stats.cluster_means(pairs.withColumn("qtype", F.explode(F.array(F.col("qtype"), F.lit(reports.ALL)))), ["policy", "qtype"])
+    return means.select("policy", "qtype", *[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")], "n", "clusters")
+
+
+@registered(
+    f"SELECT r.qid, k.k::INT AS k, count(*)::BIGINT AS n_turns, sum(r.line_tokens + CASE WHEN nth = 1 THEN header_tokens ELSE 0 END)::BIGINT AS tokens FROM (VALUES (1), (3)) AS k(k) JOIN (SELECT *, row_number() OVER (PARTITION BY qid, most, session_id ORDER BY seq) AS nth FROM wide_) r ON r.most = k.k GROUP BY 1, 2",
+    wide_="SELECT DISTINCT r.qid, k.k AS most, p.id, p.session_id, p.seq, p.line_tokens, p.header_tokens FROM rank_store r, (VALUES (1), (3)) AS k(k), (VALUES (0), (-1), (1)) AS o(d) JOIN pos x ON x.history_id = r.history_id AND x.session_id = r.session_id AND x.position = r.position + o.d JOIN priced p ON p.history_id = x.history_id AND p.id = x.id WHERE r.rank <= k.k AND r.score > 0",
+)
+def topk_units(spark, sf_dir):
+    """Contexts of the first units and their neighbours, whatever they cost."""
     turns, questions = both(spark, sf_dir)
-    now = F.lit("2024-02-15").cast("timestamp_ntz")
-    priced = turns.withColumn("t", text.count_tokens(F.col("text")))
-    kept = None
-    for spec in ("none", "phatic:12", "role:assistant"):
-        part = (priced if spec == "none" else store.applied(priced, *store.policy(spec, now))).select(F.lit(spec).alias("policy"), "id", "t")
-        kept = part if kept is None else kept.unionByName(part)
-    total = priced.agg(F.sum("t").alias("total")).crossJoin(questions.agg(F.count("*").alias("asked")))
-    gold = questions.select("qid", F.col("turn_id").alias("id"))
-    sums = kept.join(gold, "id", "left").groupBy("policy").agg(F.count("*").alias("turns"), F.sum("t").alias("t"), F.count_distinct("qid").alias("found"))
-    return sums.crossJoin(F.broadcast(total)).select("policy", "turns", F.round(F.col("t") / F.col("total"), 4).alias("tokens_kept"), F.round(F.col("found") / F.col("asked"), 4).alias("evidence_kept"))
+    plan = strategies.store(turns, questions, strategies.Config(neighbours=1))
+    ks = plan.select("*", F.explode(F.array(F.lit(1), F.lit(3))).alias("k")).where("unit_ord <= k").withColumn("strategy", F.col("k").cast("string")).drop("k")
+    return packing.totals(packing.packed(ks, turns, [10**9])).select("qid", F.col("strategy").cast("int").alias("k"), "n_turns", F.col("tokens").cast("bigint").alias("tokens"))
+
+
+@registered(
+    f"""SELECT dataset, histories, round(tokens_mean)::BIGINT AS tokens_mean, tokens_min, tokens_max, turns, questions, named AS names_a_time, unseen AS no_visible_evidence, mean_position, newest AS in_newest_tenth, in_text, needs_date, elsewhere FROM
+  (SELECT count(*)::BIGINT AS histories, avg(t) AS tokens_mean, min(t)::BIGINT AS tokens_min, max(t)::BIGINT AS tokens_max, sum(n)::BIGINT AS turns FROM (SELECT history_id, sum({o.tokens('text')}) AS t, count(*) AS n FROM turns GROUP BY 1)),
+  (SELECT any_value(dataset) AS dataset, count(*)::BIGINT AS questions, round(avg(CASE WHEN w IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS named FROM questions JOIN windows USING (qid)),
+  (SELECT round(avg(CASE WHEN seen THEN 0.0 ELSE 1.0 END), 4) AS unseen FROM seen_),
+  (SELECT round(avg(stood_), 4) AS mean_position, round(avg(CASE WHEN stood_ >= 0.9 THEN 1.0 ELSE 0.0 END), 4) AS newest FROM (SELECT position / (n_turns - 1) AS stood_ FROM (SELECT history_id AS h, turn_id FROM questions) q JOIN pos ON pos.history_id = q.h AND pos.id = q.turn_id WHERE n_turns > 1)),
+  (SELECT round(avg(CASE WHEN location = 'in_text' THEN 1.0 ELSE 0.0 END), 4) AS in_text, round(avg(CASE WHEN location = 'needs_date' THEN 1.0 ELSE 0.0 END), 4) AS needs_date, round(avg(CASE WHEN location = 'elsewhere' THEN 1.0 ELSE 0.0 END), 4) AS elsewhere FROM where_)""",
+    seen_="SELECT len(list_intersect(list_filter(qt, lambda w: NOT list_contains(names, w)), tt)) > 0 AS seen FROM (SELECT qid, history_id AS h, turn_id, " + o.terms("question") + " AS qt FROM questions) q JOIN (SELECT id, " + o.terms("text") + " AS tt FROM turns) t ON t.id = q.turn_id JOIN (SELECT history_id AS h, flatten(list(DISTINCT " + o.terms("speaker") + ")) AS names FROM turns GROUP BY 1) n ON n.h = q.h",
+    located=_LOCATED,
+    dates=f"SELECT {o.date_words()} AS dw",
+    where_="SELECT CASE WHEN len(missing) = 0 THEN 'in_text' WHEN len(list_filter(missing, lambda w: NOT regexp_full_match(w, '[0-9]+') OR length(w) = 4)) > 0 AND len(list_filter(missing, lambda w: NOT (regexp_full_match(w, '[0-9]+') OR list_contains(dw, w) OR regexp_full_match(rtrim(w, 'thsndr'), '[0-9]+')))) = 0 THEN 'needs_date' ELSE 'elsewhere' END AS location FROM located, dates",
+)
+def diagnostics(spark, sf_dir):
+    turns, questions = both(spark, sf_dir)
+    return reports.diagnostics(turns, questions, questions.select("qid", "history_id", "turn_id"))
