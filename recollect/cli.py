@@ -69,6 +69,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command not in ("ingest", "add", "remember") and not Path(a.folder).is_dir():
         print(f"no memory at {a.folder}", file=sys.stderr)
         return 1
+    if a.command == "add" and not a.text.strip():
+        print("a turn needs a text", file=sys.stderr)
+        return 1
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     m, now = Memory(spark, a.folder), parse_timestamp(F.lit(getattr(a, "now", None) or getattr(a, "time", None)))
     if a.command in ("ingest", "add"):

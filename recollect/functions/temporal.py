@@ -35,19 +35,34 @@ def _at(year: Column, month: Column, day: Column, hour: Column, minute: Column)
     return F.call_function("try_make_timestamp_ntz", year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)"))
 
 
+def _extended(t: Column) -> Column:
+    """An ISO time with its date as year-month-day and its clock with colons; other texts as they are."""
+    week = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
+    year, number, day = (F.try_to_number(F.nullif(F.regexp_extract(t, week, k), F.lit("")), F.lit("9999")).cast("int") for k in (1, 2, 3))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    monday = F.date_add(fourth, (number - 1) * 7 - F.weekday(fourth))
+    real = (number >= 1) & (F.year(F.date_add(monday, 3)) == year)
+    date = F.date_format(F.date_add(monday, F.coalesce(day, F.lit(1)) - 1), "yyyy-MM-dd")
+    dated = F.when(t.rlike(week), F.when(real, F.concat(date, F.regexp_replace(t, week, "")))).otherwise(F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"))
+    timed = F.regexp_replace(dated, r"^([0-9-]{10}[T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3")
+    timed = F.regexp_replace(timed, r"^([0-9-]{10}[T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2")
+    return F.regexp_replace(timed, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+
+
 def parsed(text: Column) -> Column:
     """The time a text names, as naive UTC, or null.
 
-    Read are "1:56 pm on 8 May, 2023", "2023/05/20 (Sat) 02:21", and ISO 8601 in its extended
-    form, with an offset or without; compact and week dates are not.
+    Read are "1:56 pm on 8 May, 2023", "2023/05/20 (Sat) 02:21", and ISO 8601 in its extended and
+    compact forms, with week dates, with an offset or without.
     """
     t = F.trim(text)
+    long = _extended(t)
     g = lambda pattern, k: F.regexp_extract(t, pattern, k)
     n = lambda pattern, k: F.try_to_number(F.nullif(g(pattern, k), F.lit("")), F.lit("9999")).cast("int")
     hour = n(CLOCK, 1) % 12 + F.when(F.lower(g(CLOCK, 3)) == "pm", 12).otherwise(0)
     clock = _at(n(CLOCK, 6), _lookup(MONTHS, F.lower(g(CLOCK, 5))), n(CLOCK, 4), hour, n(CLOCK, 2))
     slashed = _at(*[n(SLASHED, k) for k in range(1, 6)])
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mmXXX")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mmXXX"))).cast("timestamp_ntz"))
+    iso = F.when(long.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(F.try_to_timestamp(long), F.try_to_timestamp(long, F.lit("yyyy-MM-dd'T'HH:mmXXX")), F.try_to_timestamp(long, F.lit("yyyy-MM-dd HH:mmXXX"))).cast("timestamp_ntz"))
     return F.when(t.rlike(CLOCK), clock).when(t.rlike(SLASHED), slashed).otherwise(iso)
 
 

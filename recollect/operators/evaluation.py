@@ -11,6 +11,12 @@ from recollect.functions.text import terms
 from recollect.plans.strategies import placed
 
 
+def sampled_by_type(questions: DataFrame, each: int, seed: int = 0) -> DataFrame:
+    """Up to ``each`` questions of every data set and type, by a hash of their ids that the seed fixes."""
+    order = Window.partitionBy("dataset", "qtype").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("qid"))), "qid")
+    return questions.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= each).drop("_nth")
+
+
 def gold(evidence: DataFrame, turns: DataFrame) -> DataFrame:
     """(qid, turn_id, session_id, session_ts) for gold turns that exist; evidence has (qid, history_id, turn_id)."""
     known = turns.select("history_id", F.col("id").alias("turn_id"), "session_id", "session_ts")

@@ -52,17 +52,27 @@ def replies(prompts: DataFrame, cache: DataFrame, model: Model, name: str, optio
     Each distinct prompt that the cache lacks is sent once. Write the new rows to the cache before
     reading the replies twice, or the model is asked again.
     """
-    keyed = prompts.withColumn("key", key(name, F.col("prompt"), options))
-    missing = keyed.select("key", "prompt").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    return _answered(prompts, "prompt", cache, "reply string", model, name, options, batch)
+
+
+def vectors(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], name: str, batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(texts with ``vector``, new cache rows), as ``replies``: ``texts`` has ``text``, ``cache`` (key, vector)."""
+    return _answered(texts, "text", cache, "vector array<double>", embed, name, "", batch)
+
+
+def _answered(rows: DataFrame, asked: str, cache: DataFrame, column: str, model: Callable, name: str, options: str, batch: int) -> tuple[DataFrame, DataFrame]:
+    answer = column.split()[0]
+    keyed = rows.withColumn("key", key(name, F.col(asked), options))
+    missing = keyed.select("key", asked).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), batch):
                 some = part.iloc[at : at + batch]
-                yield pd.DataFrame({"key": some["key"], "reply": model(some["prompt"].tolist())})
+                yield pd.DataFrame({"key": some["key"].tolist(), answer: list(model(some[asked].tolist()))})
 
-    new = missing.mapInPandas(ask, "key string, reply string")
-    return keyed.join(cache.select("key", "reply").unionByName(new), "key").drop("key"), new
+    new = missing.mapInPandas(ask, f"key string, {column}")
+    return keyed.join(cache.select("key", answer).unionByName(new), "key").drop("key"), new
 
 
 def extracted(sessions: DataFrame) -> DataFrame:

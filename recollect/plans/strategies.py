@@ -98,10 +98,10 @@ def turn_scores(turns: DataFrame, questions: DataFrame) -> DataFrame:
 def score_parts(turns: DataFrame, questions: DataFrame, sessions: bool = True, windows: bool = True) -> DataFrame:
     """The turns that share a term with a question, with what the store's score is made of.
 
-    ``base`` is the turn's score, ``session`` that of its session (each divided by the question's
-    best), ``age`` its days before now, ``inside`` whether it falls in the window the question names.
+    ``raw`` is the turn's score, ``base`` the same and ``session`` that of its session (each divided
+    by the question's best), ``age`` its days before now, ``inside`` whether it falls in the window the question names.
     """
-    found = _normal(turn_scores(turns, questions)).withColumn("age", age_days(F.col("now"), F.col("ts"))).withColumnRenamed("score", "base")
+    found = _normal(turn_scores(turns, questions).withColumn("raw", F.col("score"))).withColumn("age", age_days(F.col("now"), F.col("ts"))).withColumnRenamed("score", "base")
     if sessions:
         own = _normal(bm25.scores(session_index(turns), asked(questions))).select("qid", F.col("doc_id").alias("session_id"), F.col("score").alias("session"))
         found = found.join(own, ["qid", "session_id"], "left").withColumn("session", F.coalesce("session", F.lit(0.0)))
@@ -120,7 +120,7 @@ def store_scores(turns: DataFrame, questions: DataFrame, config: Config = Config
         score = score * decay(F.col("age"), config.half_life_days, config.recency_floor)
     if config.window_boost:
         score = score * F.when(F.col("inside"), 1 + config.window_boost).otherwise(1.0)
-    return parts.withColumn("score", score).drop("base", "session", "age", "inside")
+    return parts.withColumn("score", score).drop("raw", "base", "session", "age", "inside")
 
 
 def grid_scores(parts: DataFrame, configs: list[Config]) -> DataFrame:

@@ -493,15 +493,16 @@ def history_at(spark, sf_dir):
 def eval_rows(spark, sf_dir) -> DataFrame:
     """One row for each question, strategy and number of hits: what the first hits bring.
 
-    The contexts are scored from several sides, so they are kept rather than retrieved again.
+    Both strategies rank one search. The contexts are scored from several sides, so they are kept
+    rather than retrieved again.
     """
     turns, questions = both(spark, sf_dir)
-    parts = []
-    for name, found in (("bm25_turns", strategies.turn_scores(turns, questions)), ("store", strategies.store_scores(turns, questions))):
-        ranked = bm25.ranked(found, "position", 5)
-        ks = ranked.select("*", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("budget")).where("rank <= budget")
-        parts.append(ks.select("qid", F.lit(name).alias("strategy"), "budget", F.col("id").alias("turn_id"), "session_id", (F.col("rank") == 5).alias("cut")))
-    contexts = parts[0].unionByName(parts[1]).persist(StorageLevel.MEMORY_AND_DISK)
+    found = strategies.grid_scores(strategies.score_parts(turns, questions), [strategies.Config()])
+    wide = found.select("qid", "id", "session_id", "position", F.inline(F.array(F.struct(F.lit("bm25_turns").alias("strategy"), F.col("raw").alias("score")), F.struct(F.lit("store").alias("strategy"), F.col("score").alias("score")))))
+    order = Window.partitionBy("qid", "strategy").orderBy(F.round("score", 12).desc(), "position")
+    ranked = wide.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    ks = ranked.select("*", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("budget")).where("rank <= budget")
+    contexts = ks.select("qid", "strategy", "budget", F.col("id").alias("turn_id"), "session_id", (F.col("rank") == 5).alias("cut")).persist(StorageLevel.MEMORY_AND_DISK)
     tokens = contexts.join(turns.select(F.col("id").alias("turn_id"), text.count_tokens(F.col("text")).alias("t")), "turn_id").groupBy("qid", "strategy", "budget").agg(F.sum("t").alias("tokens"))
     scored = evaluation.scores(contexts, questions, questions.select("qid", "history_id", "turn_id"), questions.select("qid", "session_id"), turns)
     return scored.join(questions.select("qid", "dataset", "cluster", "split"), "qid").join(tokens, ["qid", "strategy", "budget"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
@@ -620,6 +621,11 @@ def names_a_time(spark, sf_dir):
     return q.select("qid", temporal.query_window(F.col("question"), F.col("now")).isNotNull().alias("names_time"), text.count_tokens(F.col("question")).cast("bigint").alias("tokens"))
 
 
+@registered("SELECT qid, qtype FROM (SELECT qid, qtype, row_number() OVER (PARTITION BY dataset, qtype ORDER BY md5('7|' || qid), qid) AS nth FROM questions) WHERE nth <= 5")
+def question_sample(spark, sf_dir):
+    return evaluation.sampled_by_type(tables.questions(spark, sf_dir), 5, 7).select("qid", "qtype")
+
+
 @registered("SELECT q.qid, round(position / (n_turns - 1), 6) AS mean_pos FROM (SELECT qid, history_id AS h, turn_id FROM questions) q JOIN pos ON pos.history_id = q.h AND pos.id = q.turn_id WHERE n_turns > 1")
 def mean_position(spark, sf_dir):
     turns, questions = both(spark, sf_dir)

@@ -32,6 +32,10 @@ def test_replies_are_asked_once_and_parsed(spark):
     told = model.Scripted({"fact": '[{"subject": "me", "attribute": "pet", "value": "cat", "turn": 1}]'}, "none")
     found, new = model.replies(prompts, known, told, "m")
     assert new.count() == 1 and dict(got(found, "id", "reply"))["c"] == "cached"
+    texts = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "abc")], "n int, text string")
+    kept = texts.where("n = 3").select(model.key("e", F.col("text")).alias("key"), F.array(F.lit(9.0)).alias("vector"))
+    lengths, fresh = model.vectors(texts, kept, lambda xs: [[float(len(x)), 1.0] for x in xs], "e")
+    assert got(lengths, "n", "vector") == [(1, [2.0, 1.0]), (2, [2.0, 1.0]), (3, [9.0])] and fresh.count() == 1
     rows = found.where("id = 'a'").withColumn("turn_ids", F.array(F.lit("t0"), F.lit("t1"))).withColumn("valid_from", F.lit("2024-01-01").cast("timestamp_ntz"))
     assert got(model.extracted(rows), "subject", "value", "source_turn") == [("me", "cat", "t1")]
     graded = model.graded(spark.createDataFrame([("Yes!",), ("no",), ("perhaps",)], "reply string"))
@@ -52,6 +56,7 @@ def test_commands(spark, tmp_path, capsys):
     assert run("stats")[0] == 1
     assert run("ingest", str(lines)) == (0, ["2 added, 0 already stored, 1 empty"]) and run("ingest", str(lines)) == (0, ["0 added, 2 already stored, 1 empty"])
     assert run("add", "a", "user", "the kayak is red", "2024-03-01T09:00:00") == (0, ["1 added, 0 already stored, 0 empty"])
+    assert run("add", "a", "user", " \t", "2024-03-01T09:00:00")[0] == 1
     for value, day in (("red", "2024-01-01"), ("blue", "2024-04-01")):
         assert run("remember", "Kayak", "colour", value, day)[0] == 0
     assert run("facts", "2024-02-01")[1] == ["kayak / colour: red (since 2024-01-01)"] and len(run("history", "kayak", "colour")[1]) == 2

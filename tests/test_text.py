@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def test_timestamps(spark):
     values = ["1:56 pm on 8 May, 2023", "12:05 AM on 1 Jan 2024", "2023/05/20 (Sat) 02:21", "2023/05/20 02:21", "2024-01-01T09:00+05:00", "2024-01-01T09:00:30", "2024-01-01", " 2024-01-01T09:00Z ", "8 May", "25:00 pm on 8 May, 2023x", "1:00 pm on 8 Foo, 2023"]
     got = [None if t is None else f"{t:%Y-%m-%d %H:%M:%S}" for t in column(spark, values, temporal.parsed)]
     assert got == ["2023-05-08 13:56:00", "2024-01-01 00:05:00", "2023-05-20 02:21:00", "2023-05-20 02:21:00", "2024-01-01 04:00:00", "2024-01-01 09:00:30", "2024-01-01 00:00:00", "2024-01-01 09:00:00", None, None, None]
+    forms = ["20240203", "20240203T0405", "20240203T040506", "20240203T0405+0530", "2024-02-03T04:05-0200", "2024-W05-6", "2024W056T0405", "2024-W05", "2020-W53-7", "2021-W53-1", "2024-W00-1", "20241301", "123456789"]
+    read = [None if t is None else f"{t:%Y-%m-%d %H:%M:%S}" for t in column(spark, forms, temporal.parsed)]
+    from_iso = [datetime.fromisoformat(x) for x in forms[:9]]
+    naive = [x.replace(tzinfo=None) - (x.utcoffset() or timedelta()) for x in from_iso]
+    assert read == [f"{x:%Y-%m-%d %H:%M:%S}" for x in naive] + [None] * 4
     with pytest.raises(Exception, match="unrecognised timestamp"):
         column(spark, ["nonsense"], temporal.parse_timestamp)
 
