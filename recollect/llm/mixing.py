@@ -55,15 +55,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return levelled.select("source", "source_rank", "source_size", F.least(F.col("cap").cast("double"), level * F.col("w")).alias("target"))
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows, dealt into as many partitions as a shuffle has.
+
+    The number is asked for, as adaptive execution would merge few short rows into one task, which
+    would then write out all that they stand for.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def written_out(rows: DataFrame, count: str, number: str) -> DataFrame:
     """Each row ``count`` times, numbered from 0 in the column ``number``, without the count.
 
     Rows that stand for more than RUN others become rows of runs first and are dealt anew, so that
-    no task writes out all that one row stands for. A number of partitions is asked for, as
-    adaptive execution would merge these few short rows into one task.
+    no task writes out all that one row stands for.
     """
     runs = rows.where(F.col(count) > RUN).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, F.lit(RUN).cast("bigint"))).alias("run"))
-    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns, "run")
+    runs = spread(runs, *rows.columns, "run")
     few = rows.where(F.col(count).between(1, RUN)).withColumn("run", F.lit(0).cast("bigint"))
     every = F.explode(F.sequence("run", F.least(F.col("run") + RUN, count) - 1)).alias(number)
     return runs.select("*", every).union(few.select("*", every)).drop("run", count)
@@ -129,7 +137,7 @@ def drawn_slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
     The slots of a shard's source are the next of that source's: its k-th reads the block with the
     index perm(k mod blocks), by a permutation of its own for each pass k div blocks.
     """
-    slots = written_out(counts, "slots", "n").withColumn("k", F.col("first") + F.col("n"))
+    slots = written_out(spread(counts, "source_rank", "shard"), "slots", "n").withColumn("k", F.col("first") + F.col("n"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     slots = permuted(slots, "block", F.col("k") % F.col("blocks"), F.col("blocks"), F.pmod(F.lit(seed) + F.col("source_rank") * 31 + turn * 17, F.lit(PRIME)))
     # Written once: a condition on these columns, pushed down through the rounds, would double in each.
