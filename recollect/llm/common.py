@@ -7,6 +7,8 @@ import re
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +97,18 @@ def drop_copies(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of up to so many rows for Python, for what is run within: rows of long arrays fill memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sampled(rows: DataFrame, bound: int) -> DataFrame:
     """All rows, or about ``bound`` of them chosen by a hash of their whole content where there are more."""
     total = rows.count()
