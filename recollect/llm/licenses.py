@@ -95,9 +95,9 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[
     have no words, places or labels. Rows with equal ids have the labels of their own texts.
     Extra columns are ignored; no rows give no rows.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), split_words(lower_ascii(F.col(text)), NOT_WORD).alias("words"))
-    # Two hashes, as one would bring some of many billions of rows together.
-    own = own.select("doc_id", "words", F.struct(F.xxhash64("doc_id", "words").alias("a"), F.xxhash64(F.lit(1), "words", "doc_id").alias("b")).alias("row"))
+    # Two hashes, as one would bring some of many billions of rows together; of the text, which is read at once.
+    row = F.struct(F.xxhash64(id_col, text).alias("a"), F.xxhash64(F.lit(1), text, id_col).alias("b"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), split_words(lower_ascii(F.col(text)), NOT_WORD).alias("words"), row.alias("row"))
     found = similar_blocks(own.select("row", "words"), templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("contained").alias("contained"))
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     based = own.withColumn("line", line)
