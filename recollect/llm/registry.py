@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import decontaminate, embedding_dedup, language_id, licenses, mixing, preferences, simhash, sql, token_counts, toxicity, url_filter
+from recollect.llm import alignment, decontaminate, embedding_dedup, language_id, licenses, mixing, preferences, simhash, sql, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_preference_format": preferences.op10_preference_format,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
