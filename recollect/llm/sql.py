@@ -201,6 +201,24 @@ FROM pairs JOIN cut ON cut.pair_id = pairs.pair_id LEFT JOIN heads ON heads.pair
 LEFT JOIN done c ON c.conv_id = chosen_id LEFT JOIN done r ON r.conv_id = rejected_id"""
 
 
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS nth, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.nth AS anchor, a.vec_id AS anchor_id, b.vec_id, b.nth, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.nth <> b.nth AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor, same ORDER BY score DESC, vec_id NULLS LAST, nth) AS place FROM scores),
+positives AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, place FROM ranked WHERE same AND place <= 5),
+fits AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id NULLS LAST, n.nth) AS rank
+  FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM fits WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": op3(),
@@ -209,4 +227,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_mix_sources": op8(),
         "op9_license_scan": op9(),
         "op10_preference_format": OP10,
+        "op11_hard_negatives": OP11,
     }
