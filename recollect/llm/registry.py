@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import alignment, decontaminate, embedding_dedup, language_id, licenses, mixing, negatives, preferences, simhash, sql, token_counts, toxicity, url_filter
+from recollect.llm import alignment, decontaminate, embedding_dedup, extraction, language_id, licenses, mixing, negatives, preferences, simhash, sql, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": licenses.op9_license_scan,
         "op10_preference_format": preferences.op10_preference_format,
         "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_html_extraction": extraction.op12_html_extraction,
         "op13_token_alignment": alignment.op13_token_alignment,
     }
 

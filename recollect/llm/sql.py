@@ -219,6 +219,15 @@ fits AS (
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM fits WHERE rank <= 5"""
 
 
+#: What the contract asks of pages laid out as the given ones are; the model knows nothing of it.
+OP12 = r"""
+WITH p AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages),
+plain AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS parts FROM p),
+read AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(x, '&quot;', '"'), '&quot', '"'), '&amp;', '&'), '&amp', '&')) AS parts FROM plain),
+shown AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM read)
+SELECT page_id, url, coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(parts, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM shown"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": op3(),
@@ -228,4 +237,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": op9(),
         "op10_preference_format": OP10,
         "op11_hard_negatives": OP11,
+        "op12_html_extraction": OP12,
     }
