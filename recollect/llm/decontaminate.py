@@ -30,94 +30,111 @@ def _words(text: str) -> Column:
     return split_words(F.lower(F.col(text)), NOT_WORD)
 
 
-def _seeds(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
-    """The hashes of all masks at a position; null where a mask would pass the end."""
-    n = F.size(words)
-    return F.array(*[F.when(at + m[-1] < n, F.xxhash64(F.lit(k), *[F.get(words, at + o) for o in m])) for k, m in enumerate(masks)])
+def _places(words: Column, ahead: int) -> Column:
+    """For each word its hash as w0, the hashes of the next words as w1 to w<ahead>, and the one before as before; null beyond the ends.
 
+    Each is one shifted copy of the hashes, zipped, so a place costs the same in a long text as in a short one.
+    """
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    shifted = [F.slice(hashes, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(ahead + 1)]
+    return F.arrays_zip(*shifted, F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("before"))
+
+
+def _seeds(masks: list[tuple[int, ...]]) -> Column:
+    """(seed, last) of each mask at a place: the hash there and at the place before; null where the mask would pass an end."""
+    word = lambda o: F.col("place.before") if o < 0 else F.col(f"place.w{o}")
+    at = lambda k, m, by: F.when(word(m[-1]).isNotNull() & word(by).isNotNull(), F.xxhash64(F.lit(k), *[word(o + by) for o in m]))
+    return F.array(*[F.struct(at(k, m, 0).alias("seed"), at(k, m, -1).alias("last")) for k, m in enumerate(masks)])
 
-def leaks(
+
+def overlaps(
     docs: DataFrame,
     items: DataFrame,
+    keys: list[str],
     window: int = 10,
     share: float = 0.8,
     masks: tuple[tuple[int, ...], ...] = MASKS,
     broadcast_seeds: int = BROADCAST_SEEDS,
-    id_col: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
 ) -> DataFrame:
-    """(doc_id, item_id, item_words, first_word, matched_words) for each test item met in a document.
-
-    A seed is a hash of the words at a mask's offsets. Where a seed of a document equals one of
-    an item, the item is laid over the document on that diagonal, and reported if among some
-    ``window`` consecutive words of it (all of a shorter one) at least ``share`` equal the
-    document's: replaced words are tolerated, in the seed and in the overlap. With the masks,
-    window and share given here, every diagonal that passes the overlap check has a seed, so the
-    result is that of a comparison of all pairs. matched_words is the best such diagonal's equal
-    words, first_word its place in the document.
-
-    Words are lower-cased; null or empty texts have none, and long ones are read whole. Items under
-    MIN_WORDS words are met where all their words stand. Rows with equal ids, null ones too, count
-    as one document or item; of equal diagonals the first in the document counts. Extra columns
-    are ignored; an empty table on either side gives no rows. Items' seeds are counted, and broadcast only up to
-    ``broadcast_seeds``; beyond, seeds meet in a shuffle and texts are joined again by id.
-    """
+    """(*keys, item_id, item_words, first_word, matched_words) for each test item met in a document, as ``leaks`` says."""
     tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), _words(text).alias("item")).where(F.size("item") > 0).distinct()
     short = [r[0] for r in tests.where(F.size("item") <= SHORT).select(F.size("item")).distinct().collect()]  # SHORT values at most
     parts = [*masks, *(m for n in sorted(short) if n >= MIN_WORDS for m in all_but_one(n))]
     # A shape of a whole item is for items of that length only, or each word of a longer one would be a seed.
     whole = [tuple(range(n)) for n in sorted(short) if n < MIN_WORDS]
     shapes = [*parts, *whole]
-    span = 1 + min(m[-1] for m in shapes)
-    made = [F.get(_seeds(F.col("item"), F.col("at"), shapes), k) for k in range(len(shapes))]
-    made = [*made[: len(parts)], *[F.when(F.col("m") == len(m), s) for m, s in zip(whole, made[len(parts) :], strict=True)]]
-    seeds = (
-        tests.select("item_id", F.size("item").alias("m"), "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("at"))
-        .select("item_id", "m", "at", F.explode(F.array(*made)).alias("seed"))
-        .where("seed is not null")
-        .distinct()
-    )
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _words(text).alias("words")).where(F.size("words") >= span)
-    own = own.select("doc_id", "words", F.xxhash64("doc_id", "words").alias("row"))
-    spots = own.select("doc_id", "row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("pos"))
-    spots = spots.select("doc_id", "row", "words", "pos", F.explode(_seeds(F.col("words"), F.col("pos"), shapes)).alias("seed")).where("seed is not null")
-    cut = lambda start, m: F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(m + F.least(start, F.lit(0)), F.lit(0)))
-    if seeds.count() <= broadcast_seeds:
-        hits = spots.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("start"), cut(F.col("pos") - F.col("at"), F.col("m")).alias("there"))
-        hits = hits.join(F.broadcast(tests), "item_id")
-    else:
-        met = spots.select("row", "pos", "seed").join(seeds, "seed").select("row", "item_id", "m", (F.col("pos") - F.col("at")).alias("start")).distinct()
-        hits = met.join(own, "row").select("doc_id", "item_id", "start", cut(F.col("start"), F.col("m")).alias("there")).join(tests, "item_id")
+    ahead = max(m[-1] for m in shapes)
+    fits = F.col("k") < len(parts)
+    for k, m in enumerate(whole, len(parts)):
+        fits = fits | ((F.col("k") == k) & (F.col("m") == len(m)))
+    seeds = tests.select("item_id", F.size("item").alias("m"), F.posexplode(_places(F.col("item"), ahead)).alias("at", "place"))
+    seeds = seeds.select("item_id", "m", "at", F.posexplode(_seeds(shapes)).alias("k", "s")).where("s.seed is not null").where(fits).select("item_id", "m", "at", "s.seed", F.col("s.last").alias("item_last")).distinct()
+    plain = docs.select(*keys, F.col(text).alias("text"), F.xxhash64(F.lit(1), *keys, text).alias("row"), F.xxhash64(F.lit(2), *keys, text).alias("row_2"))
+    spots = plain.select("row", "row_2", F.posexplode(_places(_words("text"), ahead)).alias("pos", "place"))
+    spots = spots.select("row", "row_2", "pos", F.explode(_seeds(shapes)).alias("s")).select("row", "row_2", "pos", "s.seed", F.col("s.last").alias("doc_last")).where("seed is not null")
+    # Where a mask agrees at the places before, too, it is the same diagonal, met there already.
+    anew = F.coalesce(F.col("doc_last") != F.col("item_last"), F.lit(True))
+    met = spots.join(F.broadcast(seeds) if seeds.count() <= broadcast_seeds else seeds, "seed").where(anew)
+    met = table_copy(met.select("row", "row_2", "item_id", "m", (F.col("pos") - F.col("at")).alias("start")).distinct(), "diagonals")
+    few = met.count() <= BROADCAST_IDS
+    held = F.broadcast(met) if few else met
+    there = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.greatest(F.col("m") + F.least("start", F.lit(0)), F.lit(0)))
+    # Words are cut again for the documents that were met, and for those only.
+    again = plain.join(F.broadcast(met.select("row", "row_2").distinct()) if few else met.select("row", "row_2").distinct(), ["row", "row_2"], "left_semi").select(*keys, "row", "row_2", _words("text").alias("words"))
+    hits = again.join(held, ["row", "row_2"]).select(*keys, "item_id", "start", there.alias("there")).join(tests, "item_id")
     lead = F.greatest(-F.col("start"), F.lit(0))
-    there = F.concat(F.array_repeat(F.lit(""), lead), F.col("there"))
-    same = F.zip_with("item", there, lambda a, b: F.when(a == b, 1).otherwise(0))
+    same = F.zip_with("item", F.concat(F.array_repeat(F.lit(""), lead), F.col("there")), lambda a, b: F.when(a == b, 1).otherwise(0))
     size = F.least(F.size("same"), F.lit(window))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - size), lambda i: F.aggregate(F.slice("same", i + 1, size), F.lit(0), lambda s, x: s + x)))
     checked = (
-        hits.select("doc_id", "item_id", "start", F.size("item").alias("item_words"), same.alias("same"))
+        hits.select(*keys, "item_id", "start", F.size("item").alias("item_words"), same.alias("same"))
         .withColumn("total", F.aggregate("same", F.lit(0), lambda s, x: s + x))
         .where(F.col("total") >= F.ceil(size * share))
         .where(best >= F.ceil(size * share))
     )
-    return checked.groupBy("doc_id", "item_id").agg(
+    return checked.groupBy(*keys, "item_id").agg(
         F.max("item_words").cast("bigint").alias("item_words"),
         F.max_by(F.greatest("start", F.lit(0)), F.struct("total", -F.col("start"))).cast("bigint").alias("first_word"),
         F.max("total").cast("bigint").alias("matched_words"),
     )
 
 
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, item_id, item_words, first_word, matched_words) for each test item met in a document.
+
+    A seed is a hash of the words at a mask's offsets. Where a seed of a document equals one of
+    an item, the item is laid over the document on that diagonal, and reported if among some
+    ``window`` consecutive words of it (all of a shorter one) at least ``share`` equal the
+    document's: replaced words are tolerated, in the seed and in the overlap. With the masks,
+    window and share given here, every diagonal that passes the overlap check has a seed, so the
+    result is that of a comparison of all pairs. matched_words is the best such diagonal's equal
+    words, first_word its place in the document.
+
+    Words are lower-cased; null or empty texts have none, and long ones are read whole. A diagonal is
+    checked once, however often its words repeat: a text of one word said again and again meets an item of
+    that word on as many diagonals as both have words. Items under
+    MIN_WORDS words are met where all their words stand. Rows with equal ids, null ones too, count
+    as one document or item; of equal diagonals the first in the document counts. Extra columns
+    are ignored; an empty table on either side gives no rows. Items' seeds are counted, and broadcast only up to
+    ``broadcast_seeds``; beyond, they meet in a shuffle. So are the diagonals, up to BROADCAST_IDS.
+    """
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(options.pop("text", "text")).alias("text"))
+    return overlaps(named, items, ["doc_id"], **options)
+
+
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents in which no test item was met, with all their columns.
 
-    Each row is judged by its own text, whatever its id; rows are told apart by a hash of their
+    Each row is judged by its own text, whatever its id; rows are told apart by two hashes of their
     content. A null text stays. The hashes of leaks are written and counted; up to BROADCAST_IDS
     of them are broadcast, so that the texts stay where they are.
     """
-    rows = whole_rows(docs, F.col(text).alias("text"), *row_hashes(docs, "row"))
-    found = table_copy(leaks(rows.select("row", "text"), items, id_col="row", **options).select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    rows = whole_rows(docs, F.col(text).alias("text"), *row_hashes(docs, "own", "own_2"))
+    found = table_copy(overlaps(rows.select("own", "own_2", "text"), items, ["own", "own_2"], **options).select("own", "own_2").distinct(), "leaks")
     found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    return rows.join(found, "row", "left_anti").select("doc.*")
+    return rows.join(found, ["own", "own_2"], "left_anti").select("doc.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,18 @@ def test_no_overlap_is_missed(spark):
     got = rows(d.leaks(docs(spark, [" ".join(t) for t in texts]), table), "doc_id", "item_id")
     want = {(a, b) for a, t in enumerate(texts) for b, i in enumerate(items) if by_hand(t, i)}
     assert set(got) == want and 0 < len(want) < len(texts)
+
+
+def test_repeated_words_meet_on_each_diagonal_once(spark, tmp_path, monkeypatch):
+    """Texts of one word or one line again and again: the rows that SQL finds, and few diagonals."""
+    frame = docs(spark, ["so " * 60, "so " * 9 + "it goes " + "so " * 9, "la li lu " * 20])
+    items = spark.createDataFrame([(1, "so " * 20), (2, "la li lu " * 5), (3, "so so so")], "item_id bigint, text string")
+    folder = saved(tmp_path, documents=frame, benchmark=items)
+    same_as_sql(d.op3_decontaminate(spark, folder), folder, sql.op3(), ["documents", "benchmark"])
+    many = []
+    real = d.table_copy
+    monkeypatch.setattr(d, "table_copy", lambda df, name: many.append((name, real(df, name))) or many[-1][1])
+    words, item = 2000, 200
+    (r,) = d.leaks(docs(spark, ["so " * words]), spark.createDataFrame([(1, "so " * item)], "item_id bigint, text string")).collect()
+    assert (r.first_word, r.matched_words) == (0, item)
+    assert dict(many)["diagonals"].count() <= words + item
