@@ -98,19 +98,21 @@ def _permuted(table: str, out: str, value: str, size: str, seed: str) -> str:
 
 
 def op8() -> str:
-    b, bucket, p = mixing.BLOCK, mixing.BUCKET, mixing.PRIME
-    mixed = f"(k % {p} + k // {p} * 7 + source_rank * 31 + {mixing.SEED}) % {p}"
-    mix = lambda v, x, y: f"SELECT * EXCLUDE (v), (v * v % {p} + v * {x} + {y}) % {p} AS v FROM ({v})"
-    fallen = mix(mix(f"SELECT *, ({mixed})::BIGINT AS v FROM every", 1103515245, 12345), 747796405, 104729)
+    b, bucket, p, rows = mixing.BLOCK, mixing.BUCKET, mixing.PRIME, mixing.BUCKET_ROWS
+    mix = lambda v, x, y: f"SELECT * EXCLUDE (u, v), v AS u, (v * v % {p} + v * {x} + {y}) % {p} AS v FROM ({v})"
+    start = f"SELECT i, all_slots, 0::BIGINT AS u, ((i % {p} + i // {p} * 7 + {mixing.seed_start(mixing.SEED)}) % {p})::BIGINT AS v FROM (SELECT all_slots, unnest(range(all_slots)) AS i FROM (SELECT max(all_slots) AS all_slots FROM slotted))"
+    fallen = mix(mix(mix(start, 1103515245, 12345), 747796405, 104729), 1566083941, 7919)
+    n = f"ceil(all_slots / ceil(all_slots / greatest(1, least({mixing.SHARD}, ceil(all_slots / {mixing.SHARDS})))))::BIGINT"
+    line = f"floor(slots::DOUBLE * (shard * {n})::DOUBLE / all_slots::DOUBLE + 0.5)::BIGINT"
     draw = _permuted("k_slots", "block", "k % blocks", "blocks", f"({mixing.SEED} + source_rank * 31 + (k // blocks) * 17) % {p}")
     return rf"""
 WITH sized AS (
   SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS copy
   FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
 ),
-sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM sized GROUP BY source),
 dealt AS (
-  SELECT d.*, ((((coalesce(doc_id, 0) % {p}) + {p}) % {p}) * 7919 + size % {p} * 104729 + copy % {p} * 31) % {p} % ceil(greatest(source_size, 1) / {bucket})::BIGINT AS bucket
+  SELECT d.*, ((((coalesce(doc_id, 0) % {p}) + {p}) % {p}) * 7919 + size % {p} * 104729 + copy % {p} * 31) % {p} % ceil(greatest(greatest(source_size, 1) / {bucket}, source_rows / {rows}))::BIGINT AS bucket
   FROM sized d JOIN sizes s ON d.source IS NOT DISTINCT FROM s.source
 ),
 placed AS (
@@ -127,10 +129,18 @@ levels AS (
   FROM weighed WINDOW o AS (ORDER BY cap / w, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 targets AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * w) AS target FROM levels),
-slotted AS (SELECT *, CASE WHEN source_size > 0 THEN least(round(target * blocks / source_size)::BIGINT, blocks * 3) ELSE 0 END AS slots FROM targets),
-every AS (SELECT source, source_rank, blocks, sum(slots) OVER () AS all_slots, unnest(range(slots)) AS k FROM slotted WHERE slots > 0),
-shards AS (SELECT source, source_rank, blocks, v % ceil(all_slots / {mixing.SHARD})::BIGINT AS shard, count(*) AS slots FROM ({fallen}) GROUP BY ALL),
-numbered AS (SELECT *, (sum(slots) OVER (PARTITION BY source ORDER BY shard ROWS UNBOUNDED PRECEDING))::BIGINT - slots AS first FROM shards),
+shares AS (SELECT *, CASE WHEN source_size > 0 THEN least(round(target * blocks / source_size)::BIGINT, blocks * 3) ELSE 0 END AS slots FROM targets),
+slotted AS (SELECT *, (sum(slots) OVER (ORDER BY source_rank ROWS UNBOUNDED PRECEDING))::BIGINT - slots AS low, (sum(slots) OVER ())::BIGINT AS all_slots FROM shares),
+thrown AS (SELECT i // {n} AS shard, (u * {1 << 30} + v % {1 << 30}) % all_slots AS u FROM ({fallen})),
+drawn AS (SELECT source_rank, shard, count(*) AS drawn FROM thrown JOIN slotted s ON thrown.u >= low AND thrown.u < low + slots GROUP BY ALL),
+reached AS (
+  SELECT source_rank, shard, {line} + drawn AS up FROM drawn JOIN slotted USING (source_rank)
+  UNION ALL SELECT source_rank, shard, {line} FROM (SELECT *, ceil(all_slots / {n})::BIGINT - 1 AS shard FROM slotted WHERE slots > 0)
+),
+tops AS (SELECT source_rank, shard, max(up) AS up FROM reached GROUP BY source_rank, shard),
+highest AS (SELECT source_rank, shard, max(up) OVER (PARTITION BY source_rank ORDER BY shard ROWS UNBOUNDED PRECEDING) AS now FROM tops),
+stepped AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY source_rank ORDER BY shard), 0) AS before FROM highest),
+numbered AS (SELECT source, source_rank, blocks, shard, least(before, blocks * 3) AS first, least(now, blocks * 3) - least(before, blocks * 3) AS slots FROM stepped JOIN (SELECT source, source_rank, blocks FROM slotted) USING (source_rank)),
 k_slots AS (SELECT source, source_rank, blocks, shard, first + unnest(range(slots)) AS k FROM numbered),
 uses AS (SELECT source, block, count(*) AS uses FROM ({draw}) GROUP BY ALL),
 parts AS (
