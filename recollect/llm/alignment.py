@@ -26,6 +26,8 @@ BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose tokens are in a task's memory at once; a longer text is taken alone.
 HELD = 2 << 20
+#: Up to this many id pairs (some 64 MB) with their counts are broadcast to the links.
+BROADCAST_PAIRS = 2_000_000
 #: A group with more token pairs than this is counted by distinct ids.
 WIDE = 4096
 
@@ -79,27 +81,28 @@ class Tokenizers:
         return a, np.array([len(b) for b in self.b_bytes], np.int64)
 
     @cached_property
-    def names(self) -> np.ndarray:
-        """The decimal id of each number, with a comma before it; and after all, without one."""
-        most = max(len(self.widths[0]), len(self.widths[1]))
-        return np.array([*(f",{i}" for i in range(most)), *(f"{i}" for i in range(most))], dtype=object)
+    def digits(self) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, lengths) of each id in decimal, after a place for the sign before it."""
+        written = [f" {i}".encode() for i in range(max(len(self.widths[0]), len(self.widths[1])))]
+        wide = np.array(written)
+        return wide.view(np.uint8).reshape(len(written), wide.dtype.itemsize), np.array([len(w) for w in written])
 
 
 def loaded(byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> Tokenizers:
     return Tokenizers(Path(byte_level).read_text(encoding="utf-8"), Path(pieces).read_bytes())
 
 
-def encoded(both: Tokenizers, text: str | None) -> tuple[list[int], list[int]]:
+def encoded(both: Tokenizers, text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Both tokenizers' ids of space and text; none if there is no text, or either's bytes differ from it."""
+    none = np.zeros(0, np.int64)
     if not text:
-        return [], []
+        return none, none
     want = b" " + text.encode("utf-8", "surrogatepass")
-    b_bytes = both.b_bytes
     b = both.b.encode(text)
-    if b"".join([b_bytes[i] for i in b]) != want:
-        return [], []
-    a = both.a.encode_ordinary(" " + text)
-    return (a, b) if both.a.decode_bytes(a) == want else ([], [])
+    if b"".join(map(both.b_bytes.__getitem__, b)) != want:
+        return none, none
+    a = both.a.encode_to_numpy(" " + text, disallowed_special=())
+    return (a.astype(np.int64), np.array(b, np.int64)) if both.a.decode_bytes(a) == want else (none, none)
 
 
 def runs(lengths: np.ndarray) -> np.ndarray:
@@ -121,26 +124,25 @@ class Groups:
     doc: np.ndarray  # of each group
 
 
-def merged(a_ids: list[list[int]], b_ids: list[list[int]], widths: tuple[np.ndarray, np.ndarray]) -> Groups:
+def merged(a_ids: list[np.ndarray], b_ids: list[np.ndarray], widths: tuple[np.ndarray, np.ndarray]) -> Groups:
     """Merges the cumulative ends of both sides, as two pointers over them would.
 
     Both lists of ends rise, so a stable sort of one after the other is one merge of two runs; ends
     that meet in it are the cuts. Both sides of a text have the same number of bytes, so texts can
     stand one after another: each ends in a cut.
     """
-    a, b = (np.array([i for ids in side for i in ids], np.int64) for side in (a_ids, b_ids))
-    ends_a, ends_b = np.cumsum(widths[0][a]), np.cumsum(widths[1][b])
-    both = np.concatenate([ends_a, ends_b])
+    none = [np.zeros(0, np.int64)]
+    a, b = np.concatenate(none + a_ids), np.concatenate(none + b_ids)
+    both = np.concatenate([np.cumsum(widths[0][a]), np.cumsum(widths[1][b])])
     order = np.argsort(both, kind="stable")
     ranked = both[order]
-    shared = ranked[:-1][(ranked[1:] == ranked[:-1]) & (order[:-1] < len(a)) & (order[1:] >= len(a))]
-    cuts = np.unique(shared)
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-    last = np.cumsum([len(ids) for ids in a_ids]) - 1
-    filled = np.array([len(ids) > 0 for ids in a_ids], bool)
-    ended = group_a[last[filled]] if filled.any() else np.zeros(0, np.int64)
-    doc = np.flatnonzero(filled)[np.searchsorted(ended, np.arange(len(cuts)))]
-    return Groups(a, b, group_a, group_b, np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts)), doc)
+    met = np.flatnonzero(ranked[1:] == ranked[:-1])
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[order[met]] = 1
+    last_b[order[met + 1] - len(a)] = 1
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    doc = np.repeat(np.arange(len(a_ids)), [len(ids) for ids in a_ids])[last_a > 0]
+    return Groups(a, b, group_a, group_b, np.bincount(group_a, minlength=len(met)), np.bincount(group_b, minlength=len(met)), doc)
 
 
 def links(g: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,45 +157,46 @@ def links(g: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     many = g.sizes_b[g.group_a[at]]
     left = np.repeat(at, many)
     right = np.repeat(first_b[g.group_a[at]], many) + runs(many)
-    found = [np.stack([g.doc[g.group_a[left]], g.a[left], g.b[right], np.ones(len(left), np.int64)])]
-    for k in np.flatnonzero(wide):
-        a, n = np.unique(g.a[first_a[k] : first_a[k] + g.sizes_a[k]], return_counts=True)
-        b, m = np.unique(g.b[first_b[k] : first_b[k] + g.sizes_b[k]], return_counts=True)
-        found.append(np.stack([np.full(len(a) * len(b), g.doc[k]), np.repeat(a, len(b)), np.tile(b, len(a)), np.outer(n, m).ravel()]))
-    doc, a, b, times = np.concatenate(found, axis=1)
     # By pair first, then by text: equal pairs of several texts stand together.
-    key = (a << 20 | b) << 22 | doc
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.diff(key[order], prepend=-1))
-    summed = np.add.reduceat(times[order], start) if len(start) else times[:0]
-    return doc[order][start], a[order][start], b[order][start], summed
-
-
-def digests(g: Groups, n: int, names: np.ndarray) -> list[str]:
+    packed = lambda a, b, doc: (a << 20 | b) << 22 | doc
+    key = np.sort(packed(g.a[left], g.b[right], g.doc[g.group_a[left]]))
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(start, append=len(key))
+    key = key[start]
+    if wide.any():
+        keys, counts = [key], [times]
+        for k in np.flatnonzero(wide):
+            a, n = np.unique(g.a[first_a[k] : first_a[k] + g.sizes_a[k]], return_counts=True)
+            b, m = np.unique(g.b[first_b[k] : first_b[k] + g.sizes_b[k]], return_counts=True)
+            keys.append(packed(np.repeat(a, len(b)), np.tile(b, len(a)), g.doc[k]))
+            counts.append(np.outer(n, m).ravel())
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.zeros(len(key), np.int64)
+        np.add.at(times, at, np.concatenate(counts))
+    return key & (1 << 22) - 1, key >> 42, key >> 22 & (1 << 20) - 1, times
+
+
+def digests(g: Groups, n: int, digits: tuple[np.ndarray, np.ndarray]) -> list[str]:
     """The SHA-256 of ``a1,a2|b1;a3|b2,b3`` for each of n texts; an empty string for one without tokens.
 
-    The tokens are laid out in the order in which they are written: of a group A's, then B's.
+    The tokens are laid out in the order in which they are written: of a group A's, then B's. Each
+    is a row of characters, the sign before it and its digits, and the rows' used parts are the text.
     """
-    before = np.cumsum(g.sizes_b) - g.sizes_b
-    spot_a = np.arange(len(g.a)) + before[g.group_a]
+    chars, lengths = digits
+    spot_a = np.arange(len(g.a)) + (np.cumsum(g.sizes_b) - g.sizes_b)[g.group_a]
     spot_b = np.arange(len(g.b)) + np.cumsum(g.sizes_a)[g.group_b]
-    first_a = np.diff(g.group_a, prepend=-1) > 0
-    first_b = np.diff(g.group_b, prepend=-1) > 0
-    plain = len(names) // 2
-    out = np.empty(len(g.a) + len(g.b), dtype=object)
-    out[spot_a] = names[g.a + plain * first_a]
-    out[spot_b] = names[g.b + plain * first_b]
-    mark = np.full(len(out), "", dtype=object)
-    mark[spot_a[first_a]] = ";"
-    mark[spot_b[first_b]] = "|"
-    length = np.bincount(g.doc, weights=g.sizes_a + g.sizes_b, minlength=n).astype(np.int64)
-    stop = np.cumsum(length)
-    written = np.empty(2 * len(out), dtype=object)
-    written[0::2], written[1::2] = mark, out
-    found = []
-    for lo, hi in zip(stop - length, stop, strict=True):
-        found.append(hashlib.sha256("".join(written[2 * lo + 1 : 2 * hi]).encode()).hexdigest() if hi > lo else "")
-    return found
+    ids = np.empty(len(g.a) + len(g.b), np.int64)
+    ids[spot_a], ids[spot_b] = g.a, g.b
+    sign = np.full(len(ids), ord(","), np.uint8)
+    sign[spot_a[np.diff(g.group_a, prepend=-1) > 0]] = ord(";")
+    sign[spot_b[np.diff(g.group_b, prepend=-1) > 0]] = ord("|")
+    rows = chars[ids]
+    rows[:, 0] = sign
+    text = rows[np.arange(rows.shape[1]) < lengths[ids][:, None]].tobytes()
+    tokens = np.bincount(g.doc, weights=g.sizes_a + g.sizes_b, minlength=n).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(tokens)])]
+    view = memoryview(text)
+    return [hashlib.sha256(view[lo + 1 : hi]).hexdigest() if hi > lo else "" for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def aligned(docs: DataFrame, both: Tokenizers | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +228,7 @@ def aligned(docs: DataFrame, both: Tokenizers | None = None, id_col: str = "doc_
             "part": two(np.zeros(n, np.int32), np.ones(len(start), np.int32)),
             "doc_id": two(pd.array(ids, dtype="Int64"), nulls(len(start))),
             **whole,
-            "groups_sha256": pd.Series(digests(g, n, tools.names) + [None] * len(start), dtype=object),
+            "groups_sha256": pd.Series(digests(g, n, tools.digits) + [None] * len(start), dtype=object),
             "a": two(nulls(n, "Int32"), pd.array(a[start], dtype="Int32")),
             "b": two(nulls(n, "Int32"), pd.array(b[start], dtype="Int32")),
             "rows": pd.Series(runs_of(doc + first), dtype=object),
@@ -265,12 +268,15 @@ def alignment(docs: DataFrame, both: Tokenizers | None = None, id_col: str = "do
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of the documents.
 
     As ``aligned`` says, with each document's links joined to their id pairs' counts over the corpus: n_best
-    links have the highest count of their A id, ties included; count_sum is the sum over links. A
-    pair in very many documents has a row for each batch of texts, among which a join can be split.
+    links have the highest count of their A id, ties included; count_sum is the sum over links. The
+    pairs are counted, and broadcast up to BROADCAST_PAIRS. Beyond, links are shuffled to them: a
+    pair in very many documents has a row for each batch of texts, among which that join can be split.
     """
     found = table_copy(aligned(docs, both, id_col, text), "aligned")
     pairs = found.where("part = 1").select("a", "b", "rows", "times")
-    met = pairs.join(table_copy(pair_counts(found), "pairs"), ["a", "b"])
+    counts = table_copy(pair_counts(found), "pairs")
+    # Where the counts are sent to the links, a document's links are summed where they stand.
+    met = pairs.join(F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts.hint("merge"), ["a", "b"])
     each = met.select("documents", "best", F.inline(F.arrays_zip("rows", "times"))).groupBy("rows").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).cast("bigint").alias("n_best"),
         F.sum(F.col("times") * F.col("documents")).cast("bigint").alias("count_sum"),
