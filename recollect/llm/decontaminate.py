@@ -14,6 +14,8 @@ MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 8, 9), (0, 3, 4, 6, 7))
 #: Items with fewer words are sought by a seed of all their words. From there up to SHORT words,
 #: an item is sought by masks that leave out one of its words each.
 MIN_WORDS, SHORT = 5, 7
+#: Places of a text that one row of its words is for.
+STEP = 64
 #: Up to this many seeds of test items (some 64 MB in a hash table) are broadcast.
 BROADCAST_SEEDS = 2_000_000
 #: Up to this many ids of documents (some 32 MB) are broadcast.
@@ -30,21 +32,22 @@ def _words(text: str) -> Column:
     return split_words(F.lower(F.col(text)), NOT_WORD)
 
 
-def _places(words: Column, ahead: int) -> Column:
-    """For each word its hash as w0, the hashes of the next words as w1 to w<ahead>, and the one before as before; null beyond the ends.
+def _spots(df: DataFrame, keys: list[str], words: Column, shapes: list[tuple[int, ...]]) -> DataFrame:
+    """(*keys, at, k, seed, lasts): the hash of each shape at each place where it fits, and all shapes' hashes at the place before.
 
-    Each is one shifted copy of the hashes, zipped, so a place costs the same in a long text as in a short one.
+    Words are hashed once; a text is cut into runs of STEP places and what shapes reach beyond them, so that a row of
+    a place has a run with it and not the text: a long text costs in proportion to its length.
     """
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    shifted = [F.slice(hashes, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(ahead + 1)]
-    return F.arrays_zip(*shifted, F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("before"))
-
-
-def _seeds(masks: list[tuple[int, ...]]) -> Column:
-    """(seed, last) of each mask at a place: the hash there and at the place before; null where the mask would pass an end."""
-    word = lambda o: F.col("place.before") if o < 0 else F.col(f"place.w{o}")
-    at = lambda k, m, by: F.when(word(m[-1]).isNotNull() & word(by).isNotNull(), F.xxhash64(F.lit(k), *[word(o + by) for o in m]))
-    return F.array(*[F.struct(at(k, m, 0).alias("seed"), at(k, m, -1).alias("last")) for k, m in enumerate(masks)])
+    ahead = max(m[-1] for m in shapes)
+    hashes = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(words, lambda w: F.xxhash64(w)))
+    # Bound as a variable, or the hashes would be made again for each run. A run begins with the word before it.
+    cut = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(h) - 2) / STEP).cast("int"))), lambda c: F.slice(h, c * STEP + 1, F.lit(STEP + ahead + 1)))
+    runs = df.select(*keys, F.posexplode(F.element_at(F.transform(F.array(hashes), cut), 1)).alias("run", "h"))
+    places = runs.select(*keys, "run", "h", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.lit(STEP), F.size("h") - 1) - 1))).alias("i"))
+    word = lambda o: F.get("h", F.col("i") + o + 1)
+    at = lambda by: F.array(*[F.when(word(m[-1]).isNotNull() & word(by).isNotNull(), F.xxhash64(F.lit(k), *[word(o + by) for o in m])) for k, m in enumerate(shapes)])
+    hashed = places.select(*keys, (F.col("run") * STEP + F.col("i")).alias("at"), at(0).alias("seeds"), at(-1).alias("lasts"))
+    return hashed.select(*keys, "at", "lasts", F.posexplode("seeds").alias("k", "seed")).where("seed is not null")
 
 
 def overlaps(
@@ -65,19 +68,17 @@ def overlaps(
     # A shape of a whole item is for items of that length only, or each word of a longer one would be a seed.
     whole = [tuple(range(n)) for n in sorted(short) if n < MIN_WORDS]
     shapes = [*parts, *whole]
-    ahead = max(m[-1] for m in shapes)
     fits = F.col("k") < len(parts)
     for k, m in enumerate(whole, len(parts)):
         fits = fits | ((F.col("k") == k) & (F.col("m") == len(m)))
-    seeds = tests.select("item_id", F.size("item").alias("m"), F.posexplode(_places(F.col("item"), ahead)).alias("at", "place"))
-    seeds = seeds.select("item_id", "m", "at", F.posexplode(_seeds(shapes)).alias("k", "s")).where("s.seed is not null").where(fits).select("item_id", "m", "at", "s.seed", F.col("s.last").alias("item_last")).distinct()
+    sought = _spots(tests.withColumn("m", F.size("item")), ["item_id", "m"], F.col("item"), shapes).where(fits)
+    seeds = sought.select("item_id", "m", F.col("at").alias("item_at"), "seed", F.get("lasts", F.col("k")).alias("item_last")).distinct()
     plain = docs.select(*keys, F.col(text).alias("text"), F.xxhash64(F.lit(1), *keys, text).alias("row"), F.xxhash64(F.lit(2), *keys, text).alias("row_2"))
-    spots = plain.select("row", "row_2", F.posexplode(_places(_words("text"), ahead)).alias("pos", "place"))
-    spots = spots.select("row", "row_2", "pos", F.explode(_seeds(shapes)).alias("s")).select("row", "row_2", "pos", "s.seed", F.col("s.last").alias("doc_last")).where("seed is not null")
+    spots = _spots(plain, ["row", "row_2"], _words("text"), shapes)
     # Where a mask agrees at the places before, too, it is the same diagonal, met there already.
-    anew = F.coalesce(F.col("doc_last") != F.col("item_last"), F.lit(True))
+    anew = F.coalesce(F.get("lasts", F.col("k")) != F.col("item_last"), F.lit(True))
     met = spots.join(F.broadcast(seeds) if seeds.count() <= broadcast_seeds else seeds, "seed").where(anew)
-    met = table_copy(met.select("row", "row_2", "item_id", "m", (F.col("pos") - F.col("at")).alias("start")).distinct(), "diagonals")
+    met = table_copy(met.select("row", "row_2", "item_id", "m", (F.col("at") - F.col("item_at")).alias("start")).distinct(), "diagonals")
     few = met.count() <= BROADCAST_IDS
     held = F.broadcast(met) if few else met
     there = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.greatest(F.col("m") + F.least("start", F.lit(0)), F.lit(0)))
