@@ -129,6 +129,16 @@ def _bm25(docs: str) -> str:
   JOIN {docs} d ON d.history_id = p.history_id AND d.doc_id = p.doc_id) GROUP BY ALL"""
 
 
+def bm25_by_question(docs: str) -> str:
+    """As ``_bm25``, from a CTE (qid, history_id, doc_id, ts_) of the documents that each question may see."""
+    return f"""SELECT qid, history_id, doc_id, sum({_SCORE}) AS score FROM (
+  SELECT q.qid, p.history_id, p.doc_id, p.tf, len(d.ts_)::DOUBLE AS dl, c.avgdl, ln(1 + (c.n - f.df + 0.5) / (f.df + 0.5)) AS idf
+  FROM qterms q JOIN (SELECT qid, history_id, doc_id, term, count(*) AS tf FROM (SELECT qid, history_id, doc_id, unnest(ts_) AS term FROM {docs}) GROUP BY ALL) p USING (qid, history_id, term)
+  JOIN (SELECT qid, term, count(*) AS df FROM (SELECT DISTINCT qid, doc_id, unnest(ts_) AS term FROM {docs}) GROUP BY ALL) f USING (qid, term)
+  JOIN (SELECT qid, count(*) AS n, avg(len(ts_)) AS avgdl FROM {docs} GROUP BY 1) c USING (qid)
+  JOIN {docs} d ON d.qid = p.qid AND d.doc_id = p.doc_id) GROUP BY ALL"""
+
+
 PER, EPOCH = 10, "TIMESTAMP '2024-01-01 09:00:00'"
 
 CTES: dict[str, str] = {

@@ -11,14 +11,14 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.parsing import dot, unit_vector
 from recollect.functions.temporal import query_window
 from recollect.functions.text import terms
-from recollect.operators import bm25
+from recollect.operators import bm25, timed
+from recollect.sources.kept import kept
 
 RRF_K = 60
 
@@ -56,23 +56,47 @@ def said(speaker: str = "speaker", text: str = "text") -> Column:
 
 
 def turn_terms(turns: DataFrame) -> DataFrame:
-    """(history_id, id, session_id, terms), kept: cutting and stemming is most of the work, and
-    postings, lengths and both indexes read it. Kept rows spill to disk and can be computed again."""
-    return turns.select("history_id", "id", "session_id", terms(said()).alias("terms")).persist(StorageLevel.MEMORY_AND_DISK)
+    """(history_id, id, session_id, ts, terms), kept: cutting and stemming is most of the work and most of a
+    plan, and postings, lengths and both indexes read it. ``Said`` keeps it for several searches."""
+    return kept(turns.select("history_id", "id", "session_id", "ts", terms(said()).alias("terms")), "terms")
 
 
-def turn_index(turns: DataFrame) -> bm25.Index:
-    return bm25.build(turn_terms(turns).select("history_id", F.col("id").alias("doc_id"), "terms"))
+def asked(questions: DataFrame) -> DataFrame:
+    """(qid, history_id, now, terms) of questions, kept."""
+    return kept(questions.select("qid", "history_id", "now", terms(F.col("question")).alias("terms")), "asked")
 
 
-def session_index(turns: DataFrame) -> bm25.Index:
+@dataclass(frozen=True)
+class Said:
+    """The terms of turns and questions, cut once for all searches over them."""
+
+    turns: DataFrame
+    questions: DataFrame
+    visible: bool = False  # each question sees the turns said at or before its now, as if there were no others
+
+    @staticmethod
+    def of(turns: DataFrame, questions: DataFrame, visible: bool = False) -> Said:
+        return Said(turn_terms(turns), asked(questions), visible)
+
+    def found(self, doc: str) -> DataFrame:
+        """BM25 scores of turns (``id``) or sessions (``session_id``)."""
+        own = self.turns.select("history_id", F.col(doc).alias("doc_id"), "ts", "terms")
+        if self.visible:
+            return timed.scores(timed.build(own), self.questions)
+        return bm25.scores(bm25.build(own) if doc == "id" else _sessions(own), self.questions)
+
+
+def _sessions(own: DataFrame) -> bm25.Index:
     """Terms of a session are those of its turns, joined by spaces, so each turn is cut alone."""
-    words = turn_terms(turns).groupBy("history_id", "session_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
-    return bm25.build(words.select("history_id", F.col("session_id").alias("doc_id"), "terms"))
+    return bm25.build(own.groupBy("history_id", "doc_id").agg(F.flatten(F.collect_list("terms")).alias("terms")))
 
 
-def asked(questions: DataFrame) -> DataFrame:
-    return questions.select("qid", "history_id", terms(F.col("question")).alias("terms"))
+def turn_index(turns: DataFrame) -> bm25.Index:
+    return bm25.build(turn_terms(turns).select("history_id", F.col("id").alias("doc_id"), "terms"))
+
+
+def session_index(turns: DataFrame) -> bm25.Index:
+    return _sessions(turn_terms(turns).select("history_id", F.col("session_id").alias("doc_id"), "terms"))
 
 
 def age_days(now: Column, ts: Column) -> Column:
@@ -88,33 +112,37 @@ def _normal(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(F.col("score")))
 
 
-def turn_scores(turns: DataFrame, questions: DataFrame) -> DataFrame:
+def turn_scores(turns: DataFrame, questions: DataFrame, visible: bool = False, of: Said | None = None) -> DataFrame:
     """(qid, history_id, id, score, position, session_id, ts, now, question) of turns sharing a term."""
-    found = bm25.scores(turn_index(turns), asked(questions)).withColumnRenamed("doc_id", "id")
+    found = (of or Said.of(turns, questions, visible)).found("id").withColumnRenamed("doc_id", "id")
     of_turn = placed(turns).select("history_id", "id", "position", "session_id", "ts")
     return found.join(of_turn, ["history_id", "id"]).join(questions.select("qid", "now", "question"), "qid")
 
 
-def score_parts(turns: DataFrame, questions: DataFrame, sessions: bool = True, windows: bool = True) -> DataFrame:
+def score_parts(turns: DataFrame, questions: DataFrame, sessions: bool = True, windows: bool = True, visible: bool = False) -> DataFrame:
     """The turns that share a term with a question, with what the store's score is made of.
 
     ``raw`` is the turn's score, ``base`` the same and ``session`` that of its session (each divided
     by the question's best), ``age`` its days before now, ``inside`` whether it falls in the window the question names.
     """
-    found = _normal(turn_scores(turns, questions).withColumn("raw", F.col("score"))).withColumn("age", age_days(F.col("now"), F.col("ts"))).withColumnRenamed("score", "base")
+    of = Said.of(turns, questions, visible)
+    found = _normal(turn_scores(turns, questions, of=of).withColumn("raw", F.col("score"))).withColumn("age", age_days(F.col("now"), F.col("ts"))).withColumnRenamed("score", "base")
     if sessions:
-        own = _normal(bm25.scores(session_index(turns), asked(questions))).select("qid", F.col("doc_id").alias("session_id"), F.col("score").alias("session"))
+        own = _normal(of.found("session_id")).select("qid", F.col("doc_id").alias("session_id"), F.col("score").alias("session"))
         found = found.join(own, ["qid", "session_id"], "left").withColumn("session", F.coalesce("session", F.lit(0.0)))
     if windows:
-        named = questions.select("qid", query_window(F.col("question"), F.col("now")).alias("w"))
+        named = kept(questions.select("qid", query_window(F.col("question"), F.col("now")).alias("w")), "windows")
         inside = F.coalesce((F.col("w.lo") <= F.col("ts")) & (F.col("ts") < F.col("w.hi")), F.lit(False))
         found = found.join(named, "qid").withColumn("inside", inside).drop("w")
     return found
 
 
-def store_scores(turns: DataFrame, questions: DataFrame, config: Config = Config()) -> DataFrame:
-    """The turns' scores fused with their sessions', decayed by age and raised inside the window."""
-    parts = score_parts(turns, questions, bool(config.session_weight), bool(config.window_boost))
+def store_scores(turns: DataFrame, questions: DataFrame, config: Config = Config(), visible: bool = False) -> DataFrame:
+    """The turns' scores fused with their sessions', decayed by age and raised inside the window.
+
+    ``visible``: each question sees the turns said at or before its own now, and no statistic of later ones.
+    """
+    parts = score_parts(turns, questions, bool(config.session_weight), bool(config.window_boost), visible)
     score = F.col("base") + config.session_weight * F.col("session") if config.session_weight else F.col("base")
     if config.half_life_days:
         score = score * decay(F.col("age"), config.half_life_days, config.recency_floor)
@@ -176,7 +204,7 @@ def bm25_turns(turns: DataFrame, questions: DataFrame) -> DataFrame:
 def bm25_sessions(turns: DataFrame, questions: DataFrame) -> DataFrame:
     """Whole sessions by their scores, turns in order of seq."""
     starts = turns.groupBy("history_id", "session_id").agg(F.min("session_ts").alias("session_ts"))
-    found = bm25.scores(session_index(turns), asked(questions)).withColumnRenamed("doc_id", "session_id").join(starts, ["history_id", "session_id"])
+    found = Said.of(turns, questions).found("session_id").withColumnRenamed("doc_id", "session_id").join(starts, ["history_id", "session_id"])
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "session_ts", "session_id")
     ranked = found.withColumn("unit_ord", F.row_number().over(order)).join(turns.select("history_id", "session_id", "id", "seq"), ["history_id", "session_id"])
     return ranked.select("qid", "history_id", F.lit("bm25_sessions").alias("strategy"), "unit_ord", F.col("seq").cast("int").alias("turn_ord"), F.col("id").alias("turn_id"))
@@ -192,9 +220,24 @@ def window_bm25(turns: DataFrame, questions: DataFrame) -> DataFrame:
     return _units(bm25.ranked(turn_scores(turns, questions), "position"), "window_bm25")
 
 
-def store(turns: DataFrame, questions: DataFrame, config: Config = Config(), name: str = "store") -> DataFrame:
-    units = _units(bm25.ranked(store_scores(turns, questions, config).where("score > 0"), "position"), name)
-    return with_neighbours(units, turns, config.neighbours)
+def with_visible_neighbours(units: DataFrame, turns: DataFrame, questions: DataFrame, reach: int) -> DataFrame:
+    """``with_neighbours`` among the turns that each question could see: later ones leave no gap between others."""
+    if not reach:
+        return units
+    where = placed(turns).select("history_id", "position", "session_id", "id", "ts")
+    hit = units.join(where.select("history_id", F.col("id").alias("turn_id"), "session_id"), ["history_id", "turn_id"])
+    seen = hit.select("qid", "history_id", "session_id").distinct().join(where, ["history_id", "session_id"]).join(questions.select("qid", "now"), "qid").where(F.col("ts") <= F.col("now"))
+    seen = seen.select("qid", "session_id", "id", F.row_number().over(Window.partitionBy("qid", "session_id").orderBy("position")).alias("nth"))
+    offsets = [0] + [d for k in range(1, reach + 1) for d in (-k, k)]
+    own = hit.join(seen.withColumnRenamed("id", "turn_id"), ["qid", "session_id", "turn_id"])
+    wide = own.select("qid", "history_id", "strategy", "unit_ord", "session_id", F.posexplode(F.array(*[F.col("nth") + d for d in offsets])).alias("turn_ord", "nth"))
+    return wide.join(seen, ["qid", "session_id", "nth"]).withColumnRenamed("id", "turn_id").select(*units.columns)
+
+
+def store(turns: DataFrame, questions: DataFrame, config: Config = Config(), name: str = "store", visible: bool = False) -> DataFrame:
+    """The store's search. ``visible``: every question as of its own now, over one index."""
+    units = _units(bm25.ranked(store_scores(turns, questions, config, visible).where("score > 0"), "position"), name)
+    return with_visible_neighbours(units, turns, questions, config.neighbours) if visible else with_neighbours(units, turns, config.neighbours)
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from recollect.functions import parsing, temporal, text
 from recollect.operators import bm25, evaluation, facts, reports, stats, store
 from recollect.plans import memory, packing, strategies
 from recollect.sources import tables
+from recollect.sources.kept import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,7 +131,7 @@ def bm25_turns_topk(spark, sf_dir):
 @registered(f"SELECT qid, doc_id AS session_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id::INT) AS rank FROM sscore) WHERE rank <= {K}")
 def bm25_sessions_topk(spark, sf_dir):
     turns, questions = both(spark, sf_dir)
-    found = bm25.scores(strategies.session_index(turns), strategies.asked(questions)).withColumn("n", F.col("doc_id").cast("int"))
+    found = strategies.Said.of(turns, questions).found("session_id").withColumn("n", F.col("doc_id").cast("int"))
     return bm25.ranked(found, "n", K).select("qid", F.col("doc_id").alias("session_id"), r6("score").alias("score"))
 
 
@@ -158,6 +158,43 @@ def store_score(spark, sf_dir):
     return strategies.store_scores(turns, questions).select("qid", "id", r6("score").alias("score"))
 
 
+#: Each question asked at a time of its own, while its history goes on; turns are an hour apart.
+_VISIBLE = {
+    "vq": f"SELECT * REPLACE ({o.EPOCH} + to_days((substr(qid, 2)::INT + substr(qid, 2)::INT % 7)::INT) + INTERVAL 3 HOUR AS now) FROM questions",
+    "vt": "SELECT * REPLACE (ts + to_hours(seq::INT) AS ts) FROM pos",
+    "vturns": "SELECT q.qid, t.history_id, t.id AS doc_id, t.session_id, d.ts_ FROM vq q JOIN vt t ON t.history_id = q.history_id AND t.ts <= q.now JOIN tdocs d ON d.doc_id = t.id AND d.history_id = t.history_id",
+    "vsessions": "SELECT qid, history_id, session_id AS doc_id, flatten(list(ts_)) AS ts_ FROM vturns GROUP BY ALL",
+    "vtscore": o.bm25_by_question("vturns"),
+    "vsscore": o.bm25_by_question("vsessions"),
+    "vfull": "SELECT s.*, s.doc_id AS id, t.position, t.session_id, t.ts, q.now FROM vtscore s JOIN vt t ON t.history_id = s.history_id AND t.id = s.doc_id JOIN vq q USING (qid)",
+    "vwindows": f"SELECT qid, {o.window('question', 'now')} AS w FROM vq",
+}
+
+
+def _asked_meanwhile(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    turns, questions = both(spark, sf_dir)
+    conv = F.substr("qid", F.lit(2)).cast("int")
+    now = F.lit(tables.EPOCH).cast("timestamp_ntz") + F.make_dt_interval(conv + conv % 7, F.lit(3))
+    return turns.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(0), F.col("seq").cast("int"))), questions.withColumn("now", now)
+
+
+@registered(f"SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, position) AS rank FROM vfull) WHERE rank <= {K}", **_VISIBLE)
+def visible_topk(spark, sf_dir):
+    turns, questions = _asked_meanwhile(spark, sf_dir)
+    return bm25.ranked(strategies.turn_scores(turns, questions, visible=True), "position", K).select("qid", "id", "rank", r6("score").alias("score"))
+
+
+@registered(
+    """SELECT qid, id, round((score / top + 0.3 * coalesce(s, 0)) * (0.5 + 0.5 * pow(0.5, greatest(epoch_us(now) - epoch_us(ts), 0) / 86400000000.0 / 365.0)) * CASE WHEN coalesce(w.lo <= ts AND ts < w.hi, false) THEN 2 ELSE 1 END, 6) AS score
+  FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM vfull) t JOIN vwindows USING (qid)
+  LEFT JOIN (SELECT qid AS q2, doc_id AS s2, score / max(score) OVER (PARTITION BY qid) AS s FROM vsscore) ON q2 = qid AND s2 = session_id""",
+    **_VISIBLE,
+)
+def visible_store(spark, sf_dir):
+    turns, questions = _asked_meanwhile(spark, sf_dir)
+    return strategies.store_scores(turns, questions, visible=True).select("qid", "id", r6("score").alias("score"))
+
+
 _PARTS = "SELECT t.*, doc_id AS id, score / top AS b, coalesce(s, 0) AS s, greatest(epoch_us(now) - epoch_us(ts), 0) / 86400000000.0 AS age, coalesce(w.lo <= ts AND ts < w.hi, false) AS inside FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM tfull) t JOIN windows USING (qid) LEFT JOIN (SELECT qid AS q2, doc_id AS s2, score / max(score) OVER (PARTITION BY qid) AS s FROM sscore) ON q2 = qid AND s2 = session_id"
 
 
@@ -493,19 +530,21 @@ def history_at(spark, sf_dir):
 def eval_rows(spark, sf_dir) -> DataFrame:
     """One row for each question, strategy and number of hits: what the first hits bring.
 
-    Both strategies rank one search. The contexts are scored from several sides, so they are kept
-    rather than retrieved again.
+    Both strategies rank one search. Questions and contexts are read from several sides, so they are
+    written once rather than made again in each branch of the plan.
     """
     turns, questions = both(spark, sf_dir)
+    questions = kept(questions, "questions")
     found = strategies.grid_scores(strategies.score_parts(turns, questions), [strategies.Config()])
     wide = found.select("qid", "id", "session_id", "position", F.inline(F.array(F.struct(F.lit("bm25_turns").alias("strategy"), F.col("raw").alias("score")), F.struct(F.lit("store").alias("strategy"), F.col("score").alias("score")))))
     order = Window.partitionBy("qid", "strategy").orderBy(F.round("score", 12).desc(), "position")
     ranked = wide.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
     ks = ranked.select("*", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("budget")).where("rank <= budget")
-    contexts = ks.select("qid", "strategy", "budget", F.col("id").alias("turn_id"), "session_id", (F.col("rank") == 5).alias("cut")).persist(StorageLevel.MEMORY_AND_DISK)
+    contexts = kept(ks.select("qid", "strategy", "budget", F.col("id").alias("turn_id"), "session_id", (F.col("rank") == 5).alias("cut")), "contexts")
     tokens = contexts.join(turns.select(F.col("id").alias("turn_id"), text.count_tokens(F.col("text")).alias("t")), "turn_id").groupBy("qid", "strategy", "budget").agg(F.sum("t").alias("tokens"))
     scored = evaluation.scores(contexts, questions, questions.select("qid", "history_id", "turn_id"), questions.select("qid", "session_id"), turns)
-    return scored.join(questions.select("qid", "dataset", "cluster", "split"), "qid").join(tokens, ["qid", "strategy", "budget"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    wide = scored.join(questions.select("qid", "dataset", "cluster", "split"), "qid").join(tokens, ["qid", "strategy", "budget"], "left")
+    return kept(wide.withColumn("tokens", F.coalesce("tokens", F.lit(0))), "scored")
 
 
 _EVAL = {
