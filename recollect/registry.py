@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from recollect import oracle as o
 from recollect.functions import parsing, temporal, text
 from recollect.operators import bm25, evaluation, facts, reports, stats, store
 from recollect.plans import memory, packing, strategies
-from recollect.sources import tables
+from recollect.sources import files, tables
+from recollect.sources.kept import folder as kept_folder
 from recollect.sources.kept import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,6 +526,65 @@ def history_at(spark, sf_dir):
     return strategies.placed(seen).groupBy("history_id").agg(F.count("*").alias("turns"), F.min("position").cast("bigint").alias("first"), F.max("position").cast("bigint").alias("last"))
 
 
+# Files: tables written out and read again
+
+
+def _written(spark, name: str) -> str:
+    return f"{kept_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@registered("SELECT session_id, min(ts) OVER (PARTITION BY session_id) AS session_ts, speaker, text, ts, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq FROM (SELECT * REPLACE (ts + to_minutes(seq::INT) AS ts) FROM turns)")
+def jsonl_turns(spark, sf_dir):
+    """The turns as JSON lines, a session's in one file, read as ``read_jsonl`` does."""
+    turns = tables.turns(spark, sf_dir)
+    when = F.date_format(F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("seq").cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    path = _written(spark, "turns")
+    rows = turns.repartition("session_id").sortWithinPartitions("session_id", "seq")
+    rows.select(F.col("session_id").alias("session"), when.alias("time"), "speaker", "text").write.json(path)
+    return files.read_jsonl(spark, path).select("session_id", "session_ts", "speaker", "text", "ts", F.col("seq").cast("bigint").alias("seq"))
+
+
+def _dialogue_file(spark, sf_dir) -> str:
+    """A file for each history: an array of one dialogue, its conversations as numbered sessions."""
+    t = tables.turns(spark, sf_dir).withColumn("n", F.dense_rank().over(Window.partitionBy("history_id").orderBy(F.col("session_id").cast("bigint"))))
+    line = F.struct(F.col("seq"), F.struct(F.col("speaker"), F.concat(F.lit("D"), F.col("n").cast("string"), F.lit(":"), F.col("seq").cast("string")).alias("dia_id"), F.col("text")).alias("t"))
+    one = t.groupBy("history_id", "n").agg(F.min("ts").alias("ts"), F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]).alias("said"))
+    parts = F.concat(F.lit('"session_'), F.col("n").cast("string"), F.lit('": '), F.to_json("said"), F.lit(', "session_'), F.col("n").cast("string"), F.lit('_date_time": "'), F.date_format("ts", "h:mm a 'on' d MMMM, yyyy"), F.lit('"'))
+    q = tables.questions(spark, sf_dir).withColumn("conv", F.substr("qid", F.lit(2)).cast("bigint"))
+    known = t.select(F.col("id").alias("turn_id"), F.concat(F.lit("D"), F.col("n").cast("string"), F.lit(":"), F.lpad(F.col("seq").cast("string"), 3, "0")).alias("e"))
+    asked = q.join(known, "turn_id").select("history_id", F.struct("conv", F.struct("question", "answer", F.array("e").alias("evidence"), (F.col("conv") % 4 + 1).alias("category")).alias("q")).alias("q"))
+    qa = asked.groupBy("history_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list("q")), lambda x: x["q"])).alias("qa"))
+    whole = one.groupBy("history_id").agg(F.array_join(F.sort_array(F.collect_list(parts)), ", ").alias("sessions")).join(qa, "history_id")
+    text_ = F.concat(F.lit('[{"sample_id": "c'), F.col("history_id").cast("string"), F.lit('", "conversation": {'), "sessions", F.lit('}, "qa": '), "qa", F.lit("}]"))
+    path = _written(spark, "dialogues")
+    whole.select(text_.alias("value"), "history_id").write.partitionBy("history_id").text(path)
+    return path
+
+
+_NUMBERED = "SELECT *, dense_rank() OVER (PARTITION BY history_id ORDER BY session_id::BIGINT) AS n FROM turns"
+
+
+@registered("SELECT 'c' || history_id AS history_id, 'c' || history_id || ':D' || n || ':' || seq AS id, 'c' || history_id || ':S' || n AS session_id, speaker, text, ts, row_number() OVER (PARTITION BY history_id, n ORDER BY seq) - 1 AS seq FROM numbered", numbered=_NUMBERED)
+def dialogue_turns(spark, sf_dir):
+    found = files.read_dialogues(spark, _dialogue_file(spark, sf_dir))
+    return found.turns.select("history_id", "id", "session_id", "speaker", "text", "ts", F.col("seq").cast("bigint").alias("seq"))
+
+
+@registered(
+    "SELECT 'c' || q.history_id || ':q' || (row_number() OVER (PARTITION BY q.history_id ORDER BY substr(qid, 2)::BIGINT) - 1) AS qid, question, answer, ['multi-hop', 'temporal', 'open-domain', 'single-hop'][substr(qid, 2)::BIGINT % 4 + 1] AS qtype, max(t.last) AS now, 'c' || q.history_id || ':D' || any_value(n) || ':' || any_value(e.seq) AS turn_id FROM questions q JOIN numbered e ON e.id = q.turn_id JOIN (SELECT history_id, max(ts) AS last FROM turns GROUP BY 1) t ON t.history_id = q.history_id GROUP BY q.history_id, qid, question, answer",
+    numbered=_NUMBERED,
+)
+def dialogue_questions(spark, sf_dir):
+    """Their evidence ids are written with zeros before them, and repaired."""
+    found = files.read_dialogues(spark, _dialogue_file(spark, sf_dir))
+    return found.questions.select("qid", "question", "answer", "qtype", "now").join(found.evidence.select("qid", "turn_id"), "qid")
+
+
+@registered("SELECT count(*)::BIGINT AS evidence_strings, count(*) FILTER (e.seq >= 100)::BIGINT AS exact, count(*) FILTER (e.seq < 100)::BIGINT AS repaired, 0::BIGINT AS unresolvable FROM questions q JOIN turns e ON e.id = q.turn_id")
+def dialogue_audit(spark, sf_dir):
+    return files.evidence_audit(spark, _dialogue_file(spark, sf_dir))
+
+
 # Evaluation and reports
 
 

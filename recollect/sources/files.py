@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.parsing import evidence_ids
 from recollect.functions.temporal import parse_timestamp, parsed
+from recollect.sources.arrays import read_array
 
 FIELDS = ("session", "time", "speaker", "text")
 #: Question types by number, and by name (fixed values).
@@ -35,14 +36,28 @@ def _map(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): every line of the files with its number from 1, blank ones too, in many tasks.
+
+    A file is read in byte ranges. How many lines each has is counted first, one row for each range,
+    and summed up along the file; a line's number is that of its range and its place there.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    counts = raw.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("ahead"))
+    # A row for each range of a file: some millions at 100 TB, and then the join is shuffled.
+    placed = raw.join(counts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return placed.select("file", (F.col("ahead") + F.col("n") - F.col("first") + 1).alias("line"), "value")
+
+
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, problem, session_id, ts, speaker, text) for each line that is not blank.
+    """(file, line, problem, session_id, ts, speaker, text) for each line that is not blank.
 
     problem is null for a line with session (string or whole number), time (ISO 8601), speaker
-    and text (strings). ord grows along a file; it is no line number, which would need the file
-    in one task.
+    and text (strings). line is its number in the file, from 1.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("ord"))
+    raw = numbered_lines(spark, path)
     v = F.try_parse_json("value")
     rows = raw.where(F.trim("value") != "").withColumn("v", v)
     kind = lambda k: F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant"))
@@ -53,25 +68,25 @@ def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     problem = problem.when(~kind("session").isin("STRING", "BIGINT"), "'session' must be a string or a whole number")
     for k in ("time", "speaker", "text"):
         problem = problem.when(kind(k) != "STRING", f"'{k}' must be a string")
-    return rows.select("file", "ord", problem.when(parsed(text("time")).isNull(), "'time' must be ISO 8601").alias("problem"), text("session").alias("session_id"), parsed(text("time")).alias("ts"), text("speaker").alias("speaker"), text("text").alias("text"))
+    return rows.select("file", "line", problem.when(parsed(text("time")).isNull(), "'time' must be ISO 8601").alias("problem"), text("session").alias("session_id"), parsed(text("time")).alias("ts"), text("speaker").alias("speaker"), text("text").alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Turns (id, session_id, session_ts, speaker, text, ts, seq) of a file; a bad line is an error.
+    """Turns (id, session_id, session_ts, speaker, text, ts, seq) of a file; a bad line is an error that names file and line.
 
     The id is a hash of what was said, when and by whom, with a counter for exact repeats, so a
     file can be read again and continued by another. A session starts at its earliest turn.
     """
     lines = jsonl_lines(spark, path)
-    told = F.concat_ws(" ", F.lit("bad line:"), "file", "problem")
+    told = F.concat(F.lit("bad line: "), "file", F.lit(":"), F.col("line").cast("string"), F.lit(": "), "problem")
     rows = lines.withColumn("session_id", F.when(F.col("problem").isNotNull(), F.raise_error(told)).otherwise(F.col("session_id")))
     second = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format("ts", "SSSSSS")
     iso = F.when(micros == "000000", second).otherwise(F.concat(second, F.lit("."), micros))
     rows = rows.withColumn("key", F.concat_ws("|", iso, "speaker", "text"))
-    repeat = F.row_number().over(Window.partitionBy("session_id", "key").orderBy("file", "ord"))
+    repeat = F.row_number().over(Window.partitionBy("session_id", "key").orderBy("file", "line"))
     digest = F.substr(F.sha1(F.concat_ws("|", "key", repeat.cast("string"))), F.lit(1), F.lit(12))
-    order = Window.partitionBy("session_id").orderBy("file", "ord")
+    order = Window.partitionBy("session_id").orderBy("file", "line")
     return rows.select(F.concat_ws(":", "session_id", digest).alias("id"), "session_id", F.min("ts").over(Window.partitionBy("session_id")).alias("session_ts"), "speaker", "text", "ts", (F.row_number().over(order) - 1).alias("seq"))
 
 
@@ -80,7 +95,7 @@ _DIALOGUE = "sample_id string, conversation map<string,string>, qa array<struct<
 
 
 def _dialogue_rows(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(_DIALOGUE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    raw = read_array(spark, path, _DIALOGUE)
     numbers = F.sequence(F.lit(1), F.size(F.map_keys("conversation")) + 1)
     present = lambda n: F.map_contains_key("conversation", F.concat(F.lit("session_"), n.cast("string")))
     last = F.element_at(F.filter(numbers, lambda n: ~present(n)), 1) - 1
@@ -151,7 +166,7 @@ def read_haystacks(spark: SparkSession, path: str) -> Corpus:
     error, and so are lists of different lengths. Flags also tell of sessions after the question
     and of gold sessions without a gold turn. Ids ending in _abs are unanswerable questions.
     """
-    raw = spark.read.schema(_HAYSTACK).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    raw = read_array(spark, path, _HAYSTACK)
     sizes = (F.size("haystack_session_ids") == F.size("haystack_dates")) & (F.size("haystack_dates") == F.size("haystack_sessions"))
     zipped = F.arrays_zip(F.col("haystack_session_ids").alias("sid"), F.col("haystack_dates").alias("date"), F.col("haystack_sessions").alias("turns"))
     checked = F.when(sizes, zipped).otherwise(F.raise_error(F.concat("question_id", F.lit(": lists of sessions differ in length"))).cast("array<struct<sid:string,date:string,turns:array<struct<role:string,content:string,has_answer:boolean>>>>"))

@@ -39,10 +39,27 @@ def test_bad_lines_are_named(spark, tmp_path, line, why):
     path = write(tmp_path, "bad.jsonl", json.dumps(LINES[0]) + "\n" + line + "\n")
     problems = [r.problem for r in files.jsonl_lines(spark, path).where("problem is not null").collect()]
     assert len(problems) == 1 and why in problems[0]
-    with pytest.raises(Exception, match="bad line"):
+    with pytest.raises(Exception, match=r"bad line: \S*bad.jsonl:2: "):
         files.read_jsonl(spark, path).collect()
 
 
+def test_lines_are_numbered_along_many_ranges(spark, tmp_path):
+    """Blank lines count, and lines longer than a range; each file has numbers of its own."""
+    want = {"a": [("x" * (k * 37 % 500) if k % 5 else "") for k in range(200)], "b": ["one"], "c": ["é" * 700, "", "last"]}
+    for name, lines in want.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "301")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for name, lines in want.items():
+        assert sorted((r.line, r.value) for r in rows if r.file.endswith(f"/{name}.jsonl")) == list(enumerate(lines, 1))
+
+
 DIALOGUE = [
     {
         "sample_id": "c1",
