@@ -77,3 +77,23 @@ def scores(index: TimedIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.
     sized = totals_as_of(index.lengths.join(seen.select("history_id", "doc_id").distinct(), ["history_id", "doc_id"], "left_semi"), seen, ["history_id", "doc_id"], "ts", "now", {"dl": F.col("dl")})
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     return met.join(sized, ["history_id", "doc_id", "now"]).groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
+
+
+def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, history_id, doc_id, score) over documents (history_id, doc_id, terms, ts, until) that each hold from ts until before ``until``.
+
+    A query (qid, history_id, terms, now) sees those that hold at its now, and no statistic of others; null is no
+    end. At a time at most one row of a doc_id may hold. What holds is a running sum of beginnings less ends.
+    """
+    asked = queries.select("qid", "history_id", "now", F.explode(F.array_distinct("terms")).alias("term"))
+    held = docs.where("until is null or ts < until").select("history_id", "doc_id", "ts", "until", "terms", F.size("terms").alias("dl"))
+    postings = held.select("history_id", "doc_id", "ts", "until", "dl", F.explode("terms").alias("term")).groupBy("history_id", "doc_id", "ts", "until", "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = kept(postings.join(asked.select("history_id", "term").distinct(), ["history_id", "term"], "left_semi"), "wanted")
+    both_ends = lambda df: df.withColumn("sign", F.lit(1)).unionByName(df.where("until is not null").withColumn("ts", F.col("until")).withColumn("sign", F.lit(-1)))
+    with_df = totals_as_of(both_ends(wanted), asked, ["history_id", "term"], "ts", "now", {"df": F.col("sign")})
+    ends = both_ends(held.select("history_id", "ts", "until", "dl"))
+    corpus = kept(totals_as_of(ends, queries.select("history_id", "now").distinct(), ["history_id"], "ts", "now", {"n": F.col("sign"), "total": F.col("sign") * F.col("dl")}), "corpus")
+    weighed = with_df.where("df > 0").join(corpus, ["history_id", "now"]).select("qid", "history_id", "now", "term", (F.col("total") / F.col("n")).alias("avgdl"), idf(F.col("n"), F.col("df")).alias("idf"))
+    met = weighed.join(wanted, ["history_id", "term"]).where((F.col("ts") <= F.col("now")) & (F.col("until").isNull() | (F.col("now") < F.col("until"))))
+    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    return met.groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))

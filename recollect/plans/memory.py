@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import count_tokens, terms
-from recollect.operators import bm25, facts
+from recollect.operators import bm25, facts, timed
 from recollect.plans import packing, strategies
+from recollect.sources.kept import kept
 
 
 def relevant_facts(held: DataFrame, said: DataFrame, questions: DataFrame, share: float = 0.5, most: int = 20) -> DataFrame:
@@ -27,18 +28,44 @@ def relevant_facts(held: DataFrame, said: DataFrame, questions: DataFrame, share
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def relevant_facts_each(filed: DataFrame, turns: DataFrame, questions: DataFrame, share: float = 0.5, most: int = 20) -> DataFrame:
+    """What ``relevant_facts`` finds, for each question as of its own now.
+
+    A version holds from its time until the key's next one; the words of the turn it came from are its own
+    from that turn's time on, so a version may be two documents, one after the other.
+    """
+    order = Window.partitionBy("subject", "attribute").orderBy("valid_from", "id")
+    versions = filed.select("subject", "attribute", "value", "valid_from", "source_turn", "id").withColumn("until", F.lead("valid_from").over(order)).withColumn("began", F.min("valid_from").over(order))
+    versions = kept(versions.withColumn("doc_id", F.concat_ws("|", "subject", "attribute")).where("until is null or valid_from < until"), "versions")
+    own = versions.join(turns.select(F.col("id").alias("source_turn"), "text", F.col("ts").alias("told")), "source_turn", "left")
+    alone, late = F.concat_ws(" ", "subject", "attribute", "value", F.lit(" ")), F.greatest("valid_from", "told")
+    docs = own.select("doc_id", alone.alias("words"), F.col("valid_from").alias("ts"), F.least("until", F.when(F.col("text").isNotNull(), late)).alias("until"))
+    more = own.where("text is not null").select("doc_id", F.concat_ws(" ", "subject", "attribute", "value", "text").alias("words"), late.alias("ts"), "until")
+    docs = kept(docs.unionByName(more).select(F.lit(0).cast("bigint").alias("history_id"), "doc_id", "ts", "until", terms(F.col("words")).alias("terms")), "facts")
+    asked = kept(questions.select("qid", F.lit(0).cast("bigint").alias("history_id"), "now", terms(F.col("question")).alias("terms")), "asked")
+    found = timed.interval_scores(docs, asked).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= share * F.col("top"))
+    met = found.join(questions.select("qid", "now"), "qid").join(versions.select("doc_id", "subject", "attribute", "value", "valid_from", "until", "began"), "doc_id")
+    met = met.where((F.col("valid_from") <= F.col("now")) & (F.col("until").isNull() | (F.col("now") < F.col("until"))))
+    ranked = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "began", "doc_id")
+    return met.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most)
+
+
 def contexts(turns: DataFrame, filed: DataFrame, questions: DataFrame, now, budget: int, config: strategies.Config = strategies.Config()) -> DataFrame:
-    """(qid, tokens, body): what the store knew at ``now``, for every question.
+    """(qid, tokens, body): what the store knew at ``now``, or with None at each question's own now.
 
     Fact lines take at most half the budget, in order of relevance up to the first that does not
     fit; turns said by then fill the rest. A question that nothing matches has no row.
     """
-    seen = turns.where(F.col("ts") <= now)
-    own = questions.withColumn("now", now)
-    matched = relevant_facts(facts.as_of(filed, now), seen.select(F.col("id").alias("source_turn"), "text"), own)
+    if now is None:
+        seen, own = turns, questions
+        matched = relevant_facts_each(filed, turns, own)
+    else:
+        seen, own = turns.where(F.col("ts") <= now), questions.withColumn("now", now)
+        matched = relevant_facts(facts.as_of(filed, now), seen.select(F.col("id").alias("source_turn"), "text"), own)
+    matched = kept(matched, "matched")
     lines = packing.fact_lines(matched.select("qid", F.col("rank").alias("fact_ord"), facts.rendered().alias("fact")), budget)
     spent = lines.groupBy("qid").agg(F.max("used").cast("int").alias("spent"))
-    shown = packing.packed(strategies.store(seen, own, config), seen, [budget], spent=spent)
+    shown = packing.packed(strategies.store(seen, own, config, visible=now is None), seen, [budget], spent=spent)
     body = packing.rendered(shown).select("qid", "body")
     known = lines.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list(F.struct("fact_ord", "fact"))).getField("fact"), "\n").alias("known"))
     head = F.concat(F.lit(packing.FACTS_HEADER + "\n"), F.col("known"))

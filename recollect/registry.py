@@ -443,6 +443,28 @@ def facts_relevant(spark, sf_dir):
     return memory.relevant_facts(held, said, q).select("qid", "subject", "attribute", r6("score").alias("score"), "rank")
 
 
+_EACH = "'did user_' || user_id || ' click or purchase'"
+
+
+@registered(
+    "SELECT qid, subject, attribute, value, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, doc_id) AS rank FROM (SELECT s.*, h.* EXCLUDE (qid), max(score) OVER (PARTITION BY s.qid) AS top FROM escore s JOIN eheld2 h ON h.k = s.doc_id AND h.qid = s.qid) WHERE score >= 0.5 * top) WHERE rank <= 20",
+    eq=f"SELECT DISTINCT 'q' || user_id AS qid, {_EACH} AS question, TIMESTAMP '2024-01-03' + to_hours((user_id * 7 % 480)::INT) AS now FROM events",
+    eheld="SELECT qid, q.now, subject, attribute, arg_max(value, valid_from) AS value, arg_max(source_turn, valid_from) AS source_turn, min(valid_from) AS first FROM eq q JOIN facts f ON f.valid_from <= q.now GROUP BY ALL",
+    eheld2=f"SELECT h.*, subject || '|' || attribute AS k, {o.terms(chr(40) + 'subject || chr(32) || attribute || chr(32) || value || chr(32) || coalesce(text, chr(32))' + chr(41))} AS ts_ FROM eheld h LEFT JOIN turns t ON t.id = h.source_turn AND t.ts <= h.now",
+    edocs="SELECT qid, 0::BIGINT AS history_id, k AS doc_id, ts_ FROM eheld2",
+    qterms=f"SELECT DISTINCT 'q' || user_id AS qid, 0::BIGINT AS history_id, unnest({o.terms(chr(40) + _EACH + chr(41))}) AS term FROM events",
+    escore=o.bm25_by_question("edocs"),
+)
+def facts_relevant_each(spark, sf_dir):
+    """The facts relevant to a question about each user, as of a time of its own."""
+    asked = tables.table(spark, sf_dir, "events").select("user_id").distinct()
+    name = F.col("user_id").cast("string")
+    now = F.lit("2024-01-03").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("user_id") * 7 % 480).cast("int"))
+    q = asked.select(F.concat(F.lit("q"), name).alias("qid"), F.concat(F.lit("did user_"), name, F.lit(" click or purchase")).alias("question"), now.alias("now"))
+    found = memory.relevant_facts_each(facts.filed_in_order(tables.facts(spark, sf_dir)), tables.turns(spark, sf_dir), q)
+    return found.select("qid", "subject", "attribute", "value", r6("score").alias("score"), "rank")
+
+
 @registered()
 def store_context(spark, sf_dir):
     turns, questions = both(spark, sf_dir)

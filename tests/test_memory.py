@@ -26,6 +26,23 @@ def test_context_shows_facts_first_and_fits(spark):
     assert count_tokens is not None
 
 
+def test_each_question_has_the_context_of_its_own_time(spark):
+    """Facts and turns: as with one time for all, question by question."""
+    t = turns(spark, HISTORY)
+    arrivals = spark.createDataFrame(
+        [(1, "user", "city", "Porto", "2024-01-01", None), (2, "user", "city", "Lisbon", "2024-03-05", "s2:0"), (3, "user", "pet", "Biscuit", "2024-01-10", "s1:0"), (4, "user", "city", "Faro", "2024-06-01", "s3:0"), (5, "cat", "city", "Faro", "2024-06-01", None)],
+        "id bigint, subject string, attribute string, value string, d string, source_turn string",
+    )
+    filed = facts.filed(arrivals.withColumn("valid_from", F.col("d").cast("timestamp_ntz")).drop("d"))
+    days = ("2023-12-01", "2024-03-05", "2024-06-10")
+    q = questions(spark, [(f"q{k}", "t", "which city did we move to, Lisbon or Porto, with Biscuit the user's pet?", "", f"{day} 12:00") for k, day in enumerate(days)])
+    found = got(memory.contexts(t, filed, q, None, 200), "qid", "tokens", "body")
+    want = []
+    for k, day in enumerate(days):
+        want += got(memory.contexts(t, filed, q.where(F.col("qid") == f"q{k}"), F.lit(f"{day} 12:00").cast("timestamp_ntz"), 200), "qid", "tokens", "body")
+    assert found == sorted(want, key=str) and len(found) == 2
+
+
 def test_replies_are_asked_once_and_parsed(spark):
     prompts = spark.createDataFrame([("a", "one fact"), ("b", "one fact"), ("c", "known")], "id string, prompt string")
     known = prompts.where("id = 'c'").select(model.key("m", F.col("prompt")).alias("key"), F.lit("cached").alias("reply"))
