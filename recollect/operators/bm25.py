@@ -46,30 +46,6 @@ def scores(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -
     return met.groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
-def strong_scores(index: Index, queries: DataFrame, share: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The scores of ``scores`` that may reach ``share`` of their query's best one, and all that do.
-
-    A query's best score is at least the largest weight that any of its terms has in a document.
-    Terms whose largest weights, from the least on, sum to less than ``share`` of that cannot make
-    a document strong by themselves: only documents with one of the other terms are scored. So a
-    term that every document has brings no pair of query and document about.
-    """
-    asked = queries.select("qid", "history_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = index.postings.join(asked.select("history_id", "term").distinct(), ["history_id", "term"], "left_semi")
-    df = wanted.groupBy("history_id", "term").agg(F.count("*").alias("df"))
-    known = df.join(index.corpus, "history_id").select("history_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    weights = wanted.join(known, ["history_id", "term"]).join(index.lengths, ["history_id", "doc_id"]).select("history_id", "doc_id", "term", weight.alias("w"))
-    tops = weights.groupBy("history_id", "term").agg(F.max("w").alias("top"))
-    up_to = Window.partitionBy("qid").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bound = asked.join(tops, ["history_id", "term"]).withColumn("sum", F.sum("top").over(up_to)).withColumn("best", F.max("top").over(Window.partitionBy("qid")))
-    telling = bound.where(F.col("sum") >= share * F.col("best") * (1 - 1e-9)).select("qid", "history_id", "term")
-    pairs = telling.join(weights, ["history_id", "term"]).select("qid", "history_id", "doc_id").distinct()
-    met = pairs.join(asked, ["qid", "history_id"]).join(weights, ["history_id", "doc_id", "term"])
-    return met.groupBy("qid", "history_id", "doc_id").agg(F.sum("w").alias("score"))
-
-
 def ranked(scored: DataFrame, place: str = "doc_id", k: int | None = None, score: str = "score") -> DataFrame:
     """The rows with ``rank`` from 1 by falling score, ties by ``place``; the first k, if given."""
     order = Window.partitionBy("qid").orderBy(F.round(score, 12).desc(), F.col(place))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import count_tokens, terms
-from recollect.operators import bm25, facts, timed
+from recollect.operators import bounded, facts, timed
 from recollect.plans import packing, strategies
 from recollect.sources.kept import kept
 
@@ -19,10 +19,11 @@ def relevant_facts(held: DataFrame, said: DataFrame, questions: DataFrame, share
     keys' first versions began. Facts and questions are those of one store, one history to the
     index; facts that share only common terms with a question are never scored for it. The result has (qid, subject, attribute, value, valid_from, score, rank).
     """
-    own = held.join(said, "source_turn", "left").withColumn("doc_id", F.concat_ws("|", "subject", "attribute"))
-    docs = own.select(F.lit(0).cast("bigint").alias("history_id"), "doc_id", terms(F.concat_ws(" ", "subject", "attribute", "value", F.coalesce("text", F.lit(" ")))).alias("terms"))
-    asked = questions.select("qid", F.lit(0).cast("bigint").alias("history_id"), terms(F.col("question")).alias("terms"))
-    found = bm25.strong_scores(bm25.build(docs), asked, share).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= share * F.col("top"))
+    own = kept(held.join(said, "source_turn", "left").withColumn("doc_id", F.concat_ws("|", "subject", "attribute")), "held")
+    docs = kept(own.select(F.lit(0).cast("bigint").alias("history_id"), "doc_id", terms(F.concat_ws(" ", "subject", "attribute", "value", F.coalesce("text", F.lit(" ")))).alias("terms")), "facts")
+    asked = kept(questions.select("qid", F.lit(0).cast("bigint").alias("history_id"), terms(F.col("question")).alias("terms")), "asked")
+    index = bounded.build(docs, bounded.distinct_terms(asked))
+    found = bounded.strong(index, asked, share, most).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= share * F.col("top"))
     met = found.join(own.select("doc_id", "subject", "attribute", "value", "valid_from", F.col("first.valid_from").alias("began")), "doc_id")
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "began", "doc_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
