@@ -64,15 +64,20 @@ def uninflected(word: Column) -> Column:
     return out.otherwise(pair(word, ""))
 
 
+def _may_change(word: Column) -> Column:
+    """Whether a word is long enough and ends in a letter that any of the rules looks for; most words do not."""
+    return (F.length(word) > LEAST) & F.right(word, F.lit(1)).isin("d", "e", "g", "s", "y")
+
+
 def stems(words: Column) -> Column:
     """The stem of each word of an array; short words and numbers are left alone."""
-    single = F.transform(words, lambda w: F.struct(w.alias("word"), singular(w).alias("one")))
-    rooted = F.transform(single, lambda s: F.struct(s["word"].alias("word"), uninflected(s["one"]).alias("u")))
+    single = F.transform(words, lambda w: F.struct(w.alias("word"), F.when(_may_change(w), singular(w)).alias("one")))
+    rooted = F.transform(single, lambda s: F.struct(s["word"].alias("word"), F.when(s["one"].isNotNull(), uninflected(s["one"])).alias("u")))
 
     def last(s: Column) -> Column:
         root = s["u"]["root"]
         bare = F.when(~F.startswith(s["u"]["suffix"], F.lit("ed")) & _ends(root, "e") & (F.length(root) > LEAST), _cut(root, 1)).otherwise(root)
-        return F.when((F.length(s["word"]) <= LEAST) | s["word"].rlike("^[0-9]+$"), s["word"]).otherwise(bare)
+        return F.when(s["u"].isNull() | s["word"].rlike("^[0-9]+$"), s["word"]).otherwise(bare)
 
     return F.transform(rooted, last)
 
