@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +66,34 @@ def older_than(now: Column, days: float) -> Column:
     return F.col("ts") < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400.0).cast("decimal(18,6)"))
 
 
+def predicate(drops: Callable[[object], bool], *columns: str) -> Column:
+    """A policy of one's own: whether ``drops`` says so of a turn, a named tuple of the columns given.
+
+    It runs in the executors on batches of rows, with the columns named and no others.
+    """
+
+    @F.pandas_udf("boolean")
+    def batch(turns: pd.DataFrame) -> pd.Series:
+        return pd.Series([bool(drops(t)) for t in turns.itertuples(index=False, name="Turn")], index=turns.index)
+
+    return batch(F.struct(*columns))
+
+
+#: Policies that callers have named: from now to what is dropped.
+_OWN: dict[str, Callable[[Column], Column]] = {}
+
+
+def name_policy(name: str, drop: Callable[[Column], Column]) -> None:
+    """Lets ``policy`` know a policy by a name of one's own; a known name cannot be taken."""
+    if ":" in name or name in ("none", "phatic", "role", "older-than", "truncate"):
+        raise ValueError(f"{name!r} cannot be the name of a policy")
+    _OWN[name] = drop
+
+
 def policy(spec: str, now: Column) -> tuple[Column | None, int | None]:
-    """(what to drop, tokens to cut to) of ``phatic[:N]``, ``role:NAME``, ``older-than:DAYS``, ``truncate:N``."""
+    """(what to drop, tokens to cut to) of ``phatic[:N]``, ``role:NAME``, ``older-than:DAYS``, ``truncate:N``, or a name of one's own."""
+    if spec in _OWN:
+        return _OWN[spec](now), None
     name, _, arg = spec.partition(":")
     try:
         if name == "phatic":

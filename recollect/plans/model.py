@@ -6,10 +6,11 @@ batches, so it must be picklable; nothing here opens a connection.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.parsing import extracted_facts, verdict
@@ -50,7 +51,7 @@ def replies(prompts: DataFrame, cache: DataFrame, model: Model, name: str, optio
     """(prompts with ``reply``, new cache rows). ``prompts`` has a column ``prompt``, ``cache`` (key, reply).
 
     Each distinct prompt that the cache lacks is sent once. Write the new rows to the cache before
-    reading the replies twice, or the model is asked again.
+    reading the replies twice, or the model is asked again; ``Cache`` does so.
     """
     return _answered(prompts, "prompt", cache, "reply string", model, name, options, batch)
 
@@ -75,6 +76,45 @@ def _answered(rows: DataFrame, asked: str, cache: DataFrame, column: str, model:
     return keyed.join(cache.select("key", answer).unionByName(new), "key").drop("key"), new
 
 
+class Cache:
+    """Answers in a shared folder, of ``column`` ("reply string" or "vector array<double>"); each prompt is asked once.
+
+    A call asks the model for what is missing and writes that as one batch, before anything reads it; a batch counts
+    once its job has committed. What a failed job left behind is not read, and its prompts are asked again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, column: str = "reply string"):
+        self.spark, self.folder, self.column = spark, folder, column
+
+    def _batches(self) -> list:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def rows(self) -> DataFrame:
+        """(key, answer): one row for each key, also where two callers asked at the same time."""
+        schema, paths = f"key string, {self.column}", [p.toString() for p in self._batches()]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        answer = self.column.split()[0]
+        return self.spark.read.schema(schema).parquet(*paths).groupBy("key").agg(F.min(answer).alias(answer))
+
+    def answered(self, rows: DataFrame, asked: str, model: Callable, name: str, options: str = "", batch: int = 64) -> DataFrame:
+        """The rows with the answer to their column ``asked``; reading them again asks nothing."""
+        _, new = _answered(rows, asked, self.rows(), self.column, model, name, options, batch)
+        new.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.folder}/{uuid.uuid4().hex}")
+        return rows.withColumn("key", key(name, F.col(asked), options)).join(self.rows(), "key").drop("key")
+
+    def merged(self) -> None:
+        """Writes the batches as one, then removes them, while nothing else reads the folder; lost between the two, no answer is missing."""
+        old = self._batches()
+        if len(old) > 1:
+            self.rows().write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
+            for path in old:
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def extracted(sessions: DataFrame) -> DataFrame:
     """Arrivals of facts from replies: ``sessions`` has (reply, turn_ids, valid_from)."""
     found = sessions.select("turn_ids", "valid_from", F.explode(extracted_facts(F.col("reply"), F.size("turn_ids"))).alias("f"))

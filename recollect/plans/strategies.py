@@ -9,6 +9,7 @@ history; ``packing.packed_prefix`` packs them without a row for each.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -267,3 +268,33 @@ def fused(sparse: DataFrame, dense_: DataFrame, k: int = RRF_K) -> DataFrame:
 def hybrid(turns: DataFrame, questions: DataFrame, vectors: DataFrame, queries: DataFrame, config: Config = Config()) -> DataFrame:
     units = _units(fused(store_scores(turns, questions, config), dense_scores(vectors, queries)), "hybrid")
     return with_neighbours(units, turns, config.neighbours)
+
+
+#: What a plan has for each turn wanted.
+PLAN = ("qid", "history_id", "strategy", "unit_ord", "turn_ord", "turn_id")
+#: Strategies by name: functions of turns and questions.
+_NAMED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    f.__name__: f for f in (full_head, sliding_window, bm25_turns, bm25_sessions, recency_bm25, store)
+} | {"random": random_turns}
+
+
+def name_strategy(name: str, plan: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Lets ``planned`` know a strategy of one's own, which returns (qid, unit_ord, turn_ord, turn_id)."""
+    _NAMED[name] = plan
+
+
+def planned(names: list[str], turns: DataFrame, questions: DataFrame) -> DataFrame:
+    """The plans of the named strategies, one below the other, for packing and evaluation."""
+    unknown = [n for n in names if n not in _NAMED]
+    if unknown or not names:
+        raise ValueError(f"unknown strategies {unknown}; known are {sorted(_NAMED)}")
+    out = None
+    for name in names:
+        plan = _NAMED[name](turns, questions)
+        missing = {"qid", "unit_ord", "turn_ord", "turn_id"} - set(plan.columns)
+        if missing:
+            raise ValueError(f"the plan of {name!r} has no {sorted(missing)}")
+        own = plan.select("qid", F.col("unit_ord").cast("int").alias("unit_ord"), F.col("turn_ord").cast("int").alias("turn_ord"), "turn_id")
+        own = own.join(questions.select("qid", "history_id"), "qid").withColumn("strategy", F.lit(name)).select(*PLAN)
+        out = own if out is None else out.unionByName(own)
+    return out

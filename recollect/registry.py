@@ -813,21 +813,23 @@ _STUDY = {
 }
 
 
-def study_rows(spark, sf_dir) -> DataFrame:
+def study_rows(spark, sf_dir, policies: tuple[str, ...] | None = None) -> DataFrame:
     """For each question and policy: what is kept of the history, the evidence and the answer, and
     whether the first five hits hold the evidence.
 
     A policy's turns are histories of their own, so all policies share one index and one search.
+    ``policies``: names that ``store.policy`` knows, and none.
     """
+    policies = policies or POLICIES
     turns, questions = both(spark, sf_dir)
     now = turns.join(questions.select("history_id", "now").distinct(), "history_id")
-    parts = [store.applied(now, *((None, None) if p == "none" else store.policy(p, F.col("now")))).withColumn("policy", F.lit(p)) for p in POLICIES]
+    parts = [store.applied(now, *((None, None) if p == "none" else store.policy(p, F.col("now")))).withColumn("policy", F.lit(p)) for p in policies]
     kept = parts[0]
     for part in parts[1:]:
         kept = kept.unionByName(part)
     kept = kept.drop("now")
     whose = F.concat(F.col("policy"), F.lit("|"), F.col("history_id").cast("string"))
-    asked = questions.select("*", F.explode(F.array(*map(F.lit, POLICIES))).alias("policy")).withColumn("asked", F.col("qid")).withColumn("qid", F.concat("policy", F.lit(":"), "qid"))
+    asked = questions.select("*", F.explode(F.array(*map(F.lit, policies))).alias("policy")).withColumn("asked", F.col("qid")).withColumn("qid", F.concat("policy", F.lit(":"), "qid"))
     hits = bm25.ranked(strategies.turn_scores(kept.withColumn("history_id", whose), asked.withColumn("history_id", whose)), "position", 5).select("qid", F.col("id").alias("turn_id"), F.lit(1.0).alias("hit"))
     cost = F.sum(text.count_tokens(F.col("text")))
     share = kept.groupBy("policy", "history_id").agg(cost.alias("t")).join(turns.groupBy("history_id").agg(cost.alias("all")), "history_id").select("policy", "history_id", (F.col("t") / F.col("all")).alias("tokens_kept"))
