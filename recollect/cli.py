@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.temporal import parse_timestamp
@@ -21,27 +22,69 @@ TABLES = {
 }
 
 
+#: Into how many buckets of sessions the turns of a new memory are dealt.
+BUCKETS = 64
+
+
+def bucket(n: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(n)).cast("int")
+
+
 class Memory:
-    """The tables of a folder. A write makes a new version of a table and then names it current."""
+    """The tables of a folder. A write makes new files and then names what is current, in one step for each table.
+
+    Turns lie in buckets of sessions. What changes turns writes the buckets that it touches again, and no others:
+    a policy or a purge of one session costs a bucket, whatever the memory holds.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, Path(folder)
 
-    def read(self, name: str) -> DataFrame:
+    def parts(self, name: str) -> dict[int | None, str]:
+        """The current folders of a table by bucket; one that is not in buckets has the bucket None."""
         current = self.folder / f"{name}.current"
-        if not current.exists():
+        paths = current.read_text().split() if current.exists() else []
+        return {int(p.rpartition("bucket=")[2]) if "bucket=" in p else None: p for p in paths}
+
+    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """The table, or those buckets of it."""
+        paths = [p for k, p in self.parts(name).items() if buckets is None or k is None or k in buckets]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / current.read_text()))
+        return self.spark.read.schema(TABLES[name]).parquet(*[str(self.folder / p) for p in paths])
+
+    def _name(self, name: str, paths: list[str]) -> None:
+        fresh = self.folder / f"{name}.{uuid.uuid4().hex}"
+        fresh.write_text("\n".join(paths))
+        fresh.replace(self.folder / f"{name}.current")
 
     def write(self, **frames: DataFrame) -> None:
         self.folder.mkdir(parents=True, exist_ok=True)
-        made = {}
+        made = {name: f"{name}-{uuid.uuid4().hex}" for name in frames}
         for name, df in frames.items():
-            number = 1 + max([0, *(int(p.name.rpartition("-")[2]) for p in self.folder.glob(f"{name}-*"))])
-            made[name] = f"{name}-{number}"
             df.write.parquet(str(self.folder / made[name]))
         for name, version in made.items():
-            (self.folder / f"{name}.current").write_text(version)
+            self._name(name, [version])
+
+    def touched(self, changed: DataFrame) -> set[int]:
+        """The buckets of rows that change; at most BUCKETS numbers come to the driver."""
+        return {r.bucket for r in changed.select(bucket().alias("bucket")).distinct().collect()}
+
+    def write_turns(self, turns: DataFrame, touched: set[int]) -> None:
+        """Writes the touched buckets of ``turns`` and names them current beside the others, in one step.
+
+        A table that is not in buckets yet is written whole. A bucket without turns is named no more.
+        """
+        self.folder.mkdir(parents=True, exist_ok=True)
+        before, version = self.parts("turns"), f"turns-{uuid.uuid4().hex}"
+        whole = None in before
+        if not (touched or whole):
+            return
+        dealt = turns.withColumn("bucket", bucket())
+        mine = dealt if whole else dealt.where(F.col("bucket").isin(*touched))
+        mine.repartition("bucket").write.partitionBy("bucket").parquet(str(self.folder / version))
+        fresh = [f"{version}/{p.name}" for p in sorted((self.folder / version).glob("bucket=*"))]
+        self._name("turns", ([] if whole else [p for k, p in before.items() if k not in touched]) + fresh)
 
     def history(self) -> DataFrame:
         starts = self.read("sessions").select(F.col("id").alias("session_id"), F.col("started_at").alias("session_ts"))
@@ -82,7 +125,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             batch = number.select(F.lit(0).alias("input_ord"), F.lit(0).alias("session_ord"), F.concat(F.lit(a.session), F.lit(":"), F.col("n").cast("string")).alias("id"), F.lit(a.session).alias("session_id"), now.alias("session_ts"), F.lit(a.speaker).alias("speaker"), F.lit(a.text).alias("text"), now.alias("ts"))
         turns, sessions, counts = store.ingested(m.read("turns"), m.read("sessions"), batch)
         said = counts.first()
-        m.write(turns=turns, sessions=sessions)
+        m.write_turns(turns, m.touched(turns.join(m.read("turns").select("id"), "id", "left_anti")))
+        m.write(sessions=sessions)
         print(f"{said.added} added, {said.already_stored} already stored, {said.empty} empty")
     elif a.command == "remember":
         known = m.read("facts")
@@ -107,17 +151,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         drop, most = store.policy(a.policy, now)
         before = m.read("turns")
         if most is None:
-            after = store.forgotten(before, drop, now)
-            print(store.live(before).count() - store.live(after).count(), "forgotten")
+            hit = store.live(before).where(F.coalesce(drop, F.lit(False)))
+            print(hit.count(), "forgotten")
+            touched = m.touched(hit)
+            m.write_turns(store.forgotten(m.read("turns", touched), drop, now), touched)
         else:
-            after = store.compacted(before, most)
-            print(after.where("changed").count(), "cut")
-        m.write(turns=after.drop("changed"))
+            cut = store.compacted(before, most).where("changed")
+            print(cut.count(), "cut")
+            touched = m.touched(cut)
+            m.write_turns(store.compacted(m.read("turns", touched), most).drop("changed"), touched)
     elif a.command == "purge":
-        before = m.read("turns")
-        after, cleared = store.purged(before, m.read("facts"))
-        print(before.count() - after.count(), "purged")
-        m.write(turns=after, facts=cleared.select("id", "subject", "attribute", "value", "valid_from", "source_turn"))
+        gone = m.read("turns").where("forgotten_at is not null")
+        print(gone.count(), "purged")
+        touched = m.touched(gone)
+        if touched:
+            kept, cleared = store.purged(m.read("turns", touched), m.read("facts"))
+            m.write(facts=cleared.select("id", "subject", "attribute", "value", "valid_from", "source_turn"))
+            m.write_turns(kept, touched)
     else:
         found = store.stats(m.read("turns"), m.read("sessions"), facts.chained(m.read("facts"))).first()
         for k, v in found.asDict().items():
