@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import SPACE, Forest, arrow_rows, components, lower_ascii, row_hashes, split_words, table_copy, whole_rows
-from recollect.llm.simhash import BLOCK, CHUNK_SHINGLES, dealt, levels, shingle_hashes, trie_pairs
+from recollect.llm.simhash import BLOCK, CHUNK_SHINGLES, levels, shingle_hashes, trie_pairs
 
 #: 64-bit words of a fingerprint.
 WORDS = 4
@@ -22,6 +22,9 @@ MAYBE, SHORT_SHARE = 3.7, 0.1875
 #: Members of a block, and shingles of a block (8 bytes each); a task compares two blocks of a
 #: group, by so many columns of their sets at once.
 MEMBERS, SHINGLES, COLUMNS = 64, 1 << 20, 1 << 13
+#: The number of fingerprints that segments are made for, whatever an input holds: what is found of a
+#: pair does not depend on the other documents.
+DESIGNED = 1 << 21
 #: Documents whose hashes go to Python at once, some 8 bytes a word.
 BATCH = 1000
 #: Up to this many row keys (some 50 MB) are broadcast.
@@ -86,42 +89,53 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
 def candidate_links(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the rows (rep, n, f0..) as all pairs worth a look would.
 
-    Each segment of the fingerprints is a trie. Pairs that it brings together are worth a look if
-    their whole fingerprints and their sizes allow the similarity. A task returns a spanning
-    forest of its pairs, so a large group gives some edges a member and never its pairs.
+    Each segment of the fingerprints is a trie. Two that differ in as many of a segment's bits as may
+    differ are equal in one of its bytes, which are one more: rows meet by the first bits of each byte, so a
+    row is sent once for each byte of a segment. Pairs that a segment brings together are worth a
+    look if their whole fingerprints and their sizes allow the similarity. A task returns a spanning
+    forest of its pairs, hung on the least rep, so a large group gives some edges a member, mostly
+    the same ones in all segments, and never its pairs.
     """
     far, far_short = limits(similarity)
-    total = classes.count()
-    wide, budget, step = segments(total)
-    depth = levels(total, block)
+    wide, budget, step = segments(DESIGNED)
+    if wide // 8 <= budget:
+        raise ValueError(f"{budget} bits of {wide} may differ, which leaves no byte equal")
+    depth = min(8, levels(classes.count(), block))
     starts = [*range(0, 64 * WORDS, step), *(range(8, 64 * WORDS, 16) if step == 16 else ())]
-    byte = [F.shiftrightunsigned(F.col(_COLUMNS[k // 8]), 8 * (k % 8)).bitwiseAND(F.lit(255)) for k in range(8 * WORDS)]
+    octets_ = [F.shiftrightunsigned(F.col(_COLUMNS[k // 8]), 8 * (k % 8)).bitwiseAND(F.lit(255)) for k in range(8 * WORDS)]
 
-    def segment(start: int):
-        parts = [F.shiftleft(byte[(start // 8 + k) % len(byte)], 8 * k) for k in range(wide // 8)]
-        value = parts[0]
-        for p in parts[1:]:
-            value = value.bitwiseOR(p)
-        return value if start % step == 0 else F.when(F.col("n") <= SHORT, value)
+    def first_bits(start: int, part: int):
+        cell = F.shiftright(octets_[(start // 8 + part) % len(octets_)], 8 - depth)
+        return cell if start % step == 0 else F.when(F.col("n") <= SHORT, cell)
 
-    celled = classes.select("rep", "n", *_COLUMNS, F.posexplode(F.array(*[segment(s) for s in starts])).alias("trie", "segment")).where("segment is not null")
-    celled = celled.select("trie", F.shiftright("segment", wide - depth).alias("cell"), "rep", "n", *_COLUMNS)
+    slots = [(start, part) for start in starts for part in range(wide // 8)]
+    celled = classes.select("rep", "n", *_COLUMNS, F.posexplode(F.array(*[first_bits(*x) for x in slots])).alias("slot", "cell")).where("cell is not null")
+    # At most 256 cells of a slot, whatever the input holds.
+    blocks = celled.groupBy("slot", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = celled.join(F.broadcast(blocks), ["slot", "cell"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("slot", "cell", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), (F.col("b") > F.col("other")).cast("tinyint").alias("side"), "rep", "n", *_COLUMNS)
 
     def unit(rows: pd.DataFrame) -> pd.DataFrame:
-        start = starts[int(rows["trie"].iloc[0])]
+        (start, part), rows = slots[int(rows["slot"].iloc[0])], rows.sort_values("rep", kind="stable")
         words = np.ascontiguousarray(rows[_COLUMNS].to_numpy("<i8")).view(np.uint64)
         octets = words.view(np.uint8)
         top = np.zeros(len(rows), np.uint64)
         for k in range(wide // 8):
             top |= octets[:, (start // 8 + k) % octets.shape[1]].astype(np.uint64) << np.uint64(64 - wide + 8 * k)
+        # Pairs that share a cell of an earlier byte meet there.
+        earlier = [octets[:, (start // 8 + k) % octets.shape[1]] >> (8 - depth) for k in range(part)]
         rep, n, side = rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["side"].to_numpy()
         order = np.argsort(top, kind="stable")
         left, right = order[side[order] == 0], order[side[order] == 1]
-        alone = not len(right)
+        # Not by the sides: a block may be empty.
+        alone = bool(rows["i"].iloc[0] == rows["j"].iloc[0])
         right = left if alone else right
         forest = Forest(len(rows))
         for i, j in trie_pairs(top[left], top[right], budget, alone, wide):
             a, b = left[i], right[j]
+            for cell in earlier:
+                a, b = a[new := cell[a] != cell[b]], b[new]
             able = (forest.root[a] != forest.root[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
             a, b = a[able], b[able]
             near = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= np.where(np.minimum(n[a], n[b]) <= SHORT, far_short, far)
@@ -129,7 +143,7 @@ def candidate_links(classes: DataFrame, similarity: float, block: int = BLOCK) -
         child, root = forest.edges()
         return pd.DataFrame({"a": rep[child], "b": rep[root]})
 
-    return dealt(celled, "rep", depth, budget, block).groupBy("trie", "cell", "other", "i", "j").applyInPandas(unit, "a bigint, b bigint")
+    return met.groupBy("slot", "cell", "i", "j").applyInPandas(unit, "a bigint, b bigint")
 
 
 def shared_sizes(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:

@@ -104,6 +104,20 @@ def test_long_segments_find_the_same_groups(spark, monkeypatch):
     assert similar.segments(1 << 21) == (16, 1, 16) and similar.segments((1 << 21) + 1) == (24, 2, 8)
 
 
+def test_segments_are_the_same_for_any_number_of_documents(spark, monkeypatch):
+    asked, before = [], similar.segments
+    monkeypatch.setattr(similar, "segments", lambda total: asked.append(total) or before(total))
+    for texts in (["one text"], corpus(1, 3)):
+        similar.candidate_links(classes_of(docs(spark, texts)), 0.8)
+    assert len(asked) == 2 and asked[0] == asked[1]
+
+
+def test_a_group_of_near_copies_gives_few_edges_a_member(spark):
+    base = [f"w{k}" for k in range(500)]
+    texts = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(0, 500, 2)]
+    assert similar.candidate_links(classes_of(docs(spark, texts)), 0.8).distinct().count() < 8 * len(texts)
+
+
 def test_shared_sizes_and_links_against_sets(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [rng.choice(60, rng.integers(0, 40), replace=False) for _ in range(30)]
