@@ -95,8 +95,9 @@ def candidates(index: BlockIndex, asked: DataFrame, floor: DataFrame) -> DataFra
 
 
 def _scored(index: BlockIndex, asked: DataFrame, floor: DataFrame) -> DataFrame:
+    """Weights are added up as decimals, whose sum no order changes: documents of equal weights tie, wherever their rows meet."""
     met = candidates(index, asked, floor).join(asked, ["qid", "history_id"]).join(index.weights, ["history_id", "block", "doc_id", "term"])
-    return met.groupBy("qid", "history_id", "doc_id").agg(F.sum("w").alias("score"))
+    return met.groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("w").cast("decimal(30,18)")).cast("double").alias("score"))
 
 
 def best(index: BlockIndex, queries: DataFrame, k: int) -> DataFrame:

@@ -79,3 +79,13 @@ def test_an_empty_corpus_has_no_hits(spark):
 def test_values_out_of_range_are_refused(spark, call):
     with pytest.raises(ValueError):
         call(spark.createDataFrame([(0, "d", "0", ["a"])], DOCS), spark.createDataFrame([("q", 0, ["a"])], ASKED))
+
+
+def test_documents_of_equal_weights_tie_in_any_order_of_their_terms(spark):
+    values = [0.1, 0.2, 0.3, 0.7, 1.1]
+    rows = [(0, "b", d, f"t{k}", values[(k * (1 + d % 4) + d) % 5]) for d in range(60) for k in range(5)]
+    weights = spark.createDataFrame(rows, "history_id bigint, block string, doc_id bigint, term string, w double")
+    index = bounded.BlockIndex(weights, weights.groupBy("history_id", "block", "term").agg(F.max("w").alias("top")))
+    asked = spark.createDataFrame([("q", 0, [f"t{k}" for k in range(5)])], "qid string, history_id bigint, terms array<string>")
+    found = bounded.best(index, asked, 60).collect()
+    assert len(found) == 60 and {r.score for r in found} == {2.4}
