@@ -16,6 +16,9 @@ BLOCK = 2048
 #: Width of a cell of a projection on a standard normal direction, the probability with which a
 #: pair at the limit shares a cell of some table, and the blocks from which on tables save work.
 CELL, SHARED, BLOCKS = 1.5, 0.9995, 8
+#: Vectors of a label that cells and tables are made for, whatever an input holds: whether a pair is
+#: found does not depend on the other vectors, nor on the size of blocks.
+DEALT = 1 << 15
 
 
 def calibrated(cosine: float, recall: float, projections: int, half_width: float) -> tuple[float, int]:
@@ -117,9 +120,10 @@ def near_vectors(
     Vectors are compared when their labels are equal and not null. They link at a cosine of at
     least ``cosine``, computed in double precision for every pair that enough projections bring
     together; a pair at the limit is brought together with the probability ``recall``. A label of
-    more than BLOCKS blocks is first dealt into the cells of several tables, each made by a few other
+    whatever size is first dealt into the cells of several tables, each made by a few other
     projections; a pair counts in the first table whose cell it shares, and one at the limit
-    shares none with the probability 1 - SHARED. A crowded cell is dealt into blocks.
+    shares none with the probability 1 - SHARED. A crowded cell is dealt into blocks. What is
+    found of a pair depends on its two vectors alone.
 
     Null or zero vectors, and vectors with a null or non-finite component, link with nothing;
     vectors of other lengths are other groups. Equal vectors of a label form one class first, and
@@ -139,16 +143,16 @@ def near_vectors(
     classes = rows.where("class is not null").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = table_copy(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
+    depth, count = tables(DEALT, cosine)
+
     @F.pandas_udf("array<int>")
-    def celled(v: pd.Series, total: pd.Series) -> pd.Series:
+    def celled(v: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(v), index=v.index, dtype=object)
-        for (dim, n), part in v.groupby([v.str.len(), total]):
-            depth, count = tables(int(n), cosine, block)
+        for _, part in v.groupby(v.str.len()):
             out[part.index] = list(cells(unit_rows(part), depth, count, seed))
         return out
 
-    totals = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("total"))
-    placed = classes.withColumn("dim", F.size("v")).join(totals, ["label", "dim"]).select("label", "dim", "rep", "n", "v", celled("v", "total").alias("cells"))
+    placed = classes.select("label", F.size("v").alias("dim"), "rep", "n", "v", celled("v").alias("cells"))
     placed = table_copy(placed, "cells")
     spots = placed.select("label", "dim", "rep", F.posexplode("cells").alias("table", "cell"))
     # A cell with one vector has no pairs.

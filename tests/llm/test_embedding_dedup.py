@@ -115,3 +115,11 @@ def test_vectors_without_an_id_link_like_others(spark):
     want = [(None, 2, 1, False), (1, 2, 1, True), (2, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (None, 0, None, True)]
     for block in (e.BLOCK, 1):
         assert rows(e.near_vectors(df, block=block), "vec_id", "n_links", "component_id", "kept") == sorted(want, key=str)
+
+
+def test_cells_are_the_same_for_any_number_of_vectors_and_any_block(spark, monkeypatch):
+    asked, before = [], e.tables
+    monkeypatch.setattr(e, "tables", lambda *of: asked.append(of) or before(*of))
+    for groups, block in ((2, e.BLOCK), (20, 8)):
+        e.near_vectors(spark.createDataFrame(planted(1, groups), SCHEMA), block=block)
+    assert len(asked) == 2 and asked[0] == asked[1]
