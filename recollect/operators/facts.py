@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.functions.text import fact_key
 
@@ -34,7 +35,7 @@ def filed(arrivals: DataFrame) -> DataFrame:
     """The versions that arrivals leave in any order of valid_from.
 
     Whether an arrival is new depends on those filed before it, so the arrivals of a key that are
-    out of order are taken one by one, in order of id. Keys whose times never fall need no fold:
+    out of order are taken one by one, in order of id; many keys go to Python in a batch, each a row of arrays. Keys whose times never fall need no fold:
     they are filed by ``filed_in_order``'s rule, in a window.
     """
     by_id = Window.partitionBy(*KEY).orderBy("id")
@@ -43,13 +44,24 @@ def filed(arrivals: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("_late", falls).withColumn("_late", F.max("_late").over(Window.partitionBy(*KEY)))
     tidy = keyed.where(~F.col("_late") & (F.col("_before").isNull() | (F.col("_before") != F.col("_same"))))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
+    late = keyed.where("_late").withColumn("_at", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("valid_from")))
+    rest = [c for c in keyed.columns if c != "id"]
+    whole = late.groupBy(*[F.col(c).alias(f"_{c}") for c in KEY]).agg(F.sort_array(F.collect_list(F.struct("id", "_at", *rest))).alias("rows"))
+    of = lambda c: F.transform("rows", lambda x: x[c])
+    new = whole.select(F.arrays_zip("rows", _new(of("_at"), of("id"), of("_same")).alias("new")).alias("met"))
+    late = new.select(F.inline(F.transform(F.filter("met", lambda m: m["new"]), lambda m: m["rows"]))).select(*keyed.columns)
+    return tidy.unionByName(late).drop("_same", "_before", "_late")
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _new(at: pd.Series, number: pd.Series, same: pd.Series) -> pd.Series:
+    """For each key, whether each of its arrivals, in the order in which they came, is a version of its own."""
+
+    def fold(*arrivals) -> list[bool]:
         versions = Versions()
-        return rows[[versions.file(*x) for x in zip(rows["valid_from"], rows["id"], rows["_same"], strict=True)]]
+        return [versions.file(*x) for x in zip(*[c.tolist() for c in arrivals], strict=True)]
 
-    late = keyed.where("_late").groupBy(*KEY).applyInPandas(fold, keyed.schema)
-    return tidy.unionByName(late).drop("_same", "_before", "_late")
+    return pd.Series([fold(*key) for key in zip(at, number, same, strict=True)], index=at.index)
 
 
 class Versions:
