@@ -77,7 +77,7 @@ def floors(index: BlockIndex, asked: DataFrame, k: int) -> DataFrame:
     return scored.groupBy("qid").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k).select("qid", "floor")
 
 
-def _lifting(rows: DataFrame, *by: str) -> DataFrame:
+def lifting(rows: DataFrame, *by: str) -> DataFrame:
     """Of the terms of each group, those that, with all of lesser weight, may reach the floor."""
     up_to = Window.partitionBy(*by).orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("reach", F.sum("top").over(up_to)).where(F.col("reach") >= F.col("floor") * (1 - RELATIVE) - ABSOLUTE)
@@ -87,10 +87,10 @@ def candidates(index: BlockIndex, asked: DataFrame, floor: DataFrame) -> DataFra
     """(qid, history_id, block, doc_id): every document whose score may reach its question's floor."""
     wanted = asked.join(floor, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     largest = index.tops.groupBy("history_id", "term").agg(F.max("top").alias("top"))
-    telling = _lifting(wanted.join(largest, ["history_id", "term"]), "qid").select("qid", "history_id", "term")
+    telling = lifting(wanted.join(largest, ["history_id", "term"]), "qid").select("qid", "history_id", "term")
     blocks = telling.join(index.tops, ["history_id", "term"]).select("qid", "history_id", "block").distinct()
     in_block = blocks.join(wanted, ["qid", "history_id"]).join(index.tops, ["history_id", "block", "term"])
-    lifting = _lifting(in_block, "qid", "block").select("qid", "history_id", "block", "term")
+    lifting = lifting(in_block, "qid", "block").select("qid", "history_id", "block", "term")
     return lifting.join(index.weights, ["history_id", "block", "term"]).select("qid", "history_id", "block", "doc_id").distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.bm25 import idf
+from recollect.operators.bounded import lifting
 from recollect.sources.kept import kept
 
 
@@ -79,12 +80,16 @@ def scores(index: TimedIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.
     return met.join(sized, ["history_id", "doc_id", "now"]).groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
-def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, share: float = 0.0) -> DataFrame:
     """(qid, history_id, doc_id, score) over documents (history_id, doc_id, terms, ts, until) that each hold from ts until before ``until``.
 
     A query (qid, history_id, terms, now) sees those that hold at its now, and no statistic of others; null is no
     end. At a time at most one row of a doc_id may hold. What holds is a running sum of beginnings less ends.
+    ``share`` (from 0 to 1): only scores that may reach that share of their query's best one, and all that do, the best among them; documents
+    that share common terms alone with a query then are not met where a rare one decides.
     """
+    if not 0 <= share <= 1:
+        raise ValueError(f"a share is from 0 to 1, not {share}")
     asked = queries.select("qid", "history_id", "now", F.explode(F.array_distinct("terms")).alias("term"))
     held = docs.where("until is null or ts < until").select("history_id", "doc_id", "ts", "until", "terms", F.size("terms").alias("dl"))
     postings = held.select("history_id", "doc_id", "ts", "until", "dl", F.explode("terms").alias("term")).groupBy("history_id", "doc_id", "ts", "until", "dl", "term").agg(F.count("*").alias("tf"))
@@ -94,6 +99,31 @@ def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: flo
     ends = both_ends(held.select("history_id", "ts", "until", "dl"))
     corpus = kept(totals_as_of(ends, queries.select("history_id", "now").distinct(), ["history_id"], "ts", "now", {"n": F.col("sign"), "total": F.col("sign") * F.col("dl")}), "corpus")
     weighed = with_df.where("df > 0").join(corpus, ["history_id", "now"]).select("qid", "history_id", "now", "term", (F.col("total") / F.col("n")).alias("avgdl"), idf(F.col("n"), F.col("df")).alias("idf"))
-    met = weighed.join(wanted, ["history_id", "term"]).where((F.col("ts") <= F.col("now")) & (F.col("until").isNull() | (F.col("now") < F.col("until"))))
+    holds = (F.col("ts") <= F.col("now")) & (F.col("until").isNull() | (F.col("now") < F.col("until")))
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    return met.groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    if not share:
+        met = weighed.join(wanted, ["history_id", "term"]).where(holds)
+        return met.groupBy("qid", "history_id", "doc_id").agg(F.sum(weight).alias("score"))
+
+    weighed = kept(weighed, "weighed")
+    own = weighed.select("qid", "history_id", "now", "term", "avgdl", "idf")
+
+    def summed(chosen: DataFrame) -> DataFrame:
+        """The whole scores of chosen rows (qid, history_id, doc_id, ts)."""
+        met = chosen.join(own, ["qid", "history_id"]).join(wanted, ["history_id", "doc_id", "ts", "term"])
+        return met.groupBy("qid", "history_id", "doc_id").agg(F.sum(weight).alias("score"))
+
+    def holding(terms: DataFrame) -> DataFrame:
+        """Rows that hold at their query's now and have one of its given terms (qid, history_id, now, term)."""
+        return terms.join(wanted, ["history_id", "term"]).where(holds).select("qid", "history_id", "doc_id", "ts").distinct()
+
+    # What has the query's rarest term is scored first: the best of it is no more than the best of all.
+    rarest = weighed.groupBy("qid", "history_id").agg(F.max_by(F.struct("now", "term"), F.struct("idf", "term")).alias("r")).select("qid", "history_id", "r.*")
+    floor = summed(holding(rarest)).groupBy("qid").agg((F.max("score") * share).alias("floor"))
+    # A term weighs most in the shortest document of each count; terms that together with all of lesser weight stay below the floor bring no document about.
+    shapes = wanted.groupBy("history_id", "term", "tf").agg(F.min("dl").alias("dl")).groupBy("history_id", "term").agg(F.collect_list(F.struct("tf", "dl")).alias("shapes"))
+    most = F.array_max(F.transform("shapes", lambda s: s["tf"] * (k1 + 1) / (s["tf"] + k1 * (1 - b + b * s["dl"] / F.col("avgdl")))))
+    bounds = weighed.join(shapes, ["history_id", "term"]).join(floor, "qid").withColumn("top", F.col("idf") * most)
+    telling = lifting(bounds, "qid").select("qid", "history_id", "now", "term")
+    return summed(holding(telling))

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from helpers import HISTORY, got, questions, turns
 
-from recollect.operators import facts
+from recollect.operators import facts, timed
 from recollect.plans import packing, strategies
 
 
@@ -36,3 +36,20 @@ def test_plans_are_packed_in_batches(spark):
     for row in shown.collect():
         budgets[row.budget] = budgets.get(row.budget, 0) + row.line_tokens + row.header_tokens
     assert set(budgets) == {40, 400} and all(spent <= b for b, spent in budgets.items())
+
+
+def test_strong_interval_scores_leave_out_what_shares_common_words_alone(spark):
+    rows, day = [], datetime(2024, 1, 1)
+    for n in range(60):
+        for k in range(3):
+            rows.append((0, f"d{n}", day + timedelta(days=k * 5), day + timedelta(days=k * 5 + 5) if k < 2 else None, ["user", f"n{n}", "click" if n % 2 else "view", *["x"] * (n % 4)]))
+    docs = spark.createDataFrame(rows, "history_id bigint, doc_id string, ts timestamp_ntz, until timestamp_ntz, terms array<string>")
+    asked = [(f"q{n}", 0, day + timedelta(days=n % 14, hours=3), ["user", f"n{n}", "click"]) for n in range(0, 60, 7)] + [("common", 0, day + timedelta(days=3), ["user", "click", "x"]), ("early", 0, day - timedelta(days=3), ["user"]), ("none", 0, day, ["absent"])]
+    q = spark.createDataFrame(asked, "qid string, history_id bigint, now timestamp_ntz, terms array<string>")
+    every, strong = ({(r.qid, r.doc_id): round(r.score, 9) for r in timed.interval_scores(docs, q, share=s).collect()} for s in (0.0, 0.5))
+    best = {}
+    for (qid, _), score in every.items():
+        best[qid] = max(best.get(qid, 0), score)
+    wanted = {k: v for k, v in every.items() if v >= 0.5 * best[k[0]]}
+    assert wanted.items() <= strong.items() and strong.items() <= every.items()
+    assert sum(q != "common" for q, _ in strong) == sum(q.startswith("q") for q, *_ in asked) < sum(q != "common" for q, _ in every)
