@@ -90,8 +90,8 @@ def candidates(index: BlockIndex, asked: DataFrame, floor: DataFrame) -> DataFra
     telling = lifting(wanted.join(largest, ["history_id", "term"]), "qid").select("qid", "history_id", "term")
     blocks = telling.join(index.tops, ["history_id", "term"]).select("qid", "history_id", "block").distinct()
     in_block = blocks.join(wanted, ["qid", "history_id"]).join(index.tops, ["history_id", "block", "term"])
-    lifting = lifting(in_block, "qid", "block").select("qid", "history_id", "block", "term")
-    return lifting.join(index.weights, ["history_id", "block", "term"]).select("qid", "history_id", "block", "doc_id").distinct()
+    able = lifting(in_block, "qid", "block").select("qid", "history_id", "block", "term")
+    return able.join(index.weights, ["history_id", "block", "term"]).select("qid", "history_id", "block", "doc_id").distinct()
 
 
 def _scored(index: BlockIndex, asked: DataFrame, floor: DataFrame) -> DataFrame:
