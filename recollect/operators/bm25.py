@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.sources.kept import kept
+
 
 @dataclass(frozen=True)
 class Index:
@@ -32,12 +34,13 @@ def scores(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -
 
     ``queries`` has (qid, history_id, terms); a repeated term counts once. Documents that are
     not returned score zero. The postings are narrowed to the queries' terms before they are
-    counted, so a term no question asks for costs no shuffle of its postings.
+    counted, so a term no question asks for costs no shuffle of its postings; what is left is written
+    once, for it is read to count documents and again to score them.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError(f"BM25 takes k1 >= 0 and b from 0 to 1, not {k1} and {b}")
     asked = queries.select("qid", "history_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = index.postings.join(asked.select("history_id", "term").distinct(), ["history_id", "term"], "left_semi")
+    wanted = kept(index.postings.join(asked.select("history_id", "term").distinct(), ["history_id", "term"], "left_semi"), "wanted")
     df = wanted.groupBy("history_id", "term").agg(F.count("*").alias("df"))
     weighed = asked.join(df, ["history_id", "term"]).join(index.corpus, "history_id")
     weighed = weighed.select("qid", "history_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))

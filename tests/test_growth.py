@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from helpers import HISTORY, got, questions, turns
 
-from recollect.operators import facts, timed
+from recollect.operators import bm25, facts, timed
 from recollect.plans import packing, strategies
 
 
@@ -53,3 +53,13 @@ def test_strong_interval_scores_leave_out_what_shares_common_words_alone(spark):
     wanted = {k: v for k, v in every.items() if v >= 0.5 * best[k[0]]}
     assert wanted.items() <= strong.items() and strong.items() <= every.items()
     assert sum(q != "common" for q, _ in strong) == sum(q.startswith("q") for q, *_ in asked) < sum(q != "common" for q, _ in every)
+
+
+def test_postings_that_are_asked_for_are_written_once(spark):
+    """Counting and scoring read one narrow table, rather than each shuffling the postings of all words."""
+    docs = spark.createDataFrame([(0, "a", ["x", "y"]), (0, "b", ["x", "z"]), (0, "c", ["z"])], "history_id bigint, doc_id string, terms array<string>")
+    asked = spark.createDataFrame([("q", 0, ["x", "x"])], "qid string, history_id bigint, terms array<string>")
+    found = bm25.scores(bm25.build(docs), asked)
+    written = [f for f in found.inputFiles() if "/wanted-" in f]
+    assert written and {r.term for r in spark.read.parquet(*written).collect()} == {"x"}
+    assert {r.doc_id for r in found.collect()} == {"a", "b"}
