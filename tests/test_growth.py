@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 from helpers import HISTORY, got, questions, turns
+from pyspark.sql import functions as F
 
-from recollect.operators import bm25, facts, timed
-from recollect.plans import packing, strategies
+from recollect.operators import bm25, bounded, facts, timed
+from recollect.plans import memory, packing, strategies
 
 
 def plan(df):
@@ -63,3 +64,27 @@ def test_postings_that_are_asked_for_are_written_once(spark):
     written = [f for f in found.inputFiles() if "/wanted-" in f]
     assert written and {r.term for r in spark.read.parquet(*written).collect()} == {"x"}
     assert {r.doc_id for r in found.collect()} == {"a", "b"}
+
+
+def test_common_terms_that_never_meet_bring_no_document_about(spark):
+    """Two common words whose largest weights add up to the floor led each question to all documents that have one."""
+    rows = [(0, f"d{n}", ["user", f"n{n}", "click" if n % 2 else "view", *["x"] * (12 if n >= 300 else 0)]) for n in range(400)]
+    docs = spark.createDataFrame(rows, "history_id bigint, doc_id string, terms array<string>")
+    asked = spark.createDataFrame([(f"q{n}", 0, ["user", f"n{n}", "click", "view"]) for n in range(300, 400)], "qid string, history_id bigint, terms array<string>")
+    index, own = bounded.build(docs), bounded.distinct_terms(asked)
+    floor = bounded.floors(index, own, 1).withColumn("floor", F.lit(1.6))
+    told = {r.term for r in bounded.judged(index, own.join(floor, "qid")).where("tells").collect()}
+    assert told == {f"n{n}" for n in range(300, 400)}
+    assert bounded.candidates(index, own, floor).count() == 100
+
+
+def test_facts_alike_are_scored_as_one_and_the_oldest_come_first(spark):
+    day = datetime(2024, 1, 1)
+    rows = [(f"user_{n}", "plan", "7", day + timedelta(days=400 - n), None, (day + timedelta(days=400 - n), n)) for n in range(400)] + [("user_x", "trip", "puppy", day, None, (day, 999))]
+    held = spark.createDataFrame(rows, "subject string, attribute string, value string, valid_from timestamp_ntz, source_turn string, first struct<valid_from: timestamp_ntz, id: bigint>")
+    said = spark.createDataFrame([], "source_turn string, text string")
+    asked = questions(spark, [("q", "single-hop", "which plan", "", "2025-07-01 00:00"), ("none", "single-hop", "zebra", "", "2025-07-01 00:00")])
+    found = memory.relevant_facts(held, said, asked)
+    assert [r.subject for r in found.orderBy("rank").collect()] == [f"user_{n}" for n in range(399, 379, -1)]
+    scored = [f for f in found.inputFiles() if "/weights-" in f]
+    assert scored and spark.read.parquet(*scored).count() == 1
