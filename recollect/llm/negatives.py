@@ -124,7 +124,7 @@ def served(candidates: DataFrame, bounds: DataFrame, *by: str) -> DataFrame:
     bounds = table_copy(bounds, "bounds")
     bounds = bounds.withColumnRenamed("cell", "to")
     bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_BOUNDS else bounds
-    slim = candidates.select("row", "dim", "far", *by)
+    slim = candidates.select("row", "dim", "far", *by).hint("merge")
     reached = slim.join(bounds, ["dim", *by]).where(F.get("far", F.col("to")) <= F.col("bound")).select("row", "dim", F.col("to").alias("cell"))
     counts = reached.groupBy("dim", "cell").agg(F.ceil(F.count("*") / CANDIDATES).alias("parts"))
     return reached.join(F.broadcast(counts), ["dim", "cell"]).select("row", "dim", "cell", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), "parts")
@@ -142,7 +142,8 @@ def joined(anchors: DataFrame, candidates: DataFrame, copies: DataFrame, local,
     left = anchors.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).drop("parts")
     blocks = anchors.groupBy("dim", "cell").agg((F.max("block") + 1).alias("blocks"))
     right = copies.drop("parts").join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = right.join(candidates.select("row", "tie", "nameless", "label", "v"), "row")
+    # A file of copies, or of short whole vectors, is many times smaller than its rows: by its size Spark would send one of them through the driver.
+    right = right.join(candidates.select("row", "tie", "nameless", "label", "v").hint("merge"), "row")
     return left.groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInPandas(local, schema)
 
 

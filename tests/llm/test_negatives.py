@@ -100,3 +100,13 @@ def test_no_rows(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, [1.0], 1), (2, [1.0], 2)]) == []
     assert found(spark, [(100, [1.0], 1)]) == []
+
+
+def test_small_files_of_many_rows_do_not_go_through_the_driver(spark):
+    """By the size of their files Spark broadcast whole vectors, or the copies of a candidate for each cell."""
+    vectors = spark.createDataFrame(clustered(3, 400, 4, 4, 3), SCHEMA)
+    candidates, anchors = m.partitioned(m.table_copy(m.whole_vectors(vectors, F.col("label"), F.col("vec_id") % 5 == 0, 256), "whole"))
+    copies = candidates.select("row", "dim", F.lit(0).alias("cell"), F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    joined = m.joined(anchors.select("row", "dim", "cell", "block", "label", "v"), candidates, copies, lambda a, c: c, m.FOUND)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [row" in plan and "BroadcastHashJoin [row" not in plan
