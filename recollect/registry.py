@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect import oracle as o
 from recollect.functions import parsing, temporal, text
-from recollect.operators import bm25, bounded, evaluation, facts, reports, stats, store
+from recollect.operators import bm25, bounded, dense, evaluation, facts, reports, stats, store
 from recollect.plans import memory, packing, strategies
 from recollect.sources import files, tables
 from recollect.sources.kept import folder as kept_folder
@@ -282,7 +282,7 @@ _DENSE = "SELECT 'v' || q.vec_id AS qid, d.vec_id AS id, list_dot_product(q.e, d
 
 @registered(f"SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM dense) WHERE rank <= {K}", unit=_UNIT, dense=_DENSE)
 def dense_topk(spark, sf_dir):
-    return bm25.ranked(strategies.dense_scores(*_vectors(spark, sf_dir)), "position", K).select("qid", "id", r6("score").alias("score"), "rank")
+    return bm25.ranked(dense.best(*_vectors(spark, sf_dir), K), "position", K).select("qid", "id", r6("score").alias("score"), "rank")
 
 
 @registered(
