@@ -293,9 +293,10 @@ def dense_topk(spark, sf_dir):
     fb="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS b FROM dense WHERE score > 0",
 )
 def rrf_hybrid(spark, sf_dir):
-    found = strategies.dense_scores(*_vectors(spark, sf_dir))
-    near = found.withColumn("score", 1 / (1 + F.abs(F.col("id") - F.substr("qid", F.lit(2)).cast("bigint"))))
-    return strategies.fused(near, found).where(F.col("rank") <= K).select("qid", "id", F.round("rrf", 9).alias("rrf"), "rank")
+    vectors, asked = _vectors(spark, sf_dir)
+    near = lambda q, d: 1 / (1 + abs(d - q[:, None]))
+    found = dense.fused(vectors, asked.withColumn("other", F.substr("qid", F.lit(2)).cast("bigint")), near, K, strategies.RRF_K)
+    return found.select("qid", "id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
 _BAG = "list_transform(range(16), lambda k: len(list_filter(list_transform(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || right(md5(w), 2))::INT % 16), lambda x: x = k)))::DOUBLE[]"
