@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.bm25 import idf
-from recollect.operators.bounded import lifting
+from recollect.operators.bounded import SHARED, lifting
 from recollect.sources.kept import kept
 
 
@@ -80,6 +80,23 @@ def scores(index: TimedIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.
     return met.join(sized, ["history_id", "doc_id", "now"]).groupBy("qid", "history_id", "doc_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
+def _both_ends(df: DataFrame) -> DataFrame:
+    """What holds is a running sum of beginnings less ends."""
+    return df.withColumn("sign", F.lit(1)).unionByName(df.where("until is not null").withColumn("ts", F.col("until")).withColumn("sign", F.lit(-1)))
+
+
+def _holds() -> Column:
+    return (F.col("ts") <= F.col("now")) & (F.col("until").isNull() | (F.col("now") < F.col("until")))
+
+
+def _weighed(held: DataFrame, postings: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, history_id, now, term, avgdl, idf) of asked terms, by the rows that hold at now."""
+    with_df = totals_as_of(_both_ends(postings), asked, ["history_id", "term"], "ts", "now", {"df": F.col("sign")})
+    ends = _both_ends(held.select("history_id", "ts", "until", "dl"))
+    corpus = kept(totals_as_of(ends, queries.select("history_id", "now").distinct(), ["history_id"], "ts", "now", {"n": F.col("sign"), "total": F.col("sign") * F.col("dl")}), "corpus")
+    return with_df.where("df > 0").join(corpus, ["history_id", "now"]).select("qid", "history_id", "now", "term", (F.col("total") / F.col("n")).alias("avgdl"), idf(F.col("n"), F.col("df")).alias("idf"))
+
+
 def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, share: float = 0.0) -> DataFrame:
     """(qid, history_id, doc_id, score) over documents (history_id, doc_id, terms, ts, until) that each hold from ts until before ``until``.
 
@@ -94,12 +111,8 @@ def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: flo
     held = docs.where("until is null or ts < until").select("history_id", "doc_id", "ts", "until", "terms", F.size("terms").alias("dl"))
     postings = held.select("history_id", "doc_id", "ts", "until", "dl", F.explode("terms").alias("term")).groupBy("history_id", "doc_id", "ts", "until", "dl", "term").agg(F.count("*").alias("tf"))
     wanted = kept(postings.join(asked.select("history_id", "term").distinct(), ["history_id", "term"], "left_semi"), "wanted")
-    both_ends = lambda df: df.withColumn("sign", F.lit(1)).unionByName(df.where("until is not null").withColumn("ts", F.col("until")).withColumn("sign", F.lit(-1)))
-    with_df = totals_as_of(both_ends(wanted), asked, ["history_id", "term"], "ts", "now", {"df": F.col("sign")})
-    ends = both_ends(held.select("history_id", "ts", "until", "dl"))
-    corpus = kept(totals_as_of(ends, queries.select("history_id", "now").distinct(), ["history_id"], "ts", "now", {"n": F.col("sign"), "total": F.col("sign") * F.col("dl")}), "corpus")
-    weighed = with_df.where("df > 0").join(corpus, ["history_id", "now"]).select("qid", "history_id", "now", "term", (F.col("total") / F.col("n")).alias("avgdl"), idf(F.col("n"), F.col("df")).alias("idf"))
-    holds = (F.col("ts") <= F.col("now")) & (F.col("until").isNull() | (F.col("now") < F.col("until")))
+    weighed = _weighed(held, wanted, asked, queries)
+    holds = _holds()
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     if not share:
@@ -127,3 +140,93 @@ def interval_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: flo
     bounds = weighed.join(shapes, ["history_id", "term"]).join(floor, "qid").withColumn("top", F.col("idf") * most)
     telling = lifting(bounds, "qid").select("qid", "history_id", "now", "term")
     return summed(holding(telling))
+
+
+def interval_best(docs: DataFrame, queries: DataFrame, share: float, most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, history_id, doc_id, began, score, rank): for each query the first ``most`` of what ``interval_scores`` finds with ``share``.
+
+    Documents also have ``began``, one for all rows of a doc_id, and ``dl``; ties go by began and doc_id. Of their terms only those that are asked for need be there.
+    """
+    if not 0 <= share <= 1 or most < 1 or k1 < 0 or not 0 <= b <= 1:
+        raise ValueError(f"BM25 takes k1 >= 0, b and a share from 0 to 1, and a positive number of hits, not {k1}, {b}, {share} and {most}")
+    found = likely(docs, queries, most, k1, b).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= share * F.col("top"))
+    ranked = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "began", "doc_id")
+    return found.drop("top").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most)
+
+
+def likely(docs: DataFrame, queries: DataFrame, most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, history_id, doc_id, began, score): the first ``most`` of each query, among few others.
+
+    A document with a term of the query that fewer than SHARED queries have is met by that term. What the others
+    score is the same for all queries of one now and the same common terms, so their first ones are found once.
+    """
+    asked = kept(queries.select("qid", "history_id", "now", F.explode(F.array_distinct("terms")).alias("term")), "terms")
+    popular = kept(asked.groupBy("history_id", "term").agg((F.count("*") >= SHARED).alias("common")), "popular")
+    counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
+    rows = kept(docs.where("until is null or ts < until").select("history_id", "doc_id", "began", "ts", "until", "dl", counted.alias("words")), "rows")
+    postings = rows.select("history_id", "ts", "until", F.explode("words.term").alias("term")).join(popular.select("history_id", "term"), ["history_id", "term"], "left_semi")
+    weighed = kept(_weighed(rows, postings, asked, queries).join(popular, ["history_id", "term"]), "weighed")
+    word = F.struct("term", "idf")
+    asking = weighed.groupBy("qid", "history_id", "now", "avgdl").agg(F.sort_array(F.collect_list(word)).alias("own"), F.sort_array(F.collect_list(F.when(F.col("common"), word))).alias("shared"))
+    asking = kept(asking.withColumn("alike", F.to_json("shared.term")), "asking")
+
+    rare = rows.select("*", F.explode("words.term").alias("term")).join(weighed.where("not common").select("qid", "history_id", "now", "term"), ["history_id", "term"])
+    rare = rare.where(_holds()).drop("now").dropDuplicates(["qid", "history_id", "doc_id"]).join(asking, ["qid", "history_id"])
+    rare = rare.select("qid", "history_id", "doc_id", "began", _score("own", k1, b).alias("score"))
+
+    probes = asking.where(F.size("shared") > 0).select("history_id", "now", "avgdl", "shared", "alike").distinct()
+    first = _first_of_common(rows, popular.where("common").select("history_id", "term"), probes, most, k1, b)
+    others = asking.select("qid", "history_id", "now", "alike").join(first, ["history_id", "now", "alike"]).select(*rare.columns)
+    return rare.unionByName(others).groupBy("qid", "history_id", "doc_id", "began").agg(F.max("score").alias("score"))
+
+
+def _score(terms: str, k1: float, b: float) -> Column:
+    """The score of ``words`` in a row of length ``dl`` by the given (term, idf), added up in order of terms."""
+    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    met = F.transform(terms, lambda a: F.struct(a["idf"].alias("idf"), F.get(F.filter("words", lambda w: w["term"] == a["term"]), F.lit(0))["tf"].alias("tf")))
+    met = F.filter(met, lambda x: x["tf"].isNotNull())
+    return F.aggregate(met, F.lit(0.0), lambda total, x: total + x["idf"] * x["tf"] * (k1 + 1) / (x["tf"] + norm))
+
+
+#: The nodes of a binary tree over the places from lo until before hi that together cover these and no others: two of a level at most.
+_COVER = """flatten(transform(sequence(0, 40), j -> filter(array(
+    if(shiftright(lo + shiftleft(1L, j) - 1, j) < shiftright(hi, j) and shiftright(lo + shiftleft(1L, j) - 1, j) % 2 = 1, struct(j as level, shiftright(lo + shiftleft(1L, j) - 1, j) as node), null),
+    if(shiftright(lo + shiftleft(1L, j) - 1, j) < shiftright(hi, j) and shiftright(hi, j) % 2 = 1, struct(j as level, shiftright(hi, j) - 1 as node), null)), x -> x is not null)))"""
+
+
+def _first_of_common(rows: DataFrame, common: DataFrame, probes: DataFrame, most: int, k1: float, b: float) -> DataFrame:
+    """(history_id, now, alike, doc_id, began, score): the first ``most`` of the rows that hold at each probe's now, by its common terms alone.
+
+    Rows of the same common words and length are of one kind: they score alike, and its oldest go on. Times asked for are places
+    of a binary tree, and a row stands at the few nodes that cover the places where it holds; a node keeps the oldest of each
+    kind, and a probe looks at the nodes above its place. So neither rows nor probes meet all of the other.
+    """
+    key = ["history_id", "doc_id"]
+    words = rows.select("history_id", "doc_id", "began", "ts", "until", "dl", F.explode("words").alias("word")).select("*", "word.*").drop("word").join(common, ["history_id", "term"])
+    # One shuffle by document serves both the words of a row and the rows in time.
+    kinds = words.repartition(*key).groupBy(*key, "began", "ts", "until", "dl").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("words"))
+    kinds = kinds.withColumn("kind", F.sha2(F.to_json(F.struct("dl", "words")), 256))
+    # Rows that follow one another in the same kind are one span.
+    in_time = Window.partitionBy(*key).orderBy("ts")
+    new = F.coalesce((F.lag("kind").over(in_time) != F.col("kind")) | (F.lag("until").over(in_time) < F.col("ts")), F.lit(True))
+    spans = kinds.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(in_time)).groupBy(*key, "began", "kind", "dl", "words", "span")
+    open_end = F.max(F.col("until").isNull())
+    spans = kept(spans.agg(F.min("ts").alias("ts"), F.when(~open_end, F.max("until")).alias("until")).drop("span"), "spans")
+
+    times = kept(probes.select("history_id", F.col("now").alias("time")).distinct(), "times")
+    before = lambda c: F.col(c) - F.expr("INTERVAL '0.000001' SECOND")
+    ends = spans.select("history_id", F.col("ts").alias("end")).unionByName(spans.where("until is not null").select("history_id", F.col("until").alias("end"))).distinct()
+    places = totals_as_of(times, ends.withColumn("before", before("end")), ["history_id"], "time", "before", {"place": F.lit(1)}).select("history_id", "end", F.col("place").cast("bigint").alias("place"))
+    places = kept(places, "places")
+    many = times.groupBy("history_id").agg(F.count("*").alias("many"))
+    laid = spans.join(places.select("history_id", F.col("end").alias("ts"), F.col("place").alias("lo")), ["history_id", "ts"])
+    laid = laid.join(places.select("history_id", F.col("end").alias("until"), F.col("place").alias("hi")), ["history_id", "until"], "left").join(many, "history_id").withColumn("hi", F.coalesce("hi", "many")).where("lo < hi")
+    oldest = Window.partitionBy("history_id", "level", "node", "kind").orderBy("began", "doc_id")
+    nodes = laid.select("history_id", "doc_id", "began", "kind", "dl", "words", F.inline(F.expr(_COVER)))
+    nodes = kept(nodes.withColumn("nth", F.row_number().over(oldest)).where(F.col("nth") <= most).drop("nth"), "nodes")
+
+    at = totals_as_of(times, times.withColumnRenamed("time", "now"), ["history_id"], "time", "now", {"place": F.lit(1)}).withColumn("place", F.col("place").cast("bigint") - 1)
+    above = probes.join(at, ["history_id", "now"]).select("*", F.posexplode(F.expr("transform(sequence(0, 40), j -> shiftright(place, j))")).alias("level", "node"))
+    met = above.join(nodes, ["history_id", "level", "node"]).select("history_id", "now", "alike", "doc_id", "began", _score("shared", k1, b).alias("score")).where("score > 0")
+    ranked = Window.partitionBy("history_id", "now", "alike").orderBy(F.round("score", 12).desc(), "began", "doc_id")
+    return met.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= most).drop("nth")
