@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect import oracle as o
 from recollect.functions import parsing, temporal, text
-from recollect.operators import bm25, bounded, dense, evaluation, facts, reports, stats, store
+from recollect.operators import bm25, dense, evaluation, facts, products, reports, stats, store
 from recollect.plans import memory, packing, strategies
 from recollect.sources import files, tables
 from recollect.sources.kept import folder as kept_folder
@@ -137,13 +137,12 @@ def bm25_turns_topk(spark, sf_dir):
     wscore=o._bm25("wdocs"),
 )
 def bm25_store_topk(spark, sf_dir):
-    """The first hits of every question among the turns of all histories, found by bounds of sessions."""
+    """The first hits of every question among the turns of all histories, found by products of blocks."""
     turns, questions = both(spark, sf_dir)
     one = F.lit(0).cast("bigint")
     of = strategies.Said.of(turns.withColumn("history_id", one), questions.withColumn("history_id", one))
-    docs = of.turns.select("history_id", F.col("id").alias("doc_id"), "session_id", "terms")
-    index = bounded.build(docs, bounded.distinct_terms(of.questions), F.col("session_id"))
-    return bm25.ranked(bounded.best(index, of.questions, K), k=K).select("qid", F.col("doc_id").alias("id"), "rank", r6("score").alias("score"))
+    docs = of.turns.select("history_id", F.col("id").alias("doc_id"), "terms")
+    return bm25.ranked(products.best(docs, of.questions, K), k=K).select("qid", F.col("doc_id").alias("id"), "rank", r6("score").alias("score"))
 
 
 @registered(f"SELECT qid, doc_id AS session_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id::INT) AS rank FROM sscore) WHERE rank <= {K}")
